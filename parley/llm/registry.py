@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import byte_bpe, cross_polytope, mixed_language, norm_topk, simhash
+from parley.llm import byte_bpe, cross_polytope, mixed_language, norm_topk, simhash, suffix_dedup
 from parley.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", mixed_language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,14 +45,14 @@ def op9_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op4_simhash_near_dedup, op6_language_id, op8_byte_bpe, op9_norm_bucketed_topk)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op4_simhash_near_dedup, op6_language_id, op7_suffix_array_dedup, op8_byte_bpe, op9_norm_bucketed_topk)}
 
 
 OP9_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(1024 * cast(x as double))) w from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) w from embeddings
   where embedding is not null and vec_id is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id query_id, c.vec_id vec_id, cast(list_inner_product(q.w, c.w) as bigint) score
   from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
