@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,3 +149,20 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInPandas(run, f"{id_col} {kind}, lang_pred string, score double, langs array<string>")
+
+
+def label(docs: DataFrame, model: tuple[list[str], np.ndarray], min_share: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose main language is known and holds min_share of the text, with lang_col set
+    to it. All columns pass through the inference, so no join is needed."""
+    langs, logp = model
+    shipped = docs.sparkSession.sparkContext.broadcast(logp)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            found = [infer(t, shipped.value) if langs and t else None for t in batch.column(names.index(text_col)).to_pylist()]
+            keep = pa.array([f is not None and f[1][f[0]] >= min_share for f in found], pa.bool_())
+            lang = pa.array([langs[f[0]] if f else None for f in found], pa.string())
+            yield batch.set_column(names.index(lang_col), lang_col, lang).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)

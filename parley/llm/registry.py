@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import byte_bpe, cross_polytope, mixed_language, norm_topk, simhash, suffix_dedup
+from parley.llm import byte_bpe, cross_polytope, line_templates, mixed_language, norm_topk, simhash, soft_mixing, suffix_dedup, url_rules, warc_fixity
 from parley.llm.common import table
 
+#: Shares of tokens that op5 and the pipeline aim at.
+DOMAIN_WEIGHTS = {"clean": 0.90, "low_quality": 0.08, "toxic": 0.02}
+#: The given rules of op3: verdict, and host with path prefix.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+#: Records of one WARC file, and the records that op10's second replica has damaged.
+FILE_RECORDS, DAMAGE_EVERY, DAMAGE_AT = 1024, 97, 5
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,11 +24,38 @@ def op1_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_templates.drop_templates(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled through the labels of the same id: block if toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("toxic").eqNullSafe(1) | F.col("quality").eqNullSafe(0), "block").when(F.coalesce("toxic", "quality").isNotNull(), "allow").alias("label"))
+    mined = url_rules.mine(pages.select("page_id", "url").join(labels, "page_id"))
+    return url_rules.judge(pages, URL_RULES, mined).drop("url")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of the documents in the labels table: toxic, low_quality or clean."""
+    label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low_quality").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    return docs.select("doc_id", "text").join(labels.select("doc_id", label.alias("label")).where("label is not null"), "doc_id")
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = soft_mixing.fit(domain_labels(docs, table(spark, sf_dir, "labels")))
+    mixed = soft_mixing.mix(docs, model, DOMAIN_WEIGHTS)
+    shares = [F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(model[0])]
+    return mixed.select("doc_id", "tokens", "rate", "copies", *shares)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mixed_language.train(docs.where(~mixed_language.held_out("doc_id")))
@@ -44,8 +78,19 @@ def op9_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
 
 
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC files of FILE_RECORDS ids each, audited against a replica in which every
+    DAMAGE_EVERY-th record has one byte changed."""
+    pages = table(spark, sf_dir, "pages")
+    record = warc_fixity.record_of(F.col("page_id"), F.col("url"), F.col("html"))
+    first = pages.where("page_id is not null").select(F.floor(F.col("page_id") / FILE_RECORDS).cast("long").alias("file"), F.col("page_id").alias("ordinal"), record.alias("record"))
+    hit = F.col("ordinal") % DAMAGE_EVERY == DAMAGE_AT
+    second = first.withColumn("record", F.when(hit, F.overlay("record", F.lit("X"), F.length("record") - 6)).otherwise(F.col("record")))
+    return warc_fixity.audit(first, second).select("file", "ordinal", "start", "stop", "status")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op4_simhash_near_dedup, op6_language_id, op7_suffix_array_dedup, op8_byte_bpe, op9_norm_bucketed_topk)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_line_templates, op3_url_rules, op4_simhash_near_dedup, op5_soft_mixing, op6_language_id, op7_suffix_array_dedup, op8_byte_bpe, op9_norm_bucketed_topk, op10_warc_fixity)}
 
 
 OP9_SQL = """
