@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes handed to Python at once, about.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +39,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand at most so many rows to Python at once, for tables of long texts: two workers share what an
+    executor has beside its heap. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(BATCH_BYTES + 1))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:
     """How many blocks of about per_block rows hold so many rows."""
     return max(least, -(-rows // per_block))

@@ -30,14 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import blocks_for, materialize
+from parley.llm.common import blocks_for, materialize, small_batches
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 #: Contexts of one anchor that a suffix sort takes; more go by hashes.
 CROWD = 2048
 #: Bytes hashed at once (a longer text is cut, with overlap) and runs kept before a flush.
-CHUNK, FLUSH = 1 << 20, 600_000
+CHUNK, FLUSH = 1 << 18, 250_000
 #: Documents and context bytes of one task group, about.
 GROUP_BYTES, CONTEXT_GROUP = 4 << 20, 1 << 20
 #: Bits of the folded set of document ids that spares untouched documents the shuffle; false positives only cost time.
@@ -243,6 +243,36 @@ def contexts(docs: pd.DataFrame, asked: pd.DataFrame, groups: int) -> pd.DataFra
     return pd.DataFrame(rows, columns=["kind", "key", "doc", "s", "n", "text"])
 
 
+def _words(data: np.ndarray, depth: int) -> np.ndarray:
+    """The eight bytes from each place on as one number that orders like them; zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(depth + 16, np.uint8)]).astype(np.uint64)
+    out = padded[: len(data) + depth + 8]
+    for i in range(1, 8):
+        out = (out << np.uint64(8)) | padded[i : len(data) + depth + 8 + i]
+    return out
+
+
+def _sorted_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes at some places in order of depth bytes: by eight bytes, then ties by the next eight."""
+    at = at[np.argsort(words[at], kind="stable")]
+    group = np.cumsum(np.r_[True, words[at[1:]] != words[at[:-1]]]) if len(at) else at
+    for off in range(8, depth, 8):
+        tied = np.r_[False, group[1:] == group[:-1]] if len(at) else np.zeros(0, bool)
+        open_ = np.flatnonzero(tied | np.r_[tied[1:], False]) if len(at) else at
+        if not len(open_):
+            break
+        sub, g = at[open_], group[open_]
+        key = words[sub + off]
+        order = np.lexsort((key, g))
+        sub, g, key = sub[order], g[order], key[order]
+        at[open_] = sub
+        step = np.ones(len(at), bool)
+        step[1:] = group[1:] != group[:-1]
+        step[open_[1:]] |= (g[1:] == g[:-1]) & (key[1:] != key[:-1])
+        group = np.cumsum(step)
+    return at
+
+
 def two_stage_order(data: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of data (uint8) in order of their first depth bytes at least.
 
@@ -256,10 +286,7 @@ def two_stage_order(data: np.ndarray, depth: int) -> np.ndarray:
     nearest = np.where(step != 0, np.arange(n), n)
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
     small = step[nearest] > 0
-    direct = np.flatnonzero(small)
-    padded = np.concatenate([data, np.zeros(depth, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, depth)
-    direct = direct[np.argsort(np.ascontiguousarray(view[direct]).view(f"S{depth}").ravel(), kind="stable")]
+    direct = _sorted_directly(_words(data, depth), np.flatnonzero(small), depth)
     tails = np.searchsorted(data[direct], np.arange(257))
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]
     heads[data[-1]].append(np.array([n - 1]))
@@ -286,16 +313,20 @@ def two_stage_order(data: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """The common prefix, up to depth bytes, of each suffix with the one before it in order."""
-    padded = np.concatenate([data, np.zeros(depth, np.uint8)])
+    words = _words(data, depth)
     lcp = np.zeros(len(order), np.int64)
     alive = np.arange(1, len(order))
-    for i in range(depth):
-        a, b = order[alive] + i, order[alive - 1] + i
-        alive = alive[(padded[a] == padded[b]) & (np.maximum(a, b) < len(data))]
-        lcp[alive] += 1
+    for off in range(0, depth, 8):
+        differ = words[order[alive] + off] ^ words[order[alive - 1] + off]
+        high, low = differ >> np.uint64(32), differ & np.uint64(0xFFFFFFFF)  # halves, since doubles hold 53 bits
+        bits = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp(low.astype(np.float64))[1])
+        equal = 8 - (bits + 7) // 8
+        lcp[alive] = off + equal
+        alive = alive[differ == 0]
         if not len(alive):
             break
-    return lcp
+    room = len(data) - np.maximum(order, np.r_[order[:1], order[:-1]])
+    return np.minimum(np.minimum(lcp, depth), np.where(np.arange(len(order)) > 0, room, 0))
 
 
 def repeated(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
@@ -359,6 +390,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result (they are one document). Where rows of one id differ in text, the row with the smallest
     text hash is the document; the others, and rows with a null id, which has no order, are returned
     whole. An empty table gives an empty result; other columns are unread."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("hash", F.xxhash64("text"))
     ids = base.groupBy("doc").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
