@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm.common import small_batches
+
 #: First code point of the byte alphabet: byte b is chr(BASE + b).
 BASE = 0x100
 #: Distinct pre-tokens an encoder remembers before it starts afresh; bounds a worker's memory.
@@ -172,6 +174,7 @@ class Tokenizer:
 
     def _over(self, docs: DataFrame, id_col: str, text_col: str, schema: str, each) -> DataFrame:
         shipped, pattern = self.shipped, self.pattern
+        small_batches(docs.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec, out = _codec(shipped, pattern), None

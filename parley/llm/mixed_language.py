@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.common import small_batches
+
 CELLS = 1 << 15
 PENALTY, MARGIN, ROUNDS, CLOSE = 0.5, 2.0, 50, 1e-4
 #: Letters scored at once; a longer text is worked through in such slices.
@@ -74,6 +76,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "cell": at, "n": c[at]})
 
+    small_batches(rows.sparkSession)
     known = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     total = known.mapInPandas(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(total["lang"].unique())
@@ -132,6 +135,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     without languages, gives `und`, score 0 and no languages; ties go to the language that sorts first.
     An empty table gives an empty result; other columns are unread."""
     langs, logp = model
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(logp)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,6 +159,7 @@ def label(docs: DataFrame, model: tuple[list[str], np.ndarray], min_share: float
     """The rows of docs whose main language is known and holds min_share of the text, with lang_col set
     to it. All columns pass through the inference, so no join is needed."""
     langs, logp = model
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(logp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize
+from parley.llm.common import materialize, small_batches
 
 #: Labelled rows that the classifier is fitted on at most; the smallest hashes of the id are taken.
 SAMPLE_ROWS = 8_000
@@ -55,6 +55,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
             found = [_cells(t)[0] for t in f["text"]]
             yield pd.DataFrame({"label": f["label"], "cells": [c.astype(np.uint16).tobytes() for c in found], "marks": [_marks(t).tobytes() for t in f["text"]]})
 
+    small_batches(labelled.sparkSession)
     known = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(order_col).alias("h")).where("text is not null and label is not null")
     ids = known.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     sample = known.where(F.col("h") <= F.lit(ids)).mapInPandas(features, "label string, cells binary, marks binary").toPandas() if ids is not None else pd.DataFrame({"label": [], "cells": [], "marks": []})
@@ -86,6 +87,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
 
 def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tokens, p array<double>): words and domain posterior of every row; a null text is empty."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model[1:])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
