@@ -35,7 +35,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     executor loses nothing, because every executor can read the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +50,15 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint of a small frame that a loop goes through: unlike Parquet it opens no codec for each
+    partition and round, whose native buffers an executor would gather."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:
     """How many blocks of about per_block rows hold so many rows."""
     return max(least, -(-rows // per_block))

@@ -13,7 +13,7 @@ share a key, and each is linked to the smallest. So no bucket is capped, no pair
 copies are made, and every link between different fingerprints is kept as a path.
 
 Components come from alternating large-star and small-star steps over those links; each step is a
-grouped minimum and a join, written to the shared folder.
+grouped minimum and a join, with a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialize, small_batches
+from parley.llm.common import cut, materialize, small_batches
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 #: Room for a segment's count in the packed cell.
@@ -94,7 +94,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) can reach."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc-edges")
+    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
         # Large star: the larger neighbours of each node move to the least of the neighbourhood.
@@ -104,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours move to the least of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "cc-edges")
+        edges = cut(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
