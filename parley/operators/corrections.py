@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from parley.functions import text as T
 
@@ -94,7 +95,7 @@ def word_swap(before: str | None, after: str | None) -> tuple[str, str] | None:
     return (old, new) if short and old != new else None
 
 
-@F.pandas_udf("struct<old:string,new:string>")
+@F.pandas_udf(StructType([StructField("old", StringType()), StructField("new", StringType())]))
 def detect_word_swap(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     found = [word_swap(a, b) or (None, None) for a, b in zip(before, after)]
     return pd.DataFrame(found, columns=["old", "new"])

@@ -169,7 +169,9 @@ def best_pool(cands: DataFrame, entities: DataFrame) -> DataFrame:
     keys = lambda c: F.array_distinct(F.concat(T.entity_tokens(c), T.trigrams(c)))
     a = cands.select("meeting_id", "kind", F.explode(keys(F.col("surface"))).alias("key")).distinct()
     b = entities.where("merged_into is null").select("id", "kind", "label", "norm", F.explode(keys(F.col("label"))).alias("key"))
-    return a.join(b, ["kind", "key"]).select("meeting_id", "id", "kind", "label", "norm").distinct()
+    found = a.join(b, ["kind", "key"]).select("meeting_id", "id", "kind", "label", "norm").distinct()
+    # New column ids: the cogroup of two frames with one origin would be ambiguous.
+    return found.select(*(F.col(c).alias(c) for c in found.columns))
 
 
 def _dashed(label: str) -> str:
