@@ -93,7 +93,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (a, b) can reach."""
+    """(node, root): the smallest node that each node of the edges (a, b) can reach; the smallest itself is
+    left out."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
