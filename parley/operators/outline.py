@@ -58,13 +58,13 @@ def rebuild(rows: DataFrame, drop: DataFrame) -> DataFrame:
     alive = rows.where("is_leaf").join(drop.select("doc_id", "path"), ["doc_id", "path"], "left_anti")
     up = alive.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i))).alias("path")).distinct()
     kept = rows.join(up, ["doc_id", "path"], "left_semi")
+    # The new place on each level: the rank among siblings that are left; shorter paths rank apart.
+    places = []
     for level in range(1, MAX_DEPTH + 1):
-        parent = F.slice("path", 1, level - 1)
-        order = Window.partitionBy("doc_id", parent).orderBy(F.element_at("path", level))
-        fresh = kept.where(F.size("path") >= level).withColumn("_i", (F.dense_rank().over(order) - 1).cast("int"))
-        fresh = fresh.withColumn("path", F.concat(parent, F.array("_i"), F.when(F.size("path") > level, F.slice("path", level + 1, MAX_DEPTH)).otherwise(F.array().cast("array<int>")))).drop("_i")
-        kept = fresh.unionByName(kept.where(F.size("path") < level))
-    return kept
+        deep = F.size("path") >= level
+        order = Window.partitionBy("doc_id", deep, F.slice("path", 1, level - 1)).orderBy(F.get("path", F.lit(level - 1)))
+        places.append((F.dense_rank().over(order) - 1).cast("int"))
+    return kept.withColumn("path", F.slice(F.array(*places), F.lit(1), F.size("path")))
 
 
 def section_of(label: Column, kind: str) -> Column:
