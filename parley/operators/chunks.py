@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 #: Window size, stride and text cap of a chunk.
 SIZE, STRIDE, CAP = 3, 2, 900
+#: Chunk ids of a meeting start at its number times this, so that no global numbering is needed.
+SPAN = 1 << 20
 
 
 def windows(utterances: DataFrame) -> DataFrame:
     """(id, meeting_id, src_id, start_offset_s, end_offset_s, speakers, text): every STRIDE-th window of
-    SIZE utterances; a start is the first of its meeting or has an utterance behind it. Ids number the
-    chunks by meeting and place without a global sort: meeting number times 2^20 is not dense, so the
-    dense number comes from per-meeting counts, which are small."""
+    SIZE utterances; a start is the first of its meeting or has an utterance behind it. An id follows
+    from the meeting's number and the place, without a sort over meetings."""
     by = Window.partitionBy("meeting_id")
     order = by.orderBy("idx")
     ahead = by.orderBy("pos").rowsBetween(0, SIZE - 1)
@@ -25,8 +26,7 @@ def windows(utterances: DataFrame) -> DataFrame:
         F.substring(F.array_join(F.collect_list(line).over(ahead), "\n"), 1, CAP).alias("text"))
     kept = rows.where((F.col("pos") % STRIDE == 0) & ((F.col("pos") == 0) | (F.col("pos") < F.col("n") - 1)))
     number = F.substring("meeting_id", 2, 20).cast("long")
-    counts = kept.groupBy("meeting_id").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return kept.join(counts, "meeting_id").select((F.col("before") + F.col("pos") / STRIDE).cast("long").alias("id"), "meeting_id", F.col("pos").alias("src_id"), "start_offset_s", "end_offset_s", "speakers", "text")
+    return kept.select((number * SPAN + F.col("pos") / STRIDE).cast("long").alias("id"), "meeting_id", F.col("pos").alias("src_id"), "start_offset_s", "end_offset_s", "speakers", "text")
 
 
 def claim_chunks(claims: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ _add("jn_24_sources_exist", lambda w: Q.source_failures(_cites(w).select("meetin
      f"with {_SEG}, {_CITE}, e as (select cast(key as varchar) path, meeting_id, unnest([s1,s2]) id from cites) select path, 'source-exists' as rule, id from e where not exists (select 1 from segs where segs.meeting_id=e.meeting_id and segs.id=e.id)")
 _add("jn_25_entailment_verdicts", lambda w: Q.entailment_failures(w.claims.select(F.col("id").alias("ordinal"), F.concat(F.lit("p"), "id").alias("path")), w.raw("orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderstatus") != "F").alias("supported"), F.col("o_orderpriority").alias("why"))),
      "select 'p'||cast(o_orderkey as varchar) path, 'entailment-unsupported' as rule, o_orderpriority detail from orders where o_orderstatus='F'")
-_add("jn_26_chunks_by_id", lambda w: w.chunks.where(F.col("id").isin(1, 5, 9)).join(w.meetings.select(F.col("id").alias("meeting_id"), "title"), "meeting_id").select("id", "title", "text"), "select c.id, title, text from chunks c join meetings m on m.id=c.meeting_id where c.id in (1,5,9)")
+_add("jn_26_chunks_by_id", lambda w: w.chunks.where(F.col("id").isin(1 * K.SPAN, 5 * K.SPAN + 1, 9 * K.SPAN)).join(w.meetings.select(F.col("id").alias("meeting_id"), "title"), "meeting_id").select("id", "title", "text"), "select c.id, title, text from chunks c join meetings m on m.id=c.meeting_id where c.id in (1048576, 5*1048576+1, 9*1048576)")
 _add("jn_27_project_scope", lambda w: C.enumerate_claims(w.claims, w.meetings, "decision", True, w.meeting_projects.where("project_id = 3")), "select c.id, meeting_id, title, coalesce(json_extract_string(body,'$.task'),quote,'') as label from claims c join meetings m on m.id=meeting_id where c.kind='decision' and gate='passed' and done=0 and meeting_id in (select meeting_id from meeting_projects where project_id=3)")
 
 # --- aggregations ------------------------------------------------------------------------------
@@ -213,7 +213,7 @@ _add("tk_7_caseless_sort", lambda w: w.people.orderBy(F.lower("name"), "id").lim
 _add("tk_8_truncations", lambda w: w.claims.groupBy("meeting_id").agg(F.size(F.slice(F.array_sort(F.collect_list("id")), 1, 12)).alias("n")), "select meeting_id, cast(least(count(*),12) as integer) n from claims group by 1")
 _add("set_1_backlinks", lambda w: G.backlinks(w.edges, G.related_edges(_live(w)), w.nodes, w.meetings, "m23"),
      "with " + _REL + ", ed as (select src, dst, kind, meeting_id from edges union all select src, dst, 'related', '' from relboth) select distinct m.id, m.title, n.label via from ed e1 join ed e2 on e1.src=e2.src and e2.meeting_id<>e1.meeting_id join meetings m on m.id=e2.meeting_id join nodes n on n.id=e1.src where e1.meeting_id='m23' union select m.id, m.title, n.label from ed e1 join ed e2 on e1.dst=e2.dst and e2.meeting_id<>e1.meeting_id join meetings m on m.id=e2.meeting_id join nodes n on n.id=e1.dst where e1.meeting_id='m23' and n.kind<>'meeting' union select m.id, m.title, n1.label||' ~ '||n2.label from ed e1 join ed r on r.src=e1.dst and r.kind='related' join ed e2 on e2.dst=r.dst and e2.kind='mentions' and e2.meeting_id<>e1.meeting_id join meetings m on m.id=e2.meeting_id join nodes n1 on n1.id=e1.dst join nodes n2 on n2.id=r.dst where e1.meeting_id='m23' and e1.kind='mentions'")
-_add("set_2_fresh_wins", lambda w: M.last_wins(w.chunks.where("id < 20").select("id", F.lit("prior").alias("from")), w.chunks.where("id between 10 and 30").select("id", F.lit("fresh").alias("from")), ["id"]), "select id, case when id<10 then 'prior' else 'fresh' end \"from\" from chunks where id<=30")
+_add("set_2_fresh_wins", lambda w: M.last_wins(w.chunks.where(F.col("id") < 20 * K.SPAN).select("id", F.lit("prior").alias("from")), w.chunks.where(F.col("id").between(10 * K.SPAN, 30 * K.SPAN)).select("id", F.lit("fresh").alias("from")), ["id"]), "select id, case when id<10*1048576 then 'prior' else 'fresh' end \"from\" from chunks where id<=30*1048576")
 _add("set_3_seeds_then_hop", lambda w: R.graph_mentions(w.entities, G.related_edges(_live(w)), w.entity_mentions, _TERMS).select("entity_id", "is_seed").distinct(), f"select distinct entity_id, is_seed from ({_GM})")
 _add("set_4_owner_union", lambda w: w.people.select("name").union(w.utterances.where("speaker is not null").select("speaker")).union(w.spark.sql("select 'Unassigned'")).distinct(), "select name from people union select speaker from utterances where speaker is not null union select 'Unassigned'")
 
@@ -316,9 +316,9 @@ _add("sn_17_arrays", lambda w: w.utterances.where("speaker is not null").groupBy
 _quoted = lambda w: w.utterances.select(F.concat("meeting_id", F.lit("-"), "idx").alias("id"), "meeting_id", F.when(F.col("idx") % 3 == 0, F.substring("text", 1, 40)).when(F.col("idx") % 3 == 1, F.lit("qqqq zzzz never said")).alias("quote"), F.when(F.col("idx") % 2 == 0, F.col("offset_s") + 500.0).alias("offset_s"))
 _add("gt_1_grounded_in", lambda w: Q.grounded(_quoted(w), w.utterances).select("id", F.col("gate_reason").isNull().alias("passed")), "select meeting_id||'-'||cast(idx as varchar) id, idx%3=0 and trim(regexp_replace(regexp_replace(lower(left(text,40)),'[^a-z0-9\\s]',' ','g'),'\\s+',' ','g'))<>'' passed from utterances")
 _add("gt_2_canonical_gate", lambda w: E.canonical_reason(E.best_lexical(_CAND(w), w.entities).select("surface", F.lit("topic").alias("kind"), "entity_id", F.lit("lexical").alias("matcher"), "score", "runner_up", (F.length("surface") % 2 == 0).alias("has_proof"))).select("surface", F.col("gate_reason").isNull().alias("passed")))
-_snips = lambda w: w.chunks.where("id < 12").select(F.col("id").alias("chunk_id"), "text")
-_points = lambda w: w.chunks.where("id < 30").select(F.col("id").alias("chunk_id"), F.lit("said so").alias("text"), F.when(F.col("id") % 2 == 0, F.substring("text", 1, 80)).otherwise(F.lit("")).alias("quote"))
-_add("gt_3_answer_gate", lambda w: Q.answer_gate(_points(w), _snips(w)).select("chunk_id", F.col("reason").isNull().alias("passed")), "select id chunk_id, id<12 and id%2=0 passed from chunks where id<30")
+_snips = lambda w: w.chunks.where(F.col("id") < 12 * K.SPAN).select(F.col("id").alias("chunk_id"), "text")
+_points = lambda w: w.chunks.where(F.col("id") < 30 * K.SPAN).select(F.col("id").alias("chunk_id"), F.lit("said so").alias("text"), F.when(F.col("id") % 2 == 0, F.substring("text", 1, 80)).otherwise(F.lit("")).alias("quote"))
+_add("gt_3_answer_gate", lambda w: Q.answer_gate(_points(w), _snips(w)).select("chunk_id", F.col("reason").isNull().alias("passed")), "select id chunk_id, id<12*1048576 and id%2=0 passed from chunks where id<30*1048576")
 _add("gt_4_no_new_facts", lambda w: w.utterances.select("meeting_id", "idx", Q.new_facts(F.concat("text", F.lit(" Zanzibar")), T.normalize(F.col("text"))).isNotNull().alias("v")))
 _add("gt_5_sources", lambda w: Q.source_failures(_cites(w).select("meeting_id", F.col("key").cast("string").alias("path"), F.when(F.col("key") % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("source")).alias("source")), SG.segments(w.utterances)).groupBy("rule").agg(F.count("*").alias("n")),
      f"with {_SEG}, {_CITE}, e as (select key, meeting_id, unnest([s1,s2]) id from cites where key%4<>0) select 'source-exists' as rule, count(*) n from e where not exists (select 1 from segs where segs.meeting_id=e.meeting_id and segs.id=e.id) union all select 'leaf-sourced', count(*) from cites where key%4=0")

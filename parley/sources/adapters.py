@@ -169,7 +169,7 @@ ORACLE = {
   union all select distinct 1000000+conv_id % 8, 'Person '||cast(conv_id % 8 as varchar), cast(null as varchar) from conversations""",
     "upcoming": f"""select c_custkey id, 'Call '||cast(c_custkey % 40 as varchar) title, {AS_OF_MS} + (c_custkey % 97 - 24) * 1800000 at_ms,
   case when c_custkey % 2 = 0 then 'manual' else 'ics' end source, case when c_custkey % 3 <> 0 then cast(c_custkey % 25 as int) end project_id from customer""",
-    "chunks": """select row_number() over (order by cast(substr(meeting_id,2) as bigint), pos)-1 id, meeting_id, pos src_id, start_offset_s, end_offset_s, speakers, text from (
+    "chunks": """select cast(substr(meeting_id,2) as bigint)*1048576+pos//2 id, meeting_id, pos src_id, start_offset_s, end_offset_s, speakers, text from (
   select meeting_id, pos, n, offset_s start_offset_s,
     max(offset_s+duration_s) over w end_offset_s,
     array_to_string(list_sort(list_distinct(list(speaker) over w)), ', ') speakers,
