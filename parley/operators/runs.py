@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Prices in USD for 1000 tokens in and out, by model.
-PRICES = {"pyai-think": (0.0005, 0.0015), "gpt-4o-mini": (0.00015, 0.0006)}
+PRICES = {"house-think": (0.0005, 0.0015), "gpt-4o-mini": (0.00015, 0.0006)}
 #: Budgets in units and ms, by workflow.
 BUDGETS = {"process-meeting": (60, 180_000), "notes": (12, 150_000), "handoff": (12, 150_000), "cross-handoff": (16, 180_000), "ask": (3, 15_000), "needle": (4, 20_000), "chat": (4, 30_000), "diarize": (2, 600_000), "project-ask": (3, 30_000), "doc-summary": (2, 30_000)}
 #: What in an error's text means which code, in order.

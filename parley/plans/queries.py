@@ -303,7 +303,7 @@ _add("sn_5_minutes", lambda w: C.minutes(w.utterances, w.meetings), "select m.id
 _add("sn_7_rank_fusion", lambda w: R.fused(R.ranked(_scored(w), 60, F.desc("score")), R.ranked(_scored(w), 60, F.asc("score"))).select("chunk_id", F.round("fused", 9).alias("fused")),
      "with s as (select id chunk_id, length(text)%100 sc from chunks), a as (select chunk_id, row_number() over (order by sc desc, chunk_id)-1 r from s), b as (select chunk_id, row_number() over (order by sc, chunk_id)-1 r from s) select chunk_id, round(sum(p),9) fused from (select chunk_id, 1.0::double/(61+r) p from a where r<60 union all select chunk_id, 0.6::double/(61+r) from b where r<60) group by 1")
 _add("sn_8_recency", lambda w: w.meetings.select("id", F.round(R.recency(F.col("started_at"), AS_OF_MS), 9).alias("v")), f"select id, round(1+0.15::double*exp(-greatest(0.0::double,({AS_OF_MS}-started_at)/86400000.0::double)/180.0::double),9) v from meetings")
-_add("sn_9_cost", lambda w: w.runs.select("id", F.round(U.cost(F.when(F.col("id") % 2 == 0, "gpt-4o-mini").otherwise("pyai-think"), F.coalesce("tokens_in", F.lit(0)), F.lit(100)), 9).alias("v")), "select id, round(case when id%2=0 then coalesce(tokens_in,0)/1000.0::double*0.00015::double+0.1::double*0.0006::double else coalesce(tokens_in,0)/1000.0::double*0.0005::double+0.1::double*0.0015::double end,9) v from runs")
+_add("sn_9_cost", lambda w: w.runs.select("id", F.round(U.cost(F.when(F.col("id") % 2 == 0, "gpt-4o-mini").otherwise("house-think"), F.coalesce("tokens_in", F.lit(0)), F.lit(100)), 9).alias("v")), "select id, round(case when id%2=0 then coalesce(tokens_in,0)/1000.0::double*0.00015::double+0.1::double*0.0006::double else coalesce(tokens_in,0)/1000.0::double*0.0005::double+0.1::double*0.0015::double end,9) v from runs")
 _add("sn_10_iso_day", lambda w: w.meetings.select("id", C.iso_day(F.col("started_at")).alias("v")), "select id, strftime(make_timestamp(started_at*1000),'%Y-%m-%d') v from meetings")
 _add("sn_11_zone_to_epoch", lambda w: w.raw("events").select("event_id", F.unix_millis(F.to_utc_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")), "America/New_York")).alias("v")), None)
 _add("sn_13_backoff", lambda w: w.spark.range(1, 6).select(F.col("id").cast("int").alias("n"), F.expr("cast(400 * power(2, id - 1) as bigint)").alias("ms")), "select i::integer n, (400*pow(2,i-1))::bigint ms from range(1,6) t(i)")
