@@ -15,7 +15,9 @@ anchors travel, about one for 17 bytes of text:
    matters here), the others are induced from them by scanning the buckets of first bytes in order.
    Common prefixes of neighbours of LENGTH or more then group equal strings.
 3. An anchor with more than CROWD contexts (a frequent line before ever different text) would gather
-   an unbounded group. Its strings are grouped by two 64-bit hashes instead, with partial aggregation.
+   an unbounded group of bytes. Its strings are compared by two 64-bit hashes instead: within the
+   documents at hand first, then what is left by packed groups of the hash, so a string that very many
+   documents share reaches its group once for each set of documents at hand.
 
 The repeats found go back to their documents as packed ranges.
 """
@@ -122,7 +124,7 @@ def _doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-_PACKED = {"A": ("u8", "u8", "i8", "u4", "u1"), "R": ("i8", "u4", "u1"), "C": ("i8", "u4", "u1", "u8"), "W": ("i8", "u4", "u1", "u8")}
+_PACKED = {"A": ("u8", "u8", "i8", "u4", "u1"), "R": ("i8", "u4", "u1"), "C": ("i8", "u4", "u1", "u8"), "W": ("i8", "u4", "u1", "u8"), "S": ("u8", "u8", "i8", "u4")}
 ROW = "kind string, key long, blob binary"
 
 
@@ -219,8 +221,30 @@ def _texts(docs: pd.DataFrame) -> dict[int, bytes]:
     return {int(d): t.encode("utf-8", "surrogatepass") for d, t in zip(docs["doc"], docs["text"])}
 
 
-def contexts(docs: pd.DataFrame, asked: pd.DataFrame, groups: int) -> pd.DataFrame:
-    """The bytes of asked contexts, by the group of their anchor; for crowded anchors string hashes."""
+def _compared(h: np.ndarray, g: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of strings with two hashes each: (document, place) where a smaller id has the string too, and
+    (hash, hash, document, place) of the others."""
+    order = np.lexsort((doc, g, h))
+    h, g, doc, s = h[order], g[order], doc[order], s[order]
+    starts, group = _groups(h, g)
+    again = doc > doc[starts][group]
+    return (doc[again], s[again]), (h[~again], g[~again], doc[~again], s[~again])
+
+
+def _ranges(doc: np.ndarray, s: np.ndarray, buckets: int) -> Iterator[dict]:
+    """Single strings as found ranges."""
+    return _pack("R", _doc_bucket(doc, buckets), doc, s, np.ones(len(doc), np.int64))
+
+
+def agreed(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Strings of a group of hashes that also start in a document with a smaller id."""
+    again, _left = _compared(*_unpack("S", group["text"]))
+    return _frame(_ranges(*again, buckets))
+
+
+def contexts(docs: pd.DataFrame, asked: pd.DataFrame, groups: int, string_groups: int, buckets: int) -> pd.DataFrame:
+    """The bytes of asked contexts, by the group of their anchor. The strings of crowded anchors are
+    compared within these documents first; each that is left goes out once, by the group of its hash."""
     texts = _texts(docs)
     rows = []
     for kind in ("C", "W"):
@@ -239,7 +263,9 @@ def contexts(docs: pd.DataFrame, asked: pd.DataFrame, groups: int) -> pd.DataFra
             first = np.cumsum([len(p) for p in parts]) - np.array([len(p) for p in parts])
             places = np.repeat(first, n) + (within := np.arange(int(n.sum())) - np.repeat(np.cumsum(n.astype(np.int64)) - n, n))
             hashes = [_strings(_grams(data, v), len(data) - LENGTH + 1)[places] for v in (0, 1)]
-            rows.append({"kind": "W", "key": 0, "doc": np.repeat(doc, n).tobytes(), "s": (np.repeat(s, n) + within).astype("u4").tobytes(), "n": hashes[0].tobytes(), "text": hashes[1].tobytes()})
+            again, left = _compared(*hashes, np.repeat(doc, n), np.repeat(s, n) + within)
+            empty = {"doc": b"", "s": b"", "n": b""}
+            rows += [{"kind": r["kind"], "key": r["key"], "text": r["blob"], **empty} for r in (*_ranges(*again, buckets), *_pack("S", (left[0] % np.uint64(string_groups)).astype(np.int64), *left))]
     return pd.DataFrame(rows, columns=["kind", "key", "doc", "s", "n", "text"])
 
 
@@ -408,14 +434,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     asked = settled.where("kind <> 'R'")
     shape = "kind string, key long, doc binary, s binary, n binary, text binary"
-    groups = blocks_for(asked.agg(F.sum(F.octet_length("blob"))).first()[0] or 0, CONTEXT_GROUP // 4)
-    fetched = _meet(long_, asked, buckets, lambda a, b: contexts(a, b, groups), shape)
+    volume = dict(asked.groupBy("kind").agg(F.sum(F.octet_length("blob"))).collect())  # two kinds at most
+    groups = blocks_for(volume.get("C", 0), CONTEXT_GROUP // 4)
+    string_groups = blocks_for(volume.get("W", 0), GROUP_BYTES // REACH)
+    fetched = _meet(long_, asked, buckets, lambda a, b: contexts(a, b, groups, string_groups, buckets), shape)
     fetched = materialize(fetched, "suffix-contexts")
     by_sort = fetched.where("kind = 'C'").groupBy("key").applyInPandas(lambda g: repeated(g, buckets), ROW)
-    strings = fetched.where("kind = 'W'").mapInPandas(_hashed, "h long, g long, doc long, s long")
-    first = strings.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "g", "first")
-    by_hash = strings.join(first, ["h", "g"]).where("doc > first").select("doc", "s").mapInPandas(lambda frames: _repacked(frames, buckets), ROW)
-    found = materialize(settled.where("kind = 'R'").unionByName(by_sort).unionByName(by_hash), "suffix-found")
+    by_hash = fetched.where("kind = 'S'").groupBy("key").applyInPandas(lambda g: agreed(g, buckets), ROW)
+    at_once = fetched.where("kind = 'R'").select("kind", "key", F.col("text").alias("blob"))
+    found = materialize(settled.where("kind = 'R'").unionByName(at_once).unionByName(by_sort).unionByName(by_hash), "suffix-found")
 
     kind = docs.schema[id_col].dataType.simpleString()
     columns = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_kept]
@@ -429,18 +456,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumn(id_col, F.col(id_col).cast(kind))
 
 
-def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for r in f.itertuples():
-            yield pd.DataFrame({"h": np.frombuffer(r.n, "i8"), "g": np.frombuffer(r.text, "i8"), "doc": np.frombuffer(r.doc, "i8"), "s": np.frombuffer(r.s, "u4").astype(np.int64)})
-
-
-def _repacked(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        doc = f["doc"].to_numpy()
-        yield _frame(_pack("R", _doc_bucket(doc, buckets), doc, f["s"].to_numpy(), np.ones(len(f), np.int64)))
-
-
 def _fold(packed: DataFrame) -> np.ndarray:
     """The documents of packed rows as a set folded into FOLD_BITS bits, whatever their number: at
     most 1 MB on the driver."""
