@@ -44,6 +44,7 @@ CHUNK, FLUSH = 1 << 18, 250_000
 GROUP_BYTES, CONTEXT_GROUP = 4 << 20, 1 << 20
 #: Bits of the folded set of document ids that spares untouched documents the shuffle; false positives only cost time.
 FOLD_BITS = 1 << 23
+SLICE_BYTES = 4096  # of a bitmap in Spark
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -458,22 +459,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _fold(packed: DataFrame) -> np.ndarray:
     """The documents of packed rows as a set folded into FOLD_BITS bits, whatever their number: at
-    most 1 MB on the driver."""
+    most 1 MB on the driver. A task makes one set of all its rows, in the slices that Spark joins."""
 
     def ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(FOLD_BITS, bool)
         for f in frames:
-            bits = np.zeros(FOLD_BITS, bool)
             for kind, blob in zip(f["kind"], f["blob"]):
                 doc = _unpack(kind, [blob])[0]
                 bits[(_mix(doc.view(np.uint64).copy()) % np.uint64(FOLD_BITS)).astype(np.int64)] = True
-            words = np.packbits(bits, bitorder="little").view(np.int64)
-            at = np.flatnonzero(words)
-            yield pd.DataFrame({"at": at, "word": words[at]})
-
-    rows = packed.select("kind", "blob").mapInPandas(ids, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
-    words = np.zeros(FOLD_BITS // 64, np.int64)
-    words[rows["at"].to_numpy()] = rows["word"].to_numpy()
-    return words
+        slices = np.packbits(bits, bitorder="little").reshape(-1, SLICE_BYTES)
+        at = np.flatnonzero(slices.any(1))
+        yield pd.DataFrame({"at": at, "slice": [slices[i].tobytes() for i in at]})
+
+    rows = packed.select("kind", "blob").mapInPandas(ids, "at long, slice binary").groupBy("at").agg(F.bitmap_or_agg("slice").alias("slice")).collect()
+    slices = np.zeros((FOLD_BITS // 8 // SLICE_BYTES, SLICE_BYTES), np.uint8)
+    for at, found in rows:
+        slices[at] = np.frombuffer(found, np.uint8)
+    return slices.reshape(-1).view(np.int64)
 
 
 def _split(docs: DataFrame, packed: DataFrame):
