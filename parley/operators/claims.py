@@ -56,9 +56,10 @@ def brain_counts(meetings: DataFrame, entities: DataFrame, claims: DataFrame, ch
     return reduce(lambda a, b: a.join(F.broadcast(b)), parts)
 
 
-def list_meetings(meetings: DataFrame, claims: DataFrame, utterances: DataFrame, limit: int = 20) -> DataFrame:
+def list_meetings(meetings: DataFrame, claims: DataFrame, utterances: DataFrame, limit: int = 20, since_ms: int | None = None) -> DataFrame:
     """Meetings, newest first, with counts and participants (AG-2, AG-3, TK-1)."""
-    top = meetings.orderBy(F.desc("started_at"), "id").limit(limit)
+    recent = meetings if since_ms is None else meetings.where(F.col("started_at") >= since_ms)
+    top = recent.orderBy(F.desc("started_at"), "id").limit(limit)
     c = claims.where("gate = 'passed'").groupBy(F.col("meeting_id").alias("id")).agg(F.count_if(F.col("kind") == "decision").alias("decisions"), F.count_if(F.col("kind") == "action_item").alias("action_items"))
     s = utterances.where("speaker is not null").groupBy(F.col("meeting_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("participants"))
     zero = lambda x: F.coalesce(x, F.lit(0).cast("long")).alias(x)

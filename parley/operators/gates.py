@@ -73,6 +73,14 @@ def verbatim_failures(items: DataFrame) -> DataFrame:
     return rows.select("path", F.lit("verbatim-number").alias("rule"), "detail")
 
 
+def unsourced_failures(lines: DataFrame) -> DataFrame:
+    """lines (path, text) without a citation -> (path, rule, detail): the first figure a line states, and a
+    quotation of four characters or more, neither of which it may carry (GT-18)."""
+    figure = lines.select("path", F.try_element_at(N.numeric_tokens("text"), F.lit(1))["raw"].alias("detail")).where("detail is not null")
+    quoted = lines.where(F.col("text").rlike('[“"][^“”"]{4,}[”"]')).select("path", F.lit("exact-quote").alias("rule"), F.lit("a quotation without a citation").alias("detail"))
+    return figure.select("path", F.lit("verbatim-number").alias("rule"), "detail").unionByName(quoted)
+
+
 def quote_failures(items: DataFrame) -> DataFrame:
     """items (path, text, texts array of the cited segments) -> quoted spans that no one segment holds (GT-7)."""
     rows = items.where("size(texts) > 0").select("path", "texts", F.explode(T.quoted_spans(F.col("text"))).alias("detail"))

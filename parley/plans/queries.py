@@ -23,6 +23,7 @@ from parley.operators import retrieve as R
 from parley.operators import runs as U
 from parley.operators import segments as SG
 from parley.plans import ask as A
+from parley.plans import tools as B
 from parley.sources import files
 from parley.sources.adapters import AS_OF_MS, World, oracle
 from parley.streaming import live as L
@@ -382,6 +383,21 @@ _add("cp_10_enumerate", lambda w: C.enumerate_claims(w.claims, w.meetings, "acti
 _add("cp_12_project_context", lambda w: A.project_context(w, 3), "with s as (select meeting_id from meeting_projects where project_id=3), a as (select 'meeting' part, row_number() over (order by started_at desc, id) as rank, title as text from meetings where id in (from s)), b as (select 'person' part, row_number() over (order by count(*) desc, speaker) as rank, speaker as text from utterances where speaker is not null and meeting_id in (from s) group by speaker), c as (select 'decision' part, row_number() over (order by id) as rank, json_extract_string(body,'$.task') as text from claims where kind='decision' and gate='passed' and meeting_id in (from s)) select part, cast(rank as integer) as rank, text from a where rank<=12 union all select part, cast(rank as integer), text from b where rank<=10 union all select part, cast(rank as integer), text from c where rank<=5")
 _add("cp_11_match_projects", lambda w: A.project_context(w, 5).groupBy("part").agg(F.count("*").alias("n")))
 _add("cp_13_meeting_meta", lambda w: w.utterances.where("speaker is not null").select("meeting_id", "speaker").distinct().join(w.people.select(F.lower("name").alias("k"), F.lit(True).alias("listed")), F.lower("speaker") == F.col("k"), "left").select("meeting_id", "speaker", F.coalesce("listed", F.lit(False)).alias("listed")), "select distinct meeting_id, speaker, exists (select 1 from people p where lower(p.name)=lower(speaker)) listed from utterances where speaker is not null")
+_add("gt_18_unsourced_prose", lambda w: Q.unsourced_failures(w.claims.select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 3 == 0, "send 40 of them").when(F.col("id") % 3 == 1, 'they said "not this year"').otherwise("Thanks for the time").alias("text"))).select("path", "rule"),
+     "select cast(id as varchar) path, case id%3 when 0 then 'verbatim-number' else 'exact-quote' end as rule from claims where id%3<2")
+_add("cp_17_rederive", lambda w: B.rederive(w, "m5")[2].select("entity_id", "surface", "gate"))
+_add("api_1_brain_info", lambda w: B.Tools(w).brain_info(), "select (select count(*) from meetings) meetings, (select max(started_at) from meetings) newest_meeting, (select count(*) from entities where merged_into is null) entities, (select count(*) from claims where gate='passed') claims, (select count(*) from chunks) chunks")
+_add("api_2_search_brain", lambda w: B.Tools(w).search_brain("red rod the person").select("chunk_id", "meeting_id", "score"))
+_add("api_3_list_claims", lambda w: B.Tools(w).list_claims("decision", True, "2024-01-01", 200).select("id", "owner", "meeting_id"),
+     "select c.id, json_extract_string(body,'$.owner') as owner, meeting_id from claims c join meetings m on m.id=meeting_id where c.kind='decision' and gate='passed' and done=0 and started_at>=1704067200000 order by started_at desc, c.id limit 200")
+_add("api_4_get_entity", lambda w: B.Tools(w).get_entity("red gear").mentions.drop("title"),
+     "select surface, quote, offset_s, meeting_id, started_at from entity_mentions em join meetings m on m.id=meeting_id where gate='passed' and entity_id=(select id from entities where merged_into is null and (norm='red gear' or contains(norm,'red gear')) order by norm<>'red gear', length(norm), id limit 1)")
+_add("api_5_get_meeting", lambda w: B.Tools(w).get_meeting("m7").claims.drop("label"),
+     "select id, kind, json_extract_string(body,'$.owner') as owner, quote, offset_s, done<>0 done from claims where meeting_id='m7' and gate='passed'")
+_add("api_6_list_meetings", lambda w: B.Tools(w).list_meetings(100, "2024-01-01T05:00:00").select("id", "title", "started_at", "decisions", "action_items"),
+     "select id, title, started_at, (select count(*) from claims c where c.meeting_id=m.id and gate='passed' and c.kind='decision') decisions, (select count(*) from claims c where c.meeting_id=m.id and gate='passed' and c.kind='action_item') action_items from meetings m where started_at>=1704067200000+5*3600000 order by started_at desc, id limit 100")
+_add("api_7_get_evidence", lambda w: B.Tools(w).get_evidence("m3", ["S002", "S001", "S999"]),
+     f"with {_SEG}, a as (select 0 pos, 'S002' id union all select 1, 'S001' union all select 2, 'S999') select pos, a.id, coalesce(s.text,'(unknown segment id)') as text from a left join segs s on s.id=a.id and s.meeting_id='m3'")
 _add("cp_16_diarize", lambda w: L.reindexed(L.without_bleed(_mic(w), _call(w)).unionByName(_call(w))).groupBy("meeting_id").agg(F.count("*").alias("n")), f"with u as (select *, {_W3.format('text')} ws from utterances) select meeting_id, count(*) n from u a where speaker_role='customer' or not exists (select 1 from u b where b.speaker_role='customer' and b.meeting_id=a.meeting_id and abs(a.offset_s-(b.offset_s+3))<4 and {_OV.format('a.ws','b.ws')}>=0.5) group by 1")
 _add("cp_19_failure_codes", lambda w: w.runs.select("id", U.failure_code(F.when(F.col("id") % 3 == 0, "request timed out").when(F.col("id") % 3 == 1, "HTTP 503").otherwise("boom")).alias("code")), "select id, case id%3 when 0 then 'model-timeout' when 1 then 'model-http' else 'crash' end code from runs")
 _add("cp_20_first_failure", lambda w: _steps(w).select("id", U.first_failure(F.col("steps"))["name"].alias("step")), "select id, case when outcome='failed' then case when id%2=0 then 'core:recap' else 'notes' end when id%11=0 then 'index' when outcome='partial' then case when id%2=0 then 'core:recap' else 'notes' end end step from runs")
