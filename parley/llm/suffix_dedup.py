@@ -14,10 +14,12 @@ anchors travel, about one for 17 bytes of text:
    stages: suffixes smaller than their successors are sorted directly (by LENGTH bytes, all that
    matters here), the others are induced from them by scanning the buckets of first bytes in order.
    Common prefixes of neighbours of LENGTH or more then group equal strings.
-3. An anchor with more than CROWD contexts (a frequent line before ever different text) would gather
-   an unbounded group of bytes. Its strings are compared by two 64-bit hashes instead: within the
-   documents at hand first, then what is left by packed groups of the hash, so a string that very many
-   documents share reaches its group once for each set of documents at hand.
+3. An anchor with more than CROWD contexts, or with more than CROWD_AT_ONCE runs in one flush of a map
+   task (a frequent line before ever different text), would gather an unbounded group of bytes. Its
+   strings are compared by two 64-bit hashes instead: within the documents at hand first, then what is
+   left by packed groups of the hash, so a string that very many documents share reaches its group once
+   for each set of documents at hand. The second kind is dealt out by context from the start: the
+   bucket of the anchor learns of it by one mark for each flush.
 
 The repeats found go back to their documents as packed ranges.
 """
@@ -38,6 +40,8 @@ LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 #: Contexts of one anchor that a suffix sort takes; more go by hashes.
 CROWD = 2048
+#: Runs of one anchor in a flush from which on the anchor is crowded, whatever its number elsewhere.
+CROWD_AT_ONCE = 64
 #: Bytes hashed at once (a longer text is cut, with overlap) and runs kept before a flush.
 CHUNK, FLUSH = 1 << 18, 250_000
 #: Documents and context bytes of one task group, about.
@@ -125,7 +129,7 @@ def _doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-_PACKED = {"A": ("u8", "u8", "i8", "u4", "u1"), "R": ("i8", "u4", "u1"), "C": ("i8", "u4", "u1", "u8"), "W": ("i8", "u4", "u1", "u8"), "S": ("u8", "u8", "i8", "u4")}
+_PACKED = {"A": ("u8", "u8", "i8", "u4", "u1"), "H": ("u8", "u8", "i8", "u4", "u1"), "R": ("i8", "u4", "u1"), "C": ("i8", "u4", "u1", "u8"), "W": ("i8", "u4", "u1", "u8"), "S": ("u8", "u8", "i8", "u4")}
 ROW = "kind string, key long, blob binary"
 
 
@@ -164,9 +168,10 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def anchored(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+def anchored(frames: Iterator[pd.DataFrame], buckets: int, most: int = FLUSH, crowd: int = CROWD_AT_ONCE) -> Iterator[pd.DataFrame]:
     """Runs of all documents of a partition, packed by the bucket of their anchors; what repeats within
-    a flush goes out as found ranges."""
+    a flush goes out as found ranges. Runs of an anchor that a flush has more than crowd of are packed by
+    the bucket of their contexts, and a mark, a run without strings, tells the anchor's bucket."""
     kept: list[tuple[np.ndarray, ...]] = []
     held = 0
 
@@ -178,8 +183,15 @@ def anchored(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFr
         starts, group = _groups(both)
         again = doc > doc[starts][group]
         rows = [*_pack("R", _doc_bucket(doc[again], buckets), doc[again], s[again], n[again])]
-        first = ~again
-        return _frame([*rows, *_pack("A", (a[first] % np.uint64(buckets)).astype(np.int64), a[first], ctx[first], doc[first], s[first], n[first])])
+        a, ctx, doc, s, n, both = (c[~again] for c in (a, ctx, doc, s, n, both))
+        names, name, times = np.unique(a, return_inverse=True, return_counts=True)
+        hot = (times > crowd)[name]
+        marks = names[times > crowd]
+        none = np.zeros(len(marks), np.int64)
+        here = [np.r_[c[~hot], m] for c, m in ((a, marks), (ctx, none.astype(np.uint64)), (doc, none), (s, none), (n, none))]
+        rows += _pack("A", (here[0] % np.uint64(buckets)).astype(np.int64), *here)
+        rows += _pack("H", (both[hot] % np.uint64(buckets)).astype(np.int64), a[hot], ctx[hot], doc[hot], s[hot], n[hot])
+        return _frame(rows)
 
     for part in _batches(p for f in frames for p in _pieces(f["doc"], f["text"])):
         data = np.frombuffer(b"".join([p[2] for p in part]), np.uint8)
@@ -190,7 +202,7 @@ def anchored(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFr
         base = np.array([p[1] for p in part])[owner] - (stops - sizes)[owner]
         kept.append((a, ctx, np.array([p[0] for p in part], np.int64)[owner], s + base, n))
         held += len(a)
-        if held >= FLUSH:
+        if held >= most:
             yield flush()
             kept, held = [], 0
     if kept:
@@ -198,10 +210,14 @@ def anchored(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFr
 
 
 def settle(group: pd.DataFrame, buckets: int, crowd: int = CROWD) -> pd.DataFrame:
-    """Of a bucket of anchors: repeated runs as found ranges, and contexts that need their bytes."""
+    """Of a bucket of anchors: repeated runs as found ranges, and contexts that need their bytes. All that
+    is left of a crowded anchor is compared by strings, wherever its runs were settled."""
     if group["kind"].iat[0] == "R":
         return group[["kind", "key", "blob"]]
-    a, ctx, doc, s, n = _unpack("A", group["blob"])
+    kind = group["kind"].iat[0]
+    a, ctx, doc, s, n = _unpack(kind, group["blob"])
+    marks = np.unique(a[n == 0])
+    a, ctx, doc, s, n = (c[n > 0] for c in (a, ctx, doc, s, n))
     order = np.lexsort((doc, ctx, a))
     a, ctx, doc, s, n = a[order], ctx[order], doc[order], s[order], n[order]
     a_starts, a_group = _groups(a)
@@ -209,8 +225,9 @@ def settle(group: pd.DataFrame, buckets: int, crowd: int = CROWD) -> pd.DataFram
     again = doc > doc[c_starts][c_group]
     contexts = np.bincount(a_group[c_starts], minlength=len(a_starts))[a_group]
     shared = (np.minimum.reduceat(doc, a_starts) < np.maximum.reduceat(doc, a_starts))[a_group] if len(a) else np.zeros(0, bool)
-    open_ = ~again & shared & (contexts > 1)
-    many = open_ & (contexts > crowd)
+    hot = np.isin(a, marks) | (kind == "H")
+    open_ = ~again & (hot | shared & (contexts > 1))
+    many = open_ & (hot | (contexts > crowd))
     few = open_ & ~many
     rows = [*_pack("R", _doc_bucket(doc[again], buckets), doc[again], s[again], n[again])]
     for kind, which in (("C", few), ("W", many)):

@@ -148,11 +148,11 @@ def brute_removed(docs):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2048, 1])
-def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, at_once", [(2048, 64), (1, 64), (2048, 0), (2048, 1), (3, 2)])
+def test_repeats_equal_brute_force(spark, monkeypatch, crowd, at_once):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
-    monkeypatch.setattr(suffix_dedup, "FLUSH", 40)
-    real = suffix_dedup.settle
+    real, anchored = suffix_dedup.settle, suffix_dedup.anchored
+    monkeypatch.setattr(suffix_dedup, "anchored", lambda f, b: anchored(f, b, 40, at_once))
     monkeypatch.setattr(suffix_dedup, "settle", lambda g, b: real(g, b, crowd))
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abé ") for _ in range(6))
