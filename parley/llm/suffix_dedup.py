@@ -41,7 +41,7 @@ REACH = LENGTH - GRAM + 1
 #: Contexts of one anchor that a suffix sort takes; more go by hashes.
 CROWD = 2048
 #: Runs of one anchor in a flush from which on the anchor is crowded, whatever its number elsewhere.
-CROWD_AT_ONCE = 64
+CROWD_AT_ONCE = 256
 #: Bytes hashed at once (a longer text is cut, with overlap) and runs kept before a flush.
 CHUNK, FLUSH = 1 << 18, 250_000
 #: Documents and context bytes of one task group, about.
@@ -184,8 +184,11 @@ def anchored(frames: Iterator[pd.DataFrame], buckets: int, most: int = FLUSH, cr
         again = doc > doc[starts][group]
         rows = [*_pack("R", _doc_bucket(doc[again], buckets), doc[again], s[again], n[again])]
         a, ctx, doc, s, n, both = (c[~again] for c in (a, ctx, doc, s, n, both))
-        names, name, times = np.unique(a, return_inverse=True, return_counts=True)
-        hot = (times > crowd)[name]
+        coarse = (a >> np.uint64(44)).astype(np.int64)  # few anchors remain in doubt, and only they are counted one by one
+        doubt = np.flatnonzero(np.bincount(coarse, minlength=1)[coarse] > crowd)
+        names, name, times = np.unique(a[doubt], return_inverse=True, return_counts=True)
+        hot = np.zeros(len(a), bool)
+        hot[doubt] = (times > crowd)[name]
         marks = names[times > crowd]
         none = np.zeros(len(marks), np.int64)
         here = [np.r_[c[~hot], m] for c, m in ((a, marks), (ctx, none.astype(np.uint64)), (doc, none), (s, none), (n, none))]

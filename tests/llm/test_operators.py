@@ -148,7 +148,7 @@ def brute_removed(docs):
     return out
 
 
-@pytest.mark.parametrize("crowd, at_once", [(2048, 64), (1, 64), (2048, 0), (2048, 1), (3, 2)])
+@pytest.mark.parametrize("crowd, at_once", [(2048, 256), (1, 256), (2048, 0), (2048, 1), (3, 2)])
 def test_repeats_equal_brute_force(spark, monkeypatch, crowd, at_once):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     real, anchored = suffix_dedup.settle, suffix_dedup.anchored
