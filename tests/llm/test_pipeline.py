@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from parley.llm import registry
+from parley.llm import registry, shingle_overlap
 
 LABEL = "doc_id long, quality int, toxic int"
 
@@ -47,3 +47,28 @@ def test_footer_goes_but_for_the_first(spark, tmp_path):
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_edited_copies_go(spark, tmp_path):
+    rnd = random.Random(5)
+    base = [f"word{rnd.randrange(4000)}" for _ in range(150)]
+    edited = lambda *at: " ".join("changed" + str(i) if i in at else w for i, w in enumerate(base))
+    texts = {1: edited(), 2: edited(20), 3: edited(40, 110), 4: edited(10, 30, 50, 70, 90, 110, 130), 5: edited(20, 60, 100), 6: "other words entirely", 7: "Other  WORDS entirely"}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert kept == {1, 4, 6}
+
+
+def test_links_equal_brute_force(spark):
+    rnd = random.Random(11)
+    groups = [[f"w{rnd.randrange(900)}" for _ in range(60)] for _ in range(6)]
+    texts = [" ".join("x%d" % rnd.randrange(10**6) if rnd.random() < rate else w for w in rnd.choice(groups)) for rate in (0.005, 0.02, 0.04) for _ in range(40)] + ["", None, " \t", "a b", "A b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    sets, root = [shingle_overlap.shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if shingle_overlap.jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert {r["doc_id"]: r["component_id"] for r in shingle_overlap.near_duplicates(docs).collect()} == dict(enumerate(root))
+    assert len(set(root)) > 12 and shingle_overlap.near_duplicates(docs.limit(0)).count() == 0
