@@ -70,5 +70,28 @@ def test_links_equal_brute_force(spark):
             if shingle_overlap.jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
-    assert {r["doc_id"]: r["component_id"] for r in shingle_overlap.near_duplicates(docs).collect()} == dict(enumerate(root))
-    assert len(set(root)) > 12 and shingle_overlap.near_duplicates(docs.limit(0)).count() == 0
+    roots = {r["node"]: r["root"] for r in shingle_overlap.linked(docs).collect()}
+    found = [roots.get(r["n"], r["n"]) for r in docs.orderBy("doc_id").select(shingle_overlap.node(docs.text).alias("n")).collect()]
+    assert [found.index(f) for f in found] == root
+    assert len(set(root)) > 12 and shingle_overlap.linked(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"word{rnd.randrange(5000)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (4, b), (7, c), (7, d), (7, d), (7, c + " end"), (9, c), (None, e), (None, e + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"].removesuffix(" end")) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (4, b), (7, c), (7, d), (None, e)], key=str)
+    spark.createDataFrame([], LABEL).write.parquet(str(tmp_path / "labels.parquet"))
+    mixed = corpus_pipeline.mixing(spark, spark.createDataFrame(docs.distinct().collect(), docs.schema), str(tmp_path))
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, docs.distinct().collect()))
+
+
+def test_mixing_draws_row_by_row(spark, tmp_path):
+    corpus(spark, tmp_path)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    same = docs.where("text is not null and doc_id < 60").selectExpr("if(doc_id % 2 = 0, cast(null as bigint), 5L) doc_id", "text", "lang", "source", "n_chars")
+    ids = {r["doc_id"] for r in corpus_pipeline.mixing(spark, same.unionByName(docs), str(tmp_path)).collect()}
+    assert {None, 5} <= ids
