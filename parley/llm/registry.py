@@ -25,7 +25,8 @@ def op1_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_templates.drop_templates(table(spark, sf_dir, "documents"))
+    """One template for a leaf, which is what OP2_SQL says; the pipeline splits leaves."""
+    cut = line_templates.drop_templates(table(spark, sf_dir, "documents"), split=False)
     return cut.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -251,6 +251,18 @@ def test_line_templates(spark):
     assert line_templates.drop_templates(t.limit(0)).count() == 0
 
 
+def test_two_templates_and_noise_in_one_leaf(spark):
+    lead, letters = "see our terms", "abcdefghij"
+    name = lambda i: "".join(letters[int(d)] for d in str(1000 + i))
+    one = [f"{lead} about {name(i)} on the web page of today" for i in range(30)]
+    two = [f"{lead} and then call {name(i)} or write to us" for i in range(30)]
+    noise = [f"{lead} " + " ".join(name(100 + 8 * i + j) for j in range(8)) for i in range(40)]
+    t = spark.createDataFrame(list(enumerate(one + two + noise)), "doc_id int, text string")
+    assert {len(x.split()) for x in one + two} == {11}
+    gone = {r["doc_id"] for r in line_templates.drop_templates(t).where("_n_dropped = 1").collect()}
+    assert gone == set(range(1, 30)) | set(range(31, 60))
+
+
 def test_few_repeats_stay(spark):
     t = spark.createDataFrame([(i, "a line that only five documents share\nown " + "z" * i) for i in range(5)], "doc_id long, text string")
     assert rows(line_templates.drop_templates(t).select("_n_dropped")) == [(0,)] * 5
