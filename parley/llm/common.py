@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes handed to Python at once, about.
@@ -59,6 +60,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many (short) rows; else the planner's shuffle join stands."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:
     """How many blocks of about per_block rows hold so many rows."""
     return max(least, -(-rows // per_block))

@@ -76,6 +76,12 @@ def test_links_equal_brute_force(spark):
     assert len(set(root)) > 12 and shingle_overlap.linked(docs.limit(0)).count() == 0
 
 
+def test_bitmaps_of_two_lengths(spark):
+    long = [f"word{i}" for i in range(1040)]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[:1000]))], "doc_id int, text string")
+    assert shingle_overlap.linked(docs).count() == 1
+
+
 def test_null_and_repeated_ids(spark, tmp_path):
     rnd = random.Random(8)
     text = lambda: " ".join(f"word{rnd.randrange(5000)}" for _ in range(60))
