@@ -330,7 +330,7 @@ _add("gt_9_stated_verdict", lambda w: w.claims.select("id", Q.verdict_reason(F.l
 _add("gt_10_owner_whitelist", lambda w: w.claims.select("id", Q.owner_reason(F.get_json_object("body", "$.owner"), F.array(F.lit("person 1"), F.lit("person 2"))).isNull().alias("v")), "select id, coalesce(json_extract_string(body,'$.owner') in ('Person 1','Person 2'), false) v from claims")
 _add("gt_11_owner_named", lambda w: w.claims.select("id", Q.unnamed_owner(F.when(F.col("id") % 3 == 0, "Unassigned: fix it").when(F.col("id") % 3 == 1, "Person 1 to fix it").otherwise("fix it"), F.array(F.lit("Person 1"))).alias("v")), "select id, id%3=2 v from claims")
 _add("gt_12_theme_header", lambda w: Q.header_failures(w.claims.where("id % 100 < 3").select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 2 == 0, "Decided on pricing for Person 1").otherwise("Pricing").alias("text"), F.lit("they talked about pricing").alias("leaf_text"), F.array(F.lit("Person 1")).alias("names"))).select("path", "detail"), "select cast(id as varchar) path, unnest(['1','decided','Person 1']) detail from claims where id%100<3 and id%2=0")
-_leaves = lambda w: _cites(w).where("key % 20 = 0").select("meeting_id", F.col("key").cast("string").alias("path"), F.lit("It cost $12 for a thing that was said").alias("text"), "source", F.lit("Action items").alias("section"))
+_leaves = lambda w: _cites(w).select("meeting_id", F.col("key").cast("string").alias("path"), F.lit("It cost $12 for a thing that was said").alias("text"), "source", F.lit("Action items").alias("section"))
 _names = lambda w: w.utterances.where("speaker is not null").groupBy("meeting_id").agg(F.collect_set("speaker").alias("names"))
 _add("gt_13_validate_notes", lambda w: Q.validate_leaves(_leaves(w), SG.segments(w.utterances), _names(w)).select("meeting_id", "path", "rule"))
 _add("gt_14_action_items", lambda w: Q.verbatim_failures(w.claims.select(F.col("id").cast("string").alias("path"), F.concat(F.lit("send it by "), F.when(F.col("id") % 2 == 0, "Friday").otherwise("soon")).alias("text"), F.lit("by monday").alias("cited"))).select("path"), "select cast(id as varchar) path from claims where id%2=0")

@@ -52,3 +52,8 @@ def test_recaps_hold_all_passed_claims(spark):
     got = Q._recaps(w).selectExpr("sum(size(key_decisions))", "sum(size(action_items))").first()
     kinds = {r["kind"]: r["count"] for r in w.claims.where("gate = 'passed' and get_json_object(body, '$.task') is not null").groupBy("kind").count().collect()}
     assert tuple(got) == (kinds.get("decision", 0), kinds.get("action_item", 0))
+
+
+def test_notes_are_validated_for_all_claims(spark):
+    w = Q.World(spark, DIR)
+    assert Q._leaves(w).count() == Q._cites(w).count() > 0
