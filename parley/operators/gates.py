@@ -15,13 +15,27 @@ TOLERANCE, OVERLAP, LISTED = 15, 0.4, 12
 KINDS = ["decision", "action", "number", "quote", "question", "opinion", "aside", "other"]
 SOFT = ["bullet-is-a-title", "owner-unnamed"]
 UNASSIGNED = "Unassigned"
+#: Words that state a hiring lean, and headings of action sections.
 VERDICT = r"(?i)\b(hire|no[- ]hire|yes from me|no from me|a yes|a no|strong yes|strong no|thumbs (up|down)|pass on|passing on|not a fit|make an offer|an offer|lean(ing)? (yes|no|towards|toward)|move forward|move ahead)\b"
 ACTION_SECTION = r"(?i)\b(action items?|next steps?|commitments?|to-?dos?|follow[- ]?ups?)\b"
-CLAIM_VERBS = {
-    "decide": "decide decided decides deciding decision", "agree": "agree agreed agrees", "approve": "approve approved approves", "reject": "reject rejected rejects",
-    "commit": "commit committed commits", "sign": "sign signed signs", "delay": "delay delayed delays slip slipped", "move": "moved moves moving", "launch": "launch launched launches",
-    "cut": "cut cuts", "drop": "drop dropped drops", "raise": "raise raised raises", "choose": "choose chose chosen picked", "will": "will shall", "wont": "won't wont",
-}
+#: Verbs that make a theme header a claim, in their forms.
+CLAIM_VERBS = [
+    ["decide", "decided", "decides", "deciding", "decision"],
+    ["agree", "agreed", "agrees"],
+    ["approve", "approved", "approves"],
+    ["reject", "rejected", "rejects"],
+    ["commit", "committed", "commits"],
+    ["sign", "signed", "signs"],
+    ["delay", "delayed", "delays", "slip", "slipped"],
+    ["moved", "moves", "moving"],
+    ["launch", "launched", "launches"],
+    ["cut", "cuts"],
+    ["drop", "dropped", "drops"],
+    ["raise", "raised", "raises"],
+    ["choose", "chose", "chosen", "picked"],
+    ["will", "shall"],
+    ["won't", "wont"],
+]
 
 
 def first_reason(*reasons: Column) -> Column:
@@ -118,8 +132,7 @@ def header_failures(labels: DataFrame) -> DataFrame:
     head, leaf = T.flat(F.col("text")), T.flat(F.col("leaf_text"))
     word = lambda x, w: x.rlike(rf"\b{w}\b")
     verbs = []
-    for forms in CLAIM_VERBS.values():
-        own = forms.split(" ")
+    for own in CLAIM_VERBS:
         used = reduce(lambda a, b: F.coalesce(a, b), [F.when(word(head, f), f) for f in own])
         backed = reduce(lambda a, b: a | b, [word(leaf, f) for f in own])
         verbs.append(F.when(~backed, used))
