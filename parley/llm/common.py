@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Bytes handed to Python at once, about.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +43,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Columns of df, by default all, as one struct: beside it, names of our own clash with none of them."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in (df.columns if columns is None else columns)))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand at most so many rows to Python at once, for tables of long texts: two workers share what an
     executor has beside its heap. A smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -51,6 +63,14 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Give free memory of a Python worker back to the system at the end of a task: workers stay alive for
+    the stages that follow, whose JVM needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint of a small frame that a loop goes through: unlike Parquet it opens no codec for each
     partition and round, whose native buffers an executor would gather."""
