@@ -6,12 +6,16 @@ segments with their digits folded, query keys, extension), each labelled URL add
 FP-growth finds the token combinations that imply a label with enough support and confidence. Rules
 are pruned by both, and stand in an inverted index under their rarest token: a URL meets only the
 rules whose rarest token it has, and each is verified against the whole token set. The most
-confident rule decides, then the better supported, the longer, and the one that sorts first. Without
-any match a URL is allowed. DataFrame functions only; mining runs in Spark's own FP-growth.
+confident rule decides, then the better supported, the longer, and the one that sorts last. Without
+any match a URL is allowed. The index is an array of slots by the hash of that token, which goes to the
+scan of the URLs, so that no URL is shuffled; only more rules than fit are joined. DataFrame functions only;
+mining runs in Spark's own FP-growth.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +25,9 @@ from parley.llm.common import materialize
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 #: Labelled URLs that a combination must occur in at least, whatever its share.
 MIN_COUNT = 20
-#: Mined rules are broadcast up to so many, else joined by a shuffle.
-BROADCAST_RULES = 20_000
+#: Mined rules go to the scan up to so many, and so many characters of tokens, else URLs are joined with them by
+#: a shuffle; both give the same.
+SCAN_RULES, SCAN_CHARS = 20_000, 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 LABEL = "label="
@@ -68,7 +73,8 @@ def given_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tupl
 def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(key, tokens, label, confidence, support): pruned rules, each under its rarest token.
 
-    Rows with a null label or no tokens are no baskets; fewer than MIN_COUNT baskets, or no frequent rule, give no rules."""
+    Rows with a null label or no tokens are no baskets; repeated rows count each, and a URL with two labels is
+    a basket of either. Fewer than MIN_COUNT baskets, an empty table too, or no frequent rule give no rules."""
     baskets = labelled.select(tokens_of(F.col(url_col)).alias("tokens"), F.col(label_col).cast("string").alias("label")).where("label is not null and size(tokens) > 0")
     baskets = materialize(baskets, "url-baskets")
     n = baskets.count()
@@ -77,38 +83,62 @@ def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", mi
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / n), minConfidence=min_confidence).fit(baskets.select(F.array_append("tokens", F.concat(F.lit(LABEL), "label")).alias("items")))
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL))
     rules = rules.where(~F.exists("antecedent", lambda t: t.startswith(LABEL)))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 1 << 20).alias("label"), "confidence", "support")
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), F.col("freq").alias("n"))
+    # The model mines again whenever it is asked: once is enough.
+    rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 1 << 20).alias("label"), "confidence", "support"), "url-mined")
+    often = baskets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     placed = rules.select("*", F.explode("tokens").alias("token")).join(often, "token")
     rarest = placed.groupBy("tokens", "label", "confidence", "support").agg(F.min_by("token", F.struct("n", "token")).alias("key"))
     return rarest.select("key", "tokens", "label", "confidence", "support")
 
 
-def match(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str = "url") -> DataFrame:
-    """(id, url, label): the label of the best mined rule for each distinct id and url that has one."""
-    rules = rules.withColumnRenamed("tokens", "needed")
-    if rules.count() <= BROADCAST_RULES:
-        rules = F.broadcast(rules)
-    asked = urls.select(id_col, url_col, tokens_of(F.col(url_col)).alias("own"))
-    met = asked.select("*", F.explode("own").alias("key")).join(rules, "key").where(F.size(F.array_except("needed", "own")) == 0)
-    best = F.max_by("label", F.struct("confidence", "support", F.size("needed"), F.array_join("needed", " "), "label"))
-    return met.groupBy(id_col, url_col).agg(best.alias("label"))
+def _order(rule: Column) -> Column:
+    """The rule that decides is the greatest."""
+    return F.struct(rule["confidence"].alias("confidence"), rule["support"].alias("support"), F.size(rule["tokens"]).alias("length"), F.array_join(rule["tokens"], " ").alias("text"), rule["label"].alias("label"))
+
+
+RULE = "struct<tokens:array<string>,label:string,confidence:double,support:double>"
+
+
+def label_in_scan(url: Column, rules: DataFrame, count: int) -> Column:
+    """The label of the best mined rule for a URL, by the index in the scan; null without one. The rules are
+    few (see judge) and become a constant of the plan: an array of slots, each with its rules."""
+    slots = 1 << max(4, (2 * count - 1).bit_length())
+    slot = lambda token: F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+    index: list[list[dict]] = [[] for _ in range(slots)]
+    for r in rules.select(slot(F.col("key")).alias("slot"), "tokens", "label", "confidence", "support").collect():
+        index[r["slot"]].append({c: r[c] for c in ("tokens", "label", "confidence", "support")})
+    held, own = F.from_json(F.lit(json.dumps(index)), f"array<array<{RULE}>>"), tokens_of(url)
+    met = F.flatten(F.transform(own, lambda t: F.get(held, slot(t))))
+    fits = F.filter(met, lambda r: F.size(F.array_except(r["tokens"], own)) == 0)
+    return F.array_max(F.transform(fits, _order))["label"]
+
+
+def match(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+    """(url, label): the label of the best mined rule for each distinct URL that has one, by a join on the
+    rarest token; for more rules than a scan should hold."""
+    asked = urls.select(url_col).distinct().select(url_col, tokens_of(F.col(url_col)).alias("own"))
+    met = asked.select("*", F.explode("own").alias("key")).join(rules, "key").where(F.size(F.array_except("tokens", "own")) == 0)
+    rule = {c: F.col(c) for c in ("confidence", "support", "tokens", "label")}
+    return met.groupBy(url_col).agg(F.max(_order(rule))["label"].alias("label"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, id_col: str = "page_id", url_col: str = "url", scan_rules: int = SCAN_RULES) -> DataFrame:
     """(id, url, host, path, rule, verdict) of every row.
 
-    One row per input row, repeated rows included. A null url, or one without ://, has empty host and
-    path, fits no rule and is allowed. An empty table gives an empty result; other columns are unread."""
-    rows = pages.select(id_col, url_col)
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    rows = rows.select("*", host.alias("host"), path.alias("path"))
-    rule, verdict = given_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("given"))
+    One row per input row, repeated rows included; a null id changes nothing. A null url, or one without
+    ://, has empty host and path, fits no rule and is allowed; an empty url likewise. A long url is judged
+    whole. An empty table gives an empty result; other columns are unread."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
+    rows = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rule, given = given_rule(F.col("host"), F.col("path"), rules)
+    rows = rows.select("*", rule.alias("rule"), given.alias("given"))
     mined = materialize(mined, "url-rules")
-    if mined.isEmpty():
-        return rows.select(id_col, url_col, "host", "path", "rule", F.coalesce("given", F.lit("allow")).alias("verdict"))
-    found = match(rows.where("given is null and host <> ''").select(id_col, url_col).distinct(), mined, id_col, url_col)
-    found = found.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), "label")
-    joined = rows.join(found, rows[id_col].eqNullSafe(F.col("_id")) & (rows[url_col] == F.col("_url")), "left")
-    return joined.select(id_col, url_col, "host", "path", "rule", F.coalesce("given", "label", F.lit("allow")).alias("verdict"))
+    chars = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.length(t))
+    count, chars = mined.agg(F.count("*"), F.coalesce(F.sum(chars), F.lit(0))).first()
+    if count == 0:
+        rows = rows.withColumn("label", F.lit(None).cast("string"))
+    elif count <= scan_rules and chars <= SCAN_CHARS:
+        rows = rows.withColumn("label", F.when(F.col("given").isNull() & (F.col("host") != ""), label_in_scan(F.col("url"), mined, count)))
+    else:
+        rows = rows.join(match(rows.where("given is null and host <> ''"), mined), "url", "left")
+    return rows.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "host", "path", "rule", F.coalesce("given", "label", F.lit("allow")).alias("verdict"))
