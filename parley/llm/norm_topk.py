@@ -20,15 +20,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import blocks_for, materialize
+from parley.llm.common import blocks_for, bounded, materialize
 from parley.llm.vectors import clean, stacked
 
-BUCKETS, BLOCK_ROWS, QUERY_ROWS = 64, 4096, 1024
+BUCKETS, BLOCK_ROWS, QUERY_ROWS, QUERIES_AT_ONCE = 64, 4096, 4096, 512
 COORDINATE_FROM, FOCUS = 0.6, 3
 #: Sums of products below this are exact in double precision.
 EXACT = float(1 << 53)
 #: Relative slack that keeps rounding in norms from pruning a tie.
 SLACK = 1e-9
+#: The threshold of a query with fewer than k rows to compare.
+NONE = -(1 << 63)
 QUERY_SET = "query_id long, vec_id long, score long"
 
 
@@ -43,7 +45,7 @@ def scaled(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFr
 def _products(rows: np.ndarray, queries: np.ndarray, row_norms: np.ndarray, query_norms: np.ndarray) -> np.ndarray:
     """Exact integer products; beyond 2^53 in 64-bit integers instead of doubles."""
     if row_norms.max(initial=0) * query_norms.max(initial=0) < EXACT:
-        return np.rint(rows.astype(np.float64) @ queries.astype(np.float64).T)
+        return np.rint(rows.astype(np.float64) @ queries.astype(np.float64).T).astype(np.int64)
     return rows @ queries.T
 
 
@@ -62,25 +64,31 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of a block for each query that the block cannot be ruled out for."""
-    empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    if rows.empty or queries.empty:
-        return empty
-    rows = rows.sort_values("norm", ascending=False, kind="stable")
-    ids, norms = rows["id"].to_numpy(), rows["norm"].to_numpy()
-    matrix = np.array(list(rows["vector"]), dtype=np.int64).reshape(len(rows), -1)
+    out = [np.zeros((3, 0), np.int64)]
+    if len(rows) and len(queries):
+        rows = rows.sort_values("norm", ascending=False, kind="stable")
+        ids, norms = rows["id"].to_numpy(), rows["norm"].to_numpy()
+        matrix = np.array(list(rows["vector"]), dtype=np.int64).reshape(len(rows), -1)
+        for at in range(0, len(queries), QUERIES_AT_ONCE):
+            out += _search(ids, norms, matrix, queries.iloc[at : at + QUERIES_AT_ONCE], k)
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), np.concatenate(out, axis=1))))
+
+
+def _search(ids: np.ndarray, norms: np.ndarray, matrix: np.ndarray, queries: pd.DataFrame, k: int) -> list[np.ndarray]:
+    """(query, id, score) columns of each query, for rows in descending order of norms."""
     q_ids, q_norms, theta = queries["id"].to_numpy(), queries["norm"].to_numpy(), queries["theta"].to_numpy()
     q_matrix = np.array(list(queries["vector"]), dtype=np.int64).reshape(len(queries), -1)
+    least = np.where(theta == NONE, -np.inf, theta.astype(float))
     with np.errstate(divide="ignore", invalid="ignore"):
-        cosine = np.where(q_norms * norms[0] > 0, theta / (q_norms * norms[0]), np.where(theta > 0, np.inf, -np.inf))
-        reach = np.where(q_norms > 0, theta / q_norms, np.where(theta > 0, np.inf, -np.inf))
+        cosine = np.where(q_norms * norms[0] > 0, least / (q_norms * norms[0]), np.where(least > 0, np.inf, -np.inf))
+        reach = np.where(q_norms > 0, least / q_norms, np.where(least > 0, np.inf, -np.inf))
     live = np.flatnonzero(cosine <= 1 + SLACK)
     if not len(live):
-        return empty
+        return []
     # Norms stand in descending order: how many are long enough for each query.
     length = np.searchsorted(-norms, -(reach * (1 - np.sign(reach) * SLACK)), side="right")
     products = _products(matrix[: length[live].max(initial=0)], q_matrix[live], norms, q_norms[live])
-    unit = None
-    out = []
+    unit, out = None, []
     for column, q in enumerate(live):
         at = np.arange(length[q])
         if cosine[q] >= COORDINATE_FROM and len(at) and matrix.shape[1]:
@@ -93,13 +101,12 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
                 low, high = middle - half - SLACK, middle + half + SLACK
                 low, high = (-1 - SLACK if -u[f] >= t else low), (1 + SLACK if u[f] >= t else high)
                 at = at[(unit[at, f] >= low) & (unit[at, f] <= high)]
-        at = at[ids[at] != q_ids[q]]
         scores = products[at, column]
-        keep = scores >= theta[q]
+        keep = (scores >= theta[q]) & (ids[at] != q_ids[q])
         at, scores = at[keep], scores[keep]
         top = _best(ids[at], scores, k)
-        out.append(pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[at[top]], "score": scores[top].astype(np.int64)}))
-    return pd.concat(out, ignore_index=True) if out else empty
+        out.append(np.stack([np.full(len(top), q_ids[q]), ids[at[top]], scores[top]]))
+    return out
 
 
 def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024) -> DataFrame:
@@ -148,17 +155,17 @@ def _one_dimension(vectors: DataFrame, is_query: Column, k: int, n: int, cuts: l
                 rest = scores[ids != own, column]
                 # Repeated ids would count twice towards the k-th score: only distinct ones do.
                 top = _best(ids[ids != own], rest, k)
-                theta.append(float(rest[top[-1]]) if len(top) == k else -np.inf)
+                theta.append(int(rest[top[-1]]) if len(top) == k else NONE)
             yield f.assign(theta=theta)
 
-    queries = materialize(vectors.where(is_query).select("id", "vector", "norm").mapInPandas(thresholds, "id long, vector array<long>, norm double, theta double"), "topk-queries")
+    queries = materialize(vectors.where(is_query).select("id", "vector", "norm").mapInPandas(thresholds, "id long, vector array<long>, norm double, theta long"), "topk-queries")
     groups = blocks_for(queries.count(), QUERY_ROWS)
     block = F.struct(F.col("bucket").alias("bucket"), F.pmod(F.xxhash64("id"), F.element_at(F.create_map(*(x for b, (m, _) in sorted(sizes.items()) for x in (F.lit(b), F.lit(m)))), F.col("bucket"))).cast("int").alias("block"))
-    rows = placed.select(block.alias("at"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "id", "vector", "norm")
-    live = F.filter(buckets, lambda b: F.col("theta") <= F.col("norm") * b["longest"] * (1 + SLACK) + SLACK)
-    asked = queries.withColumn("b", F.explode(live)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)))
-    asked = asked.select(F.struct(F.col("b.bucket").alias("bucket"), F.col("block").alias("block")).alias("at"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part"), "id", "vector", "norm", "theta")
-    key = ["at.bucket", "at.block", "part"]
-    flat = lambda df, *more: df.select(F.col("at.bucket").alias("bucket"), F.col("at.block").alias("block"), "part", "id", "vector", "norm", *more)
+    live = F.filter(buckets, lambda b: (F.col("theta") == NONE) | (F.col("theta").cast("double") <= F.col("norm") * b["longest"] * (1 + SLACK) + SLACK))
+    asked = queries.select("id", "vector", "norm", "theta", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part"), F.explode(live).alias("b"))
+    # Rows are copied once for each part of the queries that has a live query in their bucket, and not for others.
+    met = materialize(asked.select(F.col("b.bucket").alias("bucket"), "part").distinct(), "topk-parts")
+    rows = placed.join(bounded(met), "bucket").select("bucket", block["block"].alias("block"), "part", "id", "vector", "norm")
+    asked = asked.select(F.col("b.bucket").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)).alias("block"), "part", "id", "vector", "norm", "theta")
     key = ["bucket", "block", "part"]
-    return flat(rows).groupBy(*key).cogroup(flat(asked, "theta").groupBy(*key)).applyInPandas(lambda a, b: search_block(a, b, k), QUERY_SET)
+    return rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(lambda a, b: search_block(a, b, k), QUERY_SET)
