@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import blocks_for, materialize
-from parley.llm.vectors import clean, stacked
+from parley.llm.vectors import as_bytes, balanced, clean, from_bytes, stacked
 
-TABLES, PROBES, BLOCK_ROWS, SEED = 8, 14, 2048, 20_231
+TABLES, PROBES, BLOCK_ROWS, QUERIES_AT_ONCE, SEED = 8, 14, 2048, 512, 20_231
 #: Room for rounding when the matrix product picks whom to score exactly.
 SLACK = 1e-9
 
@@ -65,28 +65,33 @@ def score_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
     """The k nearest of a block for each query, by exact cosine."""
     if rows.empty or queries.empty:
         return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
-    ids, m = rows["id"].to_numpy(), stacked(rows["vector"])
-    q_ids, q = queries["id"].to_numpy(), stacked(queries["vector"])
-    norms, q_norms = np.sqrt((m * m).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-    rough = (q / q_norms[:, None]) @ (m / norms[:, None]).T
-    rough[q_ids[:, None] == ids[None, :]] = -np.inf
-    unique = len(np.unique(ids)) == len(ids)
-    out = []
-    for i, own in enumerate(q_ids):
-        r = rough[i]
-        if unique and len(r) > k:
-            at = np.flatnonzero(r >= np.partition(r, -k)[-k] - SLACK)
-        else:
-            at = np.arange(len(r))
-        at = at[r[at] > -np.inf]
+    ids, m = rows["id"].to_numpy(), from_bytes(rows["vector"])
+    norms, unique, parts = np.sqrt((m * m).sum(axis=1)), len(np.unique(ids)) == len(ids), []
+    for at in range(0, len(queries), QUERIES_AT_ONCE):
+        some = queries.iloc[at : at + QUERIES_AT_ONCE]
+        q_ids, q = some["id"].to_numpy(), from_bytes(some["vector"])
+        q_norms = np.sqrt((q * q).sum(axis=1))
+        rough = (q / q_norms[:, None]) @ (m / norms[:, None]).T
+        rough[q_ids[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(rough, -k, axis=1)[:, -k, None] - SLACK if unique and len(ids) > k else -np.inf
+        i, j = np.nonzero((rough >= least) & (rough > -np.inf))
         # Row by row, so that equal vectors get equal scores wherever they stand.
-        exact = (m[at] * q[i]).sum(axis=1) / (norms[at] * q_norms[i])
-        at = at[order := np.lexsort((ids[at], -exact))]
-        exact = exact[order]
-        _, first = np.unique(ids[at], return_index=True)
-        first = np.sort(first)[:k]
-        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at[first]], "score": exact[first]}))
-    return pd.concat(out, ignore_index=True)
+        exact = (m[j] * q[i]).sum(axis=1) / (norms[j] * q_norms[i])
+        parts.append(best_of(q_ids[i], ids[j], exact, k))
+    return pd.DataFrame({c: np.concatenate([p[n] for p in parts]) for n, c in enumerate(("query_id", "vec_id", "score"))})
+
+
+def best_of(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query's rows, ties to the smaller id; of rows of one id the best counts."""
+    order = np.lexsort((ids, -scores, query_ids))
+    q, v, x = query_ids[order], ids[order], scores[order]
+    pairs = np.lexsort((np.arange(len(q)), v, q))
+    again = np.zeros(len(q), bool)
+    again[pairs[1:]] = (q[pairs[1:]] == q[pairs[:-1]]) & (v[pairs[1:]] == v[pairs[:-1]])
+    q, v, x = q[~again], v[~again], x[~again]
+    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
+    return q[place < k], v[place < k], x[place < k]
 
 
 def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, tables: int = TABLES, probe: int = PROBES, seed: int = SEED) -> DataFrame:
@@ -116,12 +121,12 @@ def _one_dimension(vectors: DataFrame, is_query: Column, k: int, tables: int, pr
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                x = stacked(f["vector"])
-                x /= np.sqrt((x * x).sum(axis=1))[:, None]
-                for t, r in enumerate(rotations(x, tables, seed)):
-                    yield pd.DataFrame({"tab": t, "bucket": axes(r), "id": f["id"], "vector": f["vector"]})
+                m = balanced(stacked(f["vector"]))
+                packed = as_bytes(m)
+                for t, r in enumerate(rotations(m / np.sqrt((m * m).sum(axis=1))[:, None], tables, seed)):
+                    yield pd.DataFrame({"tab": t, "bucket": axes(r), "id": f["id"], "vector": packed})
 
-    index = vectors.mapInPandas(places, "tab int, bucket int, id long, vector array<double>")
+    index = vectors.mapInPandas(places, "tab int, bucket int, id long, vector binary")
     # Bounded: tables times signed axes.
     sizes = {(r["tab"], r["bucket"]): blocks_for(r["n"], BLOCK_ROWS) for r in index.groupBy("tab", "bucket").agg(F.count("*").alias("n")).collect()}
     shipped = spark.sparkContext.broadcast(sizes)
@@ -134,20 +139,20 @@ def _one_dimension(vectors: DataFrame, is_query: Column, k: int, tables: int, pr
             for f in frames:
                 if f.empty:
                     continue
-                x = stacked(f["vector"])
-                x /= np.sqrt((x * x).sum(axis=1))[:, None]
-                for t, r in enumerate(rotations(x, in_tables, seed)):
+                m = balanced(stacked(f["vector"]))
+                packed = np.array(as_bytes(m), object)
+                for t, r in enumerate(rotations(m / np.sqrt((m * m).sum(axis=1))[:, None], in_tables, seed)):
                     rows = [(t, int(b), j, i) for i, own in enumerate(probes(r, count)) for b in own for j in range(blocks.get((t, int(b)), 0))]
                     if rows:
                         tab, bucket, block, at = map(np.array, zip(*rows))
-                        yield pd.DataFrame({"tab": tab, "bucket": bucket, "block": block, "id": f["id"].to_numpy()[at], "vector": f["vector"].to_numpy()[at]})
+                        yield pd.DataFrame({"tab": tab, "bucket": bucket, "block": block, "id": f["id"].to_numpy()[at], "vector": packed[at]})
 
         return run
 
     key = ["tab", "bucket", "block"]
 
     def scored(queries: DataFrame, count: int, in_tables: int) -> DataFrame:
-        asked = queries.select("id", "vector").mapInPandas(asks(count, in_tables), "tab int, bucket int, block int, id long, vector array<double>")
+        asked = queries.select("id", "vector").mapInPandas(asks(count, in_tables), "tab int, bucket int, block int, id long, vector binary")
         rows = index if in_tables == tables else index.where(F.col("tab") < in_tables)
         near = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(lambda a, b: score_block(a, b, k), "query_id long, vec_id long, score double")
         return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
