@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches
+from parley.llm.common import small_batches, trim
 
 #: First code point of the byte alphabet: byte b is chr(BASE + b).
 BASE = 0x100
 #: Distinct pre-tokens an encoder remembers before it starts afresh; bounds a worker's memory.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 #: Longer pre-tokens are not remembered.
 CACHE_BYTES = 64
 
@@ -136,11 +136,12 @@ class Codec:
         return n, ids.hexdigest(), raw.hexdigest()
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(shipped, pattern: str) -> Codec:
-    key = (shipped.id if hasattr(shipped, "id") else id(shipped), pattern)
+def _codec(shipped, digest: str, pattern: str) -> Codec:
+    """The worker's codec of a model, told apart by the model's SHA-256; the latest one is kept."""
+    key = (digest, pattern)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(*shipped.value, pattern)
@@ -154,6 +155,7 @@ class Tokenizer:
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str):
         self.model, self.rank_of = serialise_model(read_ranks(ranks_path))
         self.pattern = pattern
+        self.digest_of_model = hashlib.sha256(self.model).hexdigest()
         self.shipped = spark.sparkContext.broadcast((self.model, self.rank_of))
 
     def save(self, path: str) -> None:
@@ -173,11 +175,11 @@ class Tokenizer:
         return self._over(docs, id_col, text_col, f"{id_col} {_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda codec, text: codec.digest(text))
 
     def _over(self, docs: DataFrame, id_col: str, text_col: str, schema: str, each) -> DataFrame:
-        shipped, pattern = self.shipped, self.pattern
+        shipped, digest, pattern = self.shipped, self.digest_of_model, self.pattern
         small_batches(docs.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec, out = _codec(shipped, pattern), None
+            codec, out = _codec(shipped, digest, pattern), None
             for batch in batches:
                 names = batch.schema.names
                 rows = [each(codec, t or "") for t in batch.column(1).to_pylist()]
@@ -185,15 +187,16 @@ class Tokenizer:
                 if rows:
                     out = [batch.column(0), *(pa.array(c, type=_ARROW[len(columns)][i]) for i, c in enumerate(columns))]
                     yield pa.RecordBatch.from_arrays(out, names=[names[0], *_NAMES[len(columns)]])
+            trim()
 
         return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
     def decode(self, encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
         """(id, bytes binary): the inverse of encode."""
-        shipped, pattern = self.shipped, self.pattern
+        shipped, digest, pattern = self.shipped, self.digest_of_model, self.pattern
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec = _codec(shipped, pattern)
+            codec = _codec(shipped, digest, pattern)
             for batch in batches:
                 data = [codec.decode(x or []) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=[batch.schema.names[0], "bytes"])

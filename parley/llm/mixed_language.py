@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import small_batches
+from parley.llm.common import small_batches, trim
 
 CELLS = 1 << 15
 PENALTY, MARGIN, ROUNDS, CLOSE = 0.5, 2.0, 50, 1e-4
-#: Letters scored at once; a longer text is worked through in such slices.
-SLICE = 1 << 20
+#: Characters scored at once; a longer text is worked through in such slices, cut behind a non-letter.
+SLICE = 1 << 17
 
 _letters: np.ndarray | None = None
 
@@ -55,6 +55,19 @@ def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(49)).astype(np.int64), np.flatnonzero(np.diff(at, prepend=-9) != 1)
 
 
+def _slices(text: str) -> Iterator[str]:
+    """The text in slices that end behind a non-letter, so that no word is cut but one longer than a slice."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = at + SLICE
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        end = end if end > at else at + SLICE
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
     """True for ids whose CRC-32, taken as text, leaves the remainder fold; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -68,13 +81,15 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         counts: dict[str, np.ndarray] = {}
         for f in frames:
             for text, lang in zip(f["text"], f["lang"]):
-                cells, _ = _trigrams(text)
-                if len(cells):
-                    counts.setdefault(lang, np.zeros(CELLS, np.int64))
-                    counts[lang] += np.bincount(cells, minlength=CELLS)
+                for part in _slices(text):
+                    cells, _ = _trigrams(part)
+                    if len(cells):
+                        counts.setdefault(lang, np.zeros(CELLS, np.int64))
+                        counts[lang] += np.bincount(cells, minlength=CELLS)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "cell": at, "n": c[at]})
+        trim()
 
     small_batches(rows.sparkSession)
     known = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -102,8 +117,8 @@ def _em(p: np.ndarray, mix: np.ndarray) -> tuple[np.ndarray, float]:
 def infer(text: str, logp: np.ndarray) -> tuple[int, np.ndarray] | None:
     """The index of the main language and the proportions of all; None without a letter."""
     parts = []
-    for at in range(0, len(text), SLICE):
-        cells, starts = _trigrams(text[at : at + SLICE])
+    for part in _slices(text):
+        cells, starts = _trigrams(part)
         if len(cells):
             parts.append(np.add.reduceat(logp[cells], starts, axis=0))
     if not parts:
@@ -150,6 +165,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                     out.append((langs[found[0]], float(mix[found[0]]), [langs[i] for i in np.argsort(-mix, kind="stable") if mix[i] > 0]))
             pred, score, each = zip(*out) if out else ((), (), ())
             yield pd.DataFrame({id_col: f[id_col], "lang_pred": pred, "score": np.clip(np.array(score, float), 0, 1), "langs": list(each)})
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInPandas(run, f"{id_col} {kind}, lang_pred string, score double, langs array<string>")
@@ -169,5 +185,6 @@ def label(docs: DataFrame, model: tuple[list[str], np.ndarray], min_share: float
             keep = pa.array([f is not None and f[1][f[0]] >= min_share for f in found], pa.bool_())
             lang = pa.array([langs[f[0]] if f else None for f in found], pa.string())
             yield batch.set_column(names.index(lang_col), lang_col, lang).filter(keep)
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

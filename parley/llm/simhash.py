@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, materialize, small_batches
+from parley.llm.common import cut, materialize, small_batches, trim
 
 SEGMENTS, SEGMENT_BITS = 16, 4
 #: Room for a segment's count in the packed cell.
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=[batch.schema.names[0], "fp"])
+        trim()
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
