@@ -241,10 +241,9 @@ def test_line_templates(spark):
     docs = [(i, f"own{'x' * i} words that stay in place\n{page(i)}\nPlease see our full terms about {kind[i]} on the web") for i in range(7)]
     docs += [(20, None), (21, ""), (22, "\n\n"), (23, page(3)), (23, page(3)), (None, page(4))]
     t = spark.createDataFrame([(d, x, "k") for d, x in docs], "doc_id long, text string, line string")
-    got = line_templates.drop_templates(t)
     by = {}
-    for r in got.collect():
-        by.setdefault(r["doc_id"], []).append((r["text"], r["_n_lines"], r["_n_dropped"]))
+    for r in line_templates.counted(t).collect():
+        by.setdefault(r["doc_id"], []).append((r["text"], r["n_lines"], r["n_dropped"]))
     assert by[0] == [(docs[0][1], 3, 0)]
     assert all(by[i] == [(docs[i][1].split("\n")[0], 3, 2)] for i in range(1, 7))
     assert by[20] == [(None, 0, 0)] and by[21] == [("", 1, 0)] and by[22] == [("\n\n", 3, 0)] and by[23] == [("", 1, 1)] * 2 and by[None] == [(page(4), 1, 0)]
@@ -259,13 +258,13 @@ def test_two_templates_and_noise_in_one_leaf(spark):
     noise = [f"{lead} " + " ".join(name(100 + 8 * i + j) for j in range(8)) for i in range(40)]
     t = spark.createDataFrame(list(enumerate(one + two + noise)), "doc_id int, text string")
     assert {len(x.split()) for x in one + two} == {11}
-    gone = {r["doc_id"] for r in line_templates.drop_templates(t).where("_n_dropped = 1").collect()}
+    gone = {r["doc_id"] for r in line_templates.counted(t).where("n_dropped = 1").collect()}
     assert gone == set(range(1, 30)) | set(range(31, 60))
 
 
 def test_few_repeats_stay(spark):
     t = spark.createDataFrame([(i, "a line that only five documents share\nown " + "z" * i) for i in range(5)], "doc_id long, text string")
-    assert rows(line_templates.drop_templates(t).select("_n_dropped")) == [(0,)] * 5
+    assert rows(line_templates.counted(t).select("n_dropped")) == [(0,)] * 5
 
 
 # --- urls --------------------------------------------------------------------------------------
@@ -305,13 +304,6 @@ def test_mixing_reaches_targets(spark):
     assert soft_mixing.mix(t.limit(0), model, {"a": 1.0}).count() == 0
 
 
-def test_clipped_rates_stay_nonnegative(spark):
-    w = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.1, 0.9]), (10, [0.5, 0.5])], "tokens long, p array<double>")
-    steps, totals = soft_mixing.fit_rates(w, np.array([30.0, 0.5]))
-    rates = [r[0] for r in w.select(soft_mixing._rate(steps)).collect()]
-    assert min(rates) >= 0 and abs(totals[0] - 30) < 5
-
-
 # --- WARC --------------------------------------------------------------------------------------
 def replica(spark, data):
     return spark.createDataFrame([(f, o, r, 1) for f, o, r in data], "file long, ordinal long, record string, hash int")
