@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field, fields
 
-from parley.operators.runs import BUDGETS, PRICES
+from parley.operators.runs import BUDGETS
 
 
 @dataclass(frozen=True)
@@ -17,7 +17,8 @@ class Config:
     log_bytes: int = 5_242_880
     log_backups: int = 5
     budgets: dict = field(default_factory=lambda: dict(BUDGETS))
-    prices: dict = field(default_factory=lambda: dict(PRICES))
+    #: USD for 1000 tokens in and out by model; a deployment adds its own models.
+    prices: dict = field(default_factory=lambda: {"gpt-4o-mini": (0.00015, 0.0006)})
 
 
 def load(text: str | None) -> Config:

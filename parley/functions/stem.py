@@ -9,10 +9,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-#: Suffixes of steps 2, 3 and 4.
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize"
+#: Suffixes of steps 2, 3 and 4 of the published algorithm, and what takes their place.
+_STEP2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"),
+    ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
+    ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+_STEP3 = [
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+]
+_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def _shape(stem: str) -> str:
@@ -66,12 +72,12 @@ def porter(word: str) -> str:
             word += "e"
     if word.endswith("y") and _vowel(word[:-1]):
         word = word[:-1] + "i"
-    word = _longest(word, [tuple(p.split(":")) for p in _STEP2.split()], 0)
-    word = _longest(word, [tuple(p.split(":")) for p in _STEP3.split()], 0)
-    if word.endswith(("sion", "tion")) and not any(word.endswith(s) for s in _STEP4.split()):
+    word = _longest(word, _STEP2, 0)
+    word = _longest(word, _STEP3, 0)
+    if word.endswith(("sion", "tion")) and not any(word.endswith(s) for s in _STEP4):
         word = word[:-3] if _m(word[:-3]) > 1 else word
     else:
-        word = _longest(word, [(s, "") for s in _STEP4.split()], 1)
+        word = _longest(word, [(s, "") for s in _STEP4], 1)
     if word.endswith("e") and (_m(word[:-1]) > 1 or _m(word[:-1]) == 1 and not _cvc(word[:-1])):
         word = word[:-1]
     if word.endswith("ll") and _m(word) > 1:

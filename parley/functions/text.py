@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The four stop-word lists, which differ on purpose.
-STOP_QUERY = "which what who when why how did does do is are was were the a an of to for and or in on at by with from that this these those we i you it they meetings meeting discussed discuss talk talked about".split()
-STOP_ENTITY = "the a an of to for and or is are in on at by with from that this our your their".split()
-STOP_TOPIC = ("the a an of to for and or is are was were be been in on at by with from that this these those we i you he she it they our your their my me us them "
-              "will would should could can may might so if then than as but not no yes ok okay just really very much more most some any all").split()
-STOP_GROUNDING = ("a an and the to of in on for with is are was were be been it its this that they we you i he she them us our your as at by from or but if then than so not no yes "
-                  "do does did have has had will would can could should about into over under out up down more most less least very really just also too only there here what which who whom whose").split()
+STOP_QUERY = [
+    "which", "what", "who", "when", "where", "why", "how", "did", "does", "do", "is", "are", "was", "were", "the", "a", "an", "of", "to", "for", "and", "or",
+    "in", "on", "at", "by", "with", "from", "that", "this", "these", "those", "we", "i", "you", "it", "they", "meetings", "meeting", "discussed",
+    "discuss", "talk", "talked", "about",
+]
+STOP_ENTITY = [
+    "the", "a", "an", "of", "to", "for", "and", "or", "is", "are", "in", "on", "at", "by", "with", "from", "that", "this", "our", "your", "their",
+]
+STOP_TOPIC = [
+    "the", "a", "an", "of", "to", "for", "and", "or", "is", "are", "was", "were", "be", "been", "in", "on", "at", "by", "with", "from", "that",
+    "this", "these", "those", "we", "i", "you", "he", "she", "it", "they", "our", "your", "their", "my", "me", "us", "them", "will", "would",
+    "should", "could", "can", "may", "might", "so", "if", "then", "than", "as", "but", "not", "no", "yes", "ok", "okay", "just", "really", "very",
+    "much", "more", "most", "some", "any", "all",
+]
+STOP_GROUNDING = [
+    "a", "an", "and", "the", "to", "of", "in", "on", "for", "with", "is", "are", "was", "were", "be", "been", "it", "its", "this", "that", "they",
+    "we", "you", "i", "he", "she", "them", "us", "our", "your", "as", "at", "by", "from", "or", "but", "if", "then", "than", "so", "not", "no",
+    "yes", "do", "does", "did", "have", "has", "had", "will", "would", "can", "could", "should", "about", "into", "over", "under", "out", "up",
+    "down", "more", "most", "less", "least", "very", "really", "just", "also", "too", "only", "there", "here", "what", "which", "who", "whom",
+    "whose",
+]
 
 
 def _list(words: list[str]) -> Column:
@@ -185,9 +202,31 @@ def inline_sources(x: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(x, F.lit(r"\[([A-Za-z]\d+(?:\s*,\s*[A-Za-z]\d+)*)\]"), F.lit(1)), lambda s: F.split(s, r"\s*,\s*"))))
 
 
-def auto_title(x: Column) -> Column:
-    """At most 60 characters, cut to 57 and an ellipsis (SC-23)."""
-    return F.when(F.length(x) > 60, F.concat(F.substring(x, 1, 57), F.lit("…"))).otherwise(x)
+def clipped(x: Column) -> Column:
+    """At most 60 characters: 57, without white space at their end, and an ellipsis (SC-23)."""
+    return F.when(F.length(x) > 60, F.concat(F.regexp_replace(F.substring(x, 1, 57), r"\s+$", ""), F.lit("…"))).otherwise(x)
+
+
+def highlight(x: Column, terms: list[str], width: int = 12) -> Column:
+    """A window of tokens around the first one that begins with a term, which stands in bold, with an ellipsis
+    where text is left out (SC-25)."""
+    tokens = F.split(F.trim(x), r"\s+")
+    hit = lambda t: reduce(lambda a, b: a | b, [F.startswith(F.regexp_replace(F.lower(t), "[^a-z0-9]", ""), F.lit(w)) for w in terms])
+    first = F.coalesce(F.get(F.filter(F.transform(tokens, lambda t, i: F.when(hit(t), i)), lambda i: i.isNotNull()), F.lit(0)), F.lit(0))
+    start = F.greatest(F.lit(0), F.least(first - width // 2, F.size(tokens) - width))
+    shown = F.transform(F.slice(tokens, start + 1, F.lit(width)), lambda t: F.when(hit(t), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
+    return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(start + width < F.size(tokens), "…").otherwise(""))
+
+
+def parse_json_loose(x: Column) -> Column:
+    """The JSON in a model's answer as text, or null (SN-14): the answer, the inside of its first fence, and
+    what stands between its first and last brace, each as it is and without trailing commas."""
+    t = F.trim(x)
+    fenced = F.trim(F.regexp_extract(t, r"```(?:json)?\s*([\s\S]*?)```", 1))
+    braced = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    bare = lambda c: F.regexp_replace(c, r",\s*([}\]])", "$1")
+    valid = lambda c: F.to_json(F.try_parse_json(F.nullif(c, F.lit(""))))
+    return F.coalesce(*(valid(v) for c in (t, fenced, braced) for v in (c, bare(c))))
 
 
 def duration_estimate(text: Column, gap: Column) -> Column:

@@ -36,7 +36,20 @@ def claim_chunks(claims: DataFrame) -> DataFrame:
 
 
 def summary_chunks(meetings: DataFrame) -> DataFrame:
-    return meetings.select(F.col("id").alias("meeting_id"), F.lit("summary").alias("kind"), F.lit(0).cast("long").alias("src_id"), F.col("title").alias("text"))
+    """One chunk of kind summary for each meeting that has a summary, else of its title."""
+    text = F.coalesce("summary", "title") if "summary" in meetings.columns else F.col("title")
+    return meetings.select(F.col("id").alias("meeting_id"), F.lit("summary").alias("kind"), F.lit(0).cast("long").alias("src_id"), text.alias("text"))
+
+
+def every_chunk(utterances: DataFrame, claims: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(meeting_id, kind, src_id, start_offset_s, end_offset_s, speakers, text): the windows, passed claims and
+    summaries of all meetings (CP-7); a claim stands at its offset, a summary at the start."""
+    w = windows(utterances).select("meeting_id", F.lit("window").alias("kind"), "src_id", "start_offset_s", "end_offset_s", "speakers", "text")
+    at = claims.select(F.col("id").alias("src_id"), F.coalesce("offset_s", F.lit(0.0)).alias("start_offset_s"))
+    c = claim_chunks(claims).join(at, "src_id")
+    none = F.lit(None).cast("string")
+    rows = c.unionByName(summary_chunks(meetings).withColumn("start_offset_s", F.lit(0.0)))
+    return w.unionByName(rows.select("meeting_id", "kind", "src_id", "start_offset_s", F.col("start_offset_s").alias("end_offset_s"), none.alias("speakers"), "text"))
 
 
 def claim_label(body: str, quote: str):

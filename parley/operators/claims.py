@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators.chunks import claim_label
+from parley.operators.gates import grounded
 
 CLAIM_KINDS = ["decision", "action_item", "risk", "moment", "objection"]
-#: Fixed value: openings of questions that ask for a list.
-ENUMERATIVE = r"(?i)\b(list|all|every|open|outstanding|which)\b.*\b(decisions?|action items?|actions|commitments?|risks?|objections?|todos?|to-dos?)\b"
+#: Fixed value: questions that ask for a list.
+ENUMERATIVE = (
+    r"(?i)\b(list|all|every|open|pending|outstanding)\b.*\b(action items?|next steps?|decisions?|to-?dos?|tasks?|risks?|commitments?)\b"
+    r"|\b(action items?|next steps?|decisions?|to-?dos?|tasks?)\b.*\b(so far|till now|until now|currently|open|pending)\b"
+    r"|what (are|were) the (last |latest )?(agreed( upon)? )?(next steps|action items|decisions)"
+)
+#: Fixed value: questions about done items, too.
+EVERYTHING = r"(?i)all|every|done|completed"
+#: Titles that nobody chose.
+DEFAULT_TITLE = r"^Untitled meeting$|^Meeting [0-9]|^Quick capture "
 
 
 def claim_kind(kind: str | None) -> str:
@@ -60,6 +69,8 @@ def list_meetings(meetings: DataFrame, claims: DataFrame, utterances: DataFrame,
     """Meetings, newest first, with counts and participants (AG-2, AG-3, TK-1)."""
     recent = meetings if since_ms is None else meetings.where(F.col("started_at") >= since_ms)
     top = recent.orderBy(F.desc("started_at"), "id").limit(limit)
+    chosen = top.select(F.col("id").alias("meeting_id"))
+    claims, utterances = (df.join(chosen, "meeting_id", "left_semi") for df in (claims, utterances))
     c = claims.where("gate = 'passed'").groupBy(F.col("meeting_id").alias("id")).agg(F.count_if(F.col("kind") == "decision").alias("decisions"), F.count_if(F.col("kind") == "action_item").alias("action_items"))
     s = utterances.where("speaker is not null").groupBy(F.col("meeting_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("participants"))
     zero = lambda x: F.coalesce(x, F.lit(0).cast("long")).alias(x)
@@ -125,22 +136,93 @@ def lookup(entities: DataFrame, name: str) -> DataFrame:
 
 
 def is_enumerative(question: Column) -> Column:
+    """Whether a question is answered from the claims, completely (FLT-14)."""
     return question.rlike(ENUMERATIVE)
 
 
+def asked_kind(question: Column) -> Column:
+    """The kind of claim a question asks for: decisions, risks, else action items."""
+    return F.when(question.rlike("(?i)decision"), "decision").when(question.rlike("(?i)risk"), "risk").otherwise("action_item")
+
+
+def asked_open(question: Column) -> Column:
+    """Only open action items are meant unless the question says otherwise; other kinds have no state."""
+    return (asked_kind(question) == "action_item") & ~question.rlike(EVERYTHING)
+
+
 def enumerate_claims(claims: DataFrame, meetings: DataFrame, kind: str, open_only: bool, scope: DataFrame | None = None) -> DataFrame:
-    """Every passed claim of a kind, with its label; scope: meeting ids of a project (CP-10, JN-27)."""
+    """Every passed claim of a kind, with its label, and as a line with owner and due date; scope: meeting ids
+    of a project (CP-10, JN-27)."""
     rows = passed(claims, kind, open_only)
     if scope is not None:
         rows = rows.join(scope.select("meeting_id").distinct(), "meeting_id", "left_semi")
-    return rows.join(meetings.select(F.col("id").alias("meeting_id"), "title"), "meeting_id").select("id", "meeting_id", "title", claim_label("body", "quote").alias("label"))
+    field = lambda k, before, after: F.when(F.coalesce(F.get_json_object("body", f"$.{k}"), F.lit("")) != "", F.concat(F.lit(before), F.get_json_object("body", f"$.{k}"), F.lit(after))).otherwise("")
+    label = claim_label("body", "quote")
+    text = F.concat(label, field("owner", " — ", ""), field("due", " (due ", ")"))
+    return rows.join(meetings.select(F.col("id").alias("meeting_id"), "title", "started_at"), "meeting_id").select("id", "meeting_id", "title", "started_at", label.alias("label"), text.alias("text"), F.coalesce("quote", F.lit("")).alias("quote"), F.coalesce("offset_s", F.lit(0.0)).alias("offset_s"))
 
 
-def enumeration_summary(rows: DataFrame, noun: str) -> DataFrame:
-    """One sentence: how many, in how many meetings (AG-23)."""
+def enumeration_summary(rows: DataFrame, noun: str, in_project: bool = False) -> DataFrame:
+    """One sentence: how many, in how many meetings, or that there are none (AG-23)."""
     counts = rows.agg(F.count("*").alias("n"), F.count_distinct("meeting_id").alias("m"))
     many = lambda c, one: F.concat(c.cast("string"), F.lit(f" {one}"), F.when(c == 1, "").otherwise("s"))
-    return counts.select("n", "m", F.concat(many(F.col("n"), noun), F.lit(" across "), many(F.col("m"), "meeting"), F.lit(".")).alias("summary"))
+    found = F.concat(many(F.col("n"), noun), F.lit(" across "), many(F.col("m"), "meeting"), F.lit(", newest first."))
+    return counts.select("n", "m", F.when(F.col("n") > 0, found).otherwise(f"No {noun}s found{' in this project' if in_project else ''}.").alias("summary"))
+
+
+def default_title(title: Column) -> Column:
+    """A title that nobody chose (FLT-12)."""
+    return title.rlike(DEFAULT_TITLE)
+
+
+def titled(meetings: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, title) of meetings (id, title, headline, started_at): one that nobody chose gives way to the headline,
+    else to the strongest topic and the day; a title is at most 60 characters (SC-23)."""
+    topics = entities.where("kind = 'topic'").select(F.col("id").alias("entity_id"), "label")
+    best = strongest_topic(mentions.join(topics.select("entity_id"), "entity_id", "left_semi")).join(topics, "entity_id").select(F.col("meeting_id").alias("id"), "label")
+    day = F.date_format(F.timestamp_millis("started_at"), "MMM d")
+    rows = meetings.join(best, "id", "left")
+    new = F.coalesce(F.nullif(F.trim("headline"), F.lit("")), F.concat("label", F.lit(" — "), day))
+    return rows.select("id", F.when(default_title(F.col("title")), F.coalesce(T.clipped(new), "title")).otherwise(F.col("title")).alias("title"))
+
+
+def resolve_owners(actions: DataFrame, utterances: DataFrame) -> DataFrame:
+    """actions (meeting_id, id, owner, task) -> (meeting_id, id, owner): a role gives way to the speaker of that
+    role whose line holds most of the task's words of four letters or more, the earliest of equals; without any
+    to the role's only speaker; else it stays. Names stay as they are (SC-22)."""
+    role = F.lower("owner")
+    asked = actions.where(role.isin("agent", "customer")).select("meeting_id", "id", role.alias("speaker_role"), F.filter(F.split(F.lower("task"), r"\s+"), lambda w: F.length(w) > 3).alias("words"))
+    spoken = utterances.where("coalesce(speaker, '') <> ''").select("meeting_id", "speaker_role", "speaker", "idx", F.lower("text").alias("said"))
+    hits = F.size(F.filter("words", lambda w: F.contains("said", w)))
+    met = asked.join(spoken, ["meeting_id", "speaker_role"]).withColumn("hits", hits).where("hits > 0")
+    best = met.groupBy("meeting_id", "id").agg(F.min_by("speaker", F.struct(-F.col("hits"), "idx")).alias("best"))
+    only = spoken.groupBy("meeting_id", "speaker_role").agg(F.min("speaker").alias("a"), F.max("speaker").alias("b")).where("a = b").select("meeting_id", "speaker_role", F.col("a").alias("only"))
+    found = asked.join(best, ["meeting_id", "id"], "left").join(only, ["meeting_id", "speaker_role"], "left").select("meeting_id", "id", F.coalesce("best", "only").alias("name"))
+    return actions.join(found, ["meeting_id", "id"], "left").select("meeting_id", "id", F.coalesce("name", "owner").alias("owner"))
+
+
+def assembled(recaps: DataFrame, utterances: DataFrame) -> DataFrame:
+    """recaps -> (meeting_id, kind, pos, body, offset_s, quote, gate, gate_reason): the claims of a recap, each
+    with the quote or offset that grounds it, passed or blocked (GT-22).
+
+    recaps: meeting_id, moments array<struct<offset_s,text>>, risk_signals array<struct<quote,text>>, objections
+    array<struct<text>>, key_decisions array<string>, action_items array<struct<task,owner,due>>."""
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    each = lambda c: recaps.select("meeting_id", F.posexplode(c).alias("pos", "x"))
+    row = lambda df, kind, body, offset, quote: df.select("meeting_id", F.lit(kind).alias("kind"), "pos", body.alias("body"), offset.cast("double").alias("offset_s"), quote.alias("quote"))
+    acts = each("action_items").select("meeting_id", F.col("pos").alias("id"), "x.owner", "x.task", "x.due")
+    owned = acts.drop("owner").join(resolve_owners(acts, utterances), ["meeting_id", "id"]).withColumnRenamed("id", "pos")
+    x = F.col("x")
+    parts = [
+        row(each("moments"), "moment", F.to_json("x"), x["offset_s"], text),
+        row(each("risk_signals"), "risk", F.to_json("x"), none, x["quote"]),
+        row(each("objections"), "objection", F.to_json("x"), none, x["text"]),
+        row(each("key_decisions"), "decision", F.to_json(F.struct(x.alias("text"))), none, x),
+        row(owned, "action_item", F.to_json(F.struct("task", "owner", "due")), none, F.col("task")),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    found = grounded(rows.withColumn("id", F.concat_ws("|", "meeting_id", "kind", "pos")), utterances)
+    return found.select("meeting_id", "kind", "pos", "body", "offset_s", "quote", F.when(F.col("gate_reason").isNull(), "passed").otherwise("blocked").alias("gate"), "gate_reason")
 
 
 def upcoming(entries: DataFrame, as_of_ms: int, limit: int = 6) -> DataFrame:

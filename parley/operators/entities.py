@@ -127,7 +127,7 @@ def _alike(a: str, b: str) -> float:
 
 
 def resolve(cands: DataFrame, entities: DataFrame) -> DataFrame:
-    """(meeting_id, kind, surface, entity_id, matcher, score, runner_up): alias, slug, containment,
+    """(meeting_id, kind, surface, seq, quote, offset_s, source, entity_id, matcher, score, runner_up, matched): alias, slug, containment,
     likeness, in this order; what matches nothing becomes an entity for those after it (CP-3).
 
     Each choice can hang on the one before, so a meeting's candidates (twelve at most) are resolved in
@@ -156,11 +156,13 @@ def resolve(cands: DataFrame, entities: DataFrame) -> DataFrame:
             else:
                 found = (None, "none", best[0], second)
                 known.append((slug, c.kind, c.surface))
-            out.append((key[0], c.kind, c.surface, *found))
-        return pd.DataFrame(out, columns=["meeting_id", "kind", "surface", "entity_id", "matcher", "score", "runner_up"])
+            labels = {k[0]: k[2] for k in known}
+            matched = None if found[0] is None else f"{found[1]} match with {labels.get(found[0], found[0])}"
+            out.append((key[0], c.kind, c.surface, c.seq, c.quote, c.offset_s, c.source, *found, matched))
+        return pd.DataFrame(out, columns=["meeting_id", "kind", "surface", "seq", "quote", "offset_s", "source", "entity_id", "matcher", "score", "runner_up", "matched"])
 
-    schema = "meeting_id string, kind string, surface string, entity_id string, matcher string, score double, runner_up double"
-    ordered = cands.withColumn("seq", F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.desc("weight"), "kind", "surface"))).select("meeting_id", "kind", "surface", "seq")
+    schema = "meeting_id string, kind string, surface string, seq int, quote string, offset_s double, source string, entity_id string, matcher string, score double, runner_up double, matched string"
+    ordered = cands.withColumn("seq", F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.desc("weight"), "kind", "surface"))).select("meeting_id", "kind", "surface", "seq", "quote", "offset_s", "source")
     return ordered.groupBy("meeting_id").cogroup(near.groupBy("meeting_id")).applyInPandas(run, schema)
 
 
@@ -194,13 +196,16 @@ def canonical_reason(df: DataFrame) -> DataFrame:
 
 def store(resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, aliases, mentions) of gated resolutions: kept ones map to their entity; blocked ones
-    get an entity of their own and a blocked mention, but for placeholders (CP-4). First wins."""
+    get an entity of their own and a blocked mention, but for placeholders (CP-4). The first of a meeting's
+    candidates wins (seq, their order; meetings in the order of their ids); mentions keep offset, quote and source."""
     own = T.slug(F.col("kind"), F.col("surface"))
+    blocked = F.col("gate_reason").isNotNull()
     placed = resolved.where(~F.coalesce(F.col("gate_reason").contains("speaker placeholder"), F.lit(False)))
-    placed = placed.withColumn("id", F.when(F.col("gate_reason").isNull(), F.coalesce("entity_id", own)).otherwise(own))
-    entities = placed.groupBy("id").agg(F.min_by("kind", "surface").alias("kind"), F.min("surface").alias("label"))
-    kept = placed.where("gate_reason is null")
-    aliases = kept.groupBy(F.col("id").alias("entity_id"), T.normalize(F.col("surface")).alias("norm")).agg(F.min("surface").alias("alias"), F.min_by("matcher", "surface").alias("matcher"), F.min_by("score", "surface").alias("score"))
-    gate = F.when(F.col("gate_reason").isNull(), "passed").otherwise("blocked")
-    mentions = placed.select(F.col("id").alias("entity_id"), "meeting_id", "surface", "matcher", "score", gate.alias("gate"), "gate_reason").dropDuplicates(["entity_id", "meeting_id", "surface"])
+    placed = placed.withColumn("id", F.when(blocked, own).otherwise(F.coalesce("entity_id", own))).withColumn("at", F.struct("meeting_id", blocked.alias("blocked"), "seq"))
+    pick = lambda c: F.min_by(c, "at").alias(c)
+    entities = placed.groupBy("id").agg(pick("kind"), F.min_by("surface", "at").alias("label"))
+    aliases = placed.where(~blocked).groupBy(F.col("id").alias("entity_id"), T.normalize(F.col("surface")).alias("norm")).agg(F.min_by("surface", "at").alias("alias"), pick("matcher"), pick("score"), F.min_by("matched", "at").alias("reason"))
+    gate = F.when(blocked, "blocked").otherwise("passed")
+    rows = placed.withColumn("gate", gate)
+    mentions = rows.groupBy(F.col("id").alias("entity_id"), "meeting_id", "surface").agg(*(pick(c) for c in ("offset_s", "quote", "source", "matcher", "score", "gate", "gate_reason")))
     return entities, aliases, mentions

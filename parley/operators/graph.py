@@ -9,6 +9,8 @@ from parley.functions import text as T
 
 #: Passed mentions that make a topic a node; the band of similarity that relates topics.
 PROMOTE, RELATE_MIN, MERGE_MIN = 3, 0.15, 0.72
+#: Seconds of a bucket of the time axis in interval joins.
+BUCKET_S = 30
 
 
 def promoted(mentions: DataFrame) -> DataFrame:
@@ -89,12 +91,19 @@ def co_occurring(edges: DataFrame, node: str) -> DataFrame:
     return m.join(here, "meeting_id", "left_semi").where(F.col("dst") != node).groupBy("dst").agg(F.count_distinct("meeting_id").alias("n"))
 
 
-def nearest_chunks(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(entity_id, meeting_id, offset_s, chunk_id): the narrowest window around a mention's offset, else
-    the meeting's first window (JN-14)."""
+def nearest_chunks(mentions: DataFrame, chunks: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(entity_id, meeting_id, offset_s, chunk_id): the narrowest window around a mention's offset, else,
+    and for a mention without an offset, the meeting's first window (JN-14). The time axis is cut into
+    buckets of BUCKET_S; a window stands in each that it touches, so the join is on meeting and bucket."""
+    key = key or ["entity_id", "meeting_id", "offset_s"]
     c = chunks.select(F.col("id").alias("chunk_id"), "meeting_id", "src_id", "start_offset_s", "end_offset_s")
     first = c.groupBy("meeting_id").agg(F.min_by("chunk_id", "src_id").alias("first_id"))
-    hit = mentions.join(c, "meeting_id").where((F.col("start_offset_s") <= F.col("offset_s")) & (F.col("end_offset_s") >= F.col("offset_s")))
-    key = ["entity_id", "meeting_id", "offset_s"]
+    bucket = lambda x: F.floor(F.col(x) / BUCKET_S)
+    spread = c.where("end_offset_s >= start_offset_s").withColumn("bucket", F.explode(F.sequence(bucket("start_offset_s"), bucket("end_offset_s"))))
+    own = mentions.select(*key).distinct()
+    hit = own.withColumn("bucket", bucket("offset_s")).join(spread, ["meeting_id", "bucket"]).where((F.col("start_offset_s") <= F.col("offset_s")) & (F.col("end_offset_s") >= F.col("offset_s")))
     best = hit.groupBy(*key).agg(F.min_by("chunk_id", F.struct(F.col("end_offset_s") - F.col("start_offset_s"), "chunk_id")).alias("near_id"))
-    return mentions.select(*key).distinct().join(best, key, "left").join(first, "meeting_id").select(*key, F.coalesce("near_id", "first_id").alias("chunk_id"))
+    best = best.select(*(F.col(k).alias(f"{k}_") for k in key), "near_id")
+    # Mentions without an offset meet no window; null-safe equality keeps them.
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key]
+    return own.join(best, same, "left").select(*key, "near_id").join(first, "meeting_id").select(*key, F.coalesce("near_id", "first_id").alias("chunk_id"))

@@ -153,17 +153,19 @@ def from_markdown(docs: DataFrame) -> DataFrame:
     return rows.join(parents, ["doc_id", "path"], "left").withColumn("is_leaf", F.col("_p").isNull()).drop("_p")
 
 
-def shape_errors(notes: DataFrame) -> DataFrame:
+def shape_errors(notes: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(doc_id, path, error) of notes JSON that breaks the shape: empty texts, labels with sources, leaves
-    without, children below the third level (GT-19)."""
+    without, children below the deepest level, which is the third for notes and the second for a summary (GT-19)."""
     rows = bullets(notes)
     p = path_text(F.col("path"))
-    deep = notes.select("doc_id", F.explode(F.expr("try_variant_get(try_parse_json(json), '$.themes', 'array<variant>')")).alias("t")).where(F.expr("try_variant_get(t, '$.children[0].children[0].children[0]', 'string') is not null"))
+    below = ".".join(["children[0]"] * MAX_DEPTH)
+    deep = notes.select("doc_id", F.explode(F.expr("try_variant_get(try_parse_json(json), '$.themes', 'array<variant>')")).alias("t")).where(F.expr(f"try_variant_get(t, '$.{below}', 'string') is not null"))
+    too_deep = rows.where(F.col("depth") > depth).select("doc_id").union(deep.select("doc_id")).distinct()
     found = [
         rows.where(F.coalesce(F.trim("text") == "", F.lit(True))).select("doc_id", p.alias("path"), F.lit("text must be a non-empty string").alias("error")),
         rows.where(~F.col("is_leaf") & F.col("source").isNotNull()).select("doc_id", p.alias("path"), F.lit("a theme label must not carry source").alias("error")),
         rows.where(F.col("is_leaf") & F.coalesce(F.size("source") <= 0, F.lit(True))).select("doc_id", p.alias("path"), F.lit("a leaf bullet must carry source").alias("error")),
-        deep.select("doc_id", F.lit("").alias("path"), F.lit("exceeds the maximum outline depth of 3").alias("error")),
+        too_deep.select("doc_id", F.lit("").alias("path"), F.lit(f"exceeds the maximum outline depth of {depth}").alias("error")),
     ]
     out = found[0]
     for more in found[1:]:

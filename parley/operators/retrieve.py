@@ -2,58 +2,87 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parley.functions import stem as S
 from parley.functions import text as T
 from parley.operators.graph import nearest_chunks
 
+#: Weights of a chunk's columns and the smallest weight of a term.
+WEIGHTS, LEAST_IDF = {"text": 10, "speakers": 2}, 1e-6
 #: BM25 constants, fusion constant and arm weights, arm and mention limits, cap and length of the answer.
 K1, B, RRF_K, W_LEX, W_GRAPH, ARM_LIMIT, MENTION_LIMIT, PER_MEETING, TOP = 1.2, 0.75, 60, 1.0, 0.6, 60, 80, 3, 12
 RECENCY, HALF_DAYS, DAY_MS = 0.15, 180.0, 86_400_000.0
 
 
 def terms_of(question: str) -> list[str]:
-    """The question's terms, distinct, in order."""
+    """The question's terms in order, repeated ones too."""
     import re
 
     words = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", question.lower())).strip().split(" ")
-    return list(dict.fromkeys(w for w in words if len(w) >= 2 and w not in T.STOP_QUERY))
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl): how often each term stands in a chunk, and the chunk's length."""
-    words = chunks.select(F.col("id").alias("chunk_id"), F.filter(F.split(T.normalize(F.col("text")), " "), lambda w: w != "").alias("words"))
-    return words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def matches(post: DataFrame, terms: list[str]) -> DataFrame:
-    """(chunk_id, term, tf, dl) of chunks with all terms, the last as a prefix; if none has, of those
-    with any term (FLT-7). Both sets are one filtered scan of the postings; a flag chooses."""
-    hit = [F.col("term").startswith(t) if i == len(terms) - 1 else F.col("term") == t for i, t in enumerate(terms)]
-    some = post.where(reduce(lambda a, b: a | b, hit))
-    tagged = some.groupBy("chunk_id").agg(reduce(lambda a, b: a & b, [F.bool_or(h) for h in hit]).alias("strict"))
-    any_strict = tagged.agg(F.coalesce(F.bool_or("strict"), F.lit(False)).alias("any_strict"))
-    exact = reduce(lambda a, b: a | b, [F.col("term") == t for t in terms])
-    rows = some.join(tagged, "chunk_id").join(F.broadcast(any_strict))
-    return rows.where(F.when(F.col("any_strict"), F.col("strict")).otherwise(exact)).select("chunk_id", "term", "tf", "dl", "any_strict")
-
-
-def bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """(chunk_id, score): Okapi BM25 over the matching chunks; a prefix counts as one term."""
-    post = postings(chunks)
-    m = matches(post, terms)
-    lead = F.lit(None).cast("string")
-    for i, t in reversed(list(enumerate(terms))):
-        lead = F.when((F.col("term").startswith(t) & F.col("any_strict")) | (F.col("term") == t), t).otherwise(lead) if i == len(terms) - 1 else F.when(F.col("term") == t, t).otherwise(lead)
-    m = m.withColumn("query", lead).groupBy("chunk_id", "dl", "query").agg(F.sum("tf").alias("tf"))
-    df = m.groupBy("query").agg(F.count("*").alias("df"))
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.size(F.filter(F.split(T.normalize(F.col("text")), " "), lambda w: w != ""))).alias("avgdl"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return [w for w in words if len(w) >= 2 and w not in T.STOP_QUERY]
+
+
+@dataclass(frozen=True)
+class Index:
+    """An inverted index of chunks: postings (chunk_id, term, tf, dl), where tf adds up the columns' weights,
+    and one row of totals (n chunks, avgdl). stemmed tells how terms of a question are to be looked up."""
+
+    postings: DataFrame
+    totals: DataFrame
+    stemmed: bool = True
+
+    def save(self, path: str, files: int | None = None) -> None:
+        """Write both as Parquet, postings in ranges of terms, so that a question reads the row groups of
+        its terms only."""
+        spread = self.postings.repartitionByRange(*([files] if files else []), "term").sortWithinPartitions("term", "chunk_id")
+        spread.write.mode("overwrite").parquet(f"{path}/postings")
+        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"), stemmed)
+
+
+def index(chunks: DataFrame, stemmed: bool = True) -> Index:
+    """The index of chunks (id, text, speakers): terms are folded and Porter-stemmed, or plain words."""
+    words = (lambda c: S.index_terms(c)) if stemmed else (lambda c: F.filter(F.split(T.normalize(F.col(c)), " "), lambda w: w != ""))
+    rows = chunks.select(F.col("id").alias("chunk_id"), *(F.coalesce(words(c), F.array().cast("array<string>")).alias(c) for c in WEIGHTS))
+    rows = rows.withColumn("dl", sum((F.size(c) for c in WEIGHTS), F.lit(0)))
+    weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+    each = F.concat(*(F.transform(c, weighed(w)) for c, w in WEIGHTS.items()))
+    post = rows.select("chunk_id", "dl", F.explode(each).alias("t")).groupBy("chunk_id", "dl", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
+    return Index(post.select("chunk_id", "term", "tf", "dl"), rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), stemmed)
+
+
+def matches(ix: Index, terms: list[str]) -> DataFrame:
+    """(chunk_id, dl, q, tf) of chunks that match a question (FLT-7): all terms, the last as a prefix; if no
+    chunk has, any term as a whole. q is the term's place; a term that stands twice counts twice. Both are
+    one filtered scan of the postings, of which a flag chooses."""
+    looked = [S.porter(t) for t in terms] if ix.stemmed else terms
+    whole = [F.col("term") == t for t in looked]
+    begun = [*whole[:-1], F.col("term").startswith(looked[-1])]
+    some = ix.postings.where(reduce(lambda a, b: a | b, begun))
+    hits = F.array_compact(F.array(*(F.when(b, F.struct(F.lit(i).alias("q"), w.alias("whole"))) for i, (b, w) in enumerate(zip(begun, whole)))))
+    each = some.select("chunk_id", "dl", "tf", F.explode(hits).alias("h")).groupBy("chunk_id", "dl", "h.q").agg(F.sum("tf").alias("begun"), F.sum(F.when(F.col("h.whole"), F.col("tf"))).alias("whole"))
+    full = each.groupBy("chunk_id").agg((F.count("*") == len(terms)).alias("strict"))
+    found = full.agg(F.coalesce(F.bool_or("strict"), F.lit(False)).alias("any_strict"))
+    rows = each.join(F.broadcast(found)).select("chunk_id", "dl", "q", "any_strict", F.when(F.col("any_strict"), F.col("begun")).otherwise(F.col("whole")).alias("tf")).where("tf is not null")
+    return rows.join(full, "chunk_id").withColumn("kept", ~F.col("any_strict") | F.col("strict")).select("chunk_id", "dl", "q", "tf", "kept")
+
+
+def bm25(ix: Index, terms: list[str]) -> DataFrame:
+    """(chunk_id, score): BM25 over the matching chunks; document frequencies are those of the whole index,
+    and a term of most chunks keeps a smallest weight (SN-6)."""
+    m = matches(ix, terms)
+    df = m.groupBy("q").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return m.join(F.broadcast(df), "query").join(F.broadcast(stats)).groupBy("chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    return m.where("kept").join(F.broadcast(df), "q").join(F.broadcast(ix.totals)).groupBy("chunk_id").agg(F.round(F.sum(part), 12).alias("score"))
 
 
 def ranked(scores: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -62,8 +91,8 @@ def ranked(scores: DataFrame, limit: int, *order: Column) -> DataFrame:
     return first.select("chunk_id", (F.row_number().over(Window.orderBy(*order, "chunk_id")) - 1).alias("rank"))
 
 
-def lexical_arm(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    return ranked(bm25(chunks, terms), ARM_LIMIT, F.desc("score"))
+def lexical_arm(ix: Index, terms: list[str]) -> DataFrame:
+    return ranked(bm25(ix, terms), ARM_LIMIT, F.desc("score"))
 
 
 def seeds(entities: DataFrame, terms: list[str]) -> DataFrame:
@@ -84,7 +113,7 @@ def graph_arm(entities: DataFrame, related: DataFrame, mentions: DataFrame, chun
     m = graph_mentions(entities, related, mentions, terms)
     order = Window.orderBy(F.desc("is_seed"), "entity_id", "meeting_id", "offset_s")
     placed = m.withColumn("at", F.row_number().over(order))
-    near = nearest_chunks(placed, chunks).join(placed, ["entity_id", "meeting_id", "offset_s"])
+    near = nearest_chunks(placed, chunks, ["entity_id", "meeting_id", "offset_s", "at"])
     return ranked(near.groupBy("chunk_id").agg(F.min("at").alias("at")), ARM_LIMIT, F.col("at"))
 
 
@@ -108,14 +137,15 @@ def capped(scored: DataFrame, per_meeting: int, top: int) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_meeting).drop("_n").orderBy(F.desc("score"), "chunk_id").limit(top)
 
 
-def retrieve(chunks: DataFrame, meetings: DataFrame, question: str, as_of_ms: int, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, top: int = TOP) -> DataFrame:
-    """(chunk_id, meeting_id, title, started_at, offset_s, speakers, text, score) of the best chunks."""
+def retrieve(chunks: DataFrame, meetings: DataFrame, question: str, as_of_ms: int, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, top: int = TOP, ix: Index | None = None) -> DataFrame:
+    """(chunk_id, meeting_id, title, started_at, offset_s, speakers, text, score) of the best chunks. ix, the
+    saved index of the chunks, spares every question their tokenisation."""
     terms = terms_of(question)
     shape = chunks.join(meetings.select(F.col("id").alias("meeting_id"), "title", "started_at"), "meeting_id").select(F.col("id").alias("chunk_id"), "meeting_id", "title", "started_at", F.col("start_offset_s").alias("offset_s"), "speakers", "text")
     if not terms:
         return shape.withColumn("score", F.lit(0.0)).limit(0)
     arm = graph_arm(graph[0], graph[1], graph[2], chunks, terms) if graph else None
-    scored = shape.join(F.broadcast(fused(lexical_arm(chunks, terms), arm)), "chunk_id")
+    scored = shape.join(F.broadcast(fused(lexical_arm(ix or index(chunks), terms), arm)), "chunk_id")
     return capped(scored.withColumn("score", F.round(F.col("fused") * recency(F.col("started_at"), as_of_ms), 12)).drop("fused"), PER_MEETING, top)
 
 

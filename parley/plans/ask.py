@@ -22,23 +22,92 @@ def ask_extractive(w: World, question: str = QUESTION) -> DataFrame:
     return R.extractive_answer(snippets(w, question))
 
 
-def project_context(w: World, project_id: int, meetings: int = 12, people: int = 10, decisions: int = 5) -> DataFrame:
-    """(part, rank, text): newest meetings, most frequent speakers and newest decisions of a project (CP-11, CP-12)."""
-    scope = w.meeting_projects.where(F.col("project_id") == project_id).select("meeting_id")
-    m = w.meetings.join(scope.withColumnRenamed("meeting_id", "id"), "id", "left_semi")
-    newest = m.select(F.lit("meeting").alias("part"), F.row_number().over(Window.orderBy(F.desc("started_at"), "id")).alias("rank"), F.col("title").alias("text")).where(F.col("rank") <= meetings)
-    speakers = w.utterances.where("speaker is not null").join(scope, "meeting_id", "left_semi").groupBy("speaker").agg(F.count("*").alias("n"))
-    top = speakers.select(F.lit("person").alias("part"), F.row_number().over(Window.orderBy(F.desc("n"), "speaker")).alias("rank"), F.col("speaker").alias("text")).where(F.col("rank") <= people)
-    d = C.passed(w.claims, "decision").join(scope, "meeting_id", "left_semi").select(F.lit("decision").alias("part"), F.row_number().over(Window.orderBy("id")).alias("rank"), F.get_json_object("body", "$.task").alias("text")).where(F.col("rank") <= decisions)
-    return newest.unionByName(top).unionByName(d)
+#: How much of a project a model is shown, and the confidence that a suggestion needs.
+MEETINGS, PEOPLE, DOCS, MATCH_DOCS, DECISIONS, EXCERPT, PAGE, CONFIDENT = 12, 10, 8, 5, 5, 300, 9000, 0.5
+#: Claims, people and topics of a node's context.
+NODE_CLAIMS, NODE_PEOPLE, NODE_TOPICS = 12, 6, 8
+
+
+def _top(df: DataFrame, part: str, by: list[str], order: list, most: int | None, text) -> DataFrame:
+    """(keys, part, rank, text) of the first rows of each key."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = df.select(*by, F.lit(part).alias("part"), rank.alias("rank"), text.alias("text"))
+    return rows if most is None else rows.where(F.col("rank") <= most)
+
+
+def project_context(meetings: DataFrame, claims: DataFrame, meeting_projects: DataFrame, project_people: DataFrame, documents: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project_id, part, rank, text): what a question about a project is answered from (CP-12): its newest meetings,
+    the passed decisions and action items of all its meetings with these meetings' titles, its people with their
+    teams, its latest documents. project_people: project_id, name, team; documents: project_id, id, title, content,
+    summary, updated_at. projects restricts the result to the ids it holds."""
+    of = lambda df: df.join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi")
+    in_scope = of(meeting_projects)
+    m = in_scope.join(meetings.select(F.col("id").alias("meeting_id"), "title", "started_at"), "meeting_id")
+    newest = _top(m, "meeting", ["project_id"], [F.desc("started_at"), "meeting_id"], MEETINGS, F.concat("title", F.lit(" ("), C.iso_day(F.col("started_at")), F.lit(")")))
+    field = lambda k: F.get_json_object(F.coalesce("edited_body", "body"), f"$.{k}")
+    decided = F.concat(F.lit("Decision: "), F.coalesce(field("text"), F.lit("")))
+    owner = F.when(F.coalesce(field("owner"), F.lit("")) != "", F.concat(F.lit(" — owner "), field("owner"))).otherwise("")
+    acted = F.concat(F.lit("Action item"), F.when(F.col("done") != 0, " (done)").otherwise(""), F.lit(": "), F.coalesce(field("task"), F.lit("")), owner)
+    c = claims.where("gate = 'passed' and kind in ('decision', 'action_item')").join(m, "meeting_id")
+    line = F.concat(F.when(F.col("kind") == "decision", decided).otherwise(acted), F.lit(" ["), "title", F.lit("]"))
+    told = _top(c, "claim", ["project_id"], ["id", "meeting_id"], None, line)
+    people = _top(of(project_people), "person", ["project_id"], ["name"], None, F.concat("name", F.when(F.col("team").isNotNull(), F.concat(F.lit(" ("), "team", F.lit(")"))).otherwise("")))
+    docs = _top(of(documents), "document", ["project_id"], [F.desc("updated_at"), "id"], DOCS, F.concat("title", F.lit("\n"), F.coalesce(F.concat(F.lit("Summary: "), "summary", F.lit("\n")), F.lit("")), F.substring(F.coalesce("content", F.lit("(no extractable text)")), 1, PAGE)))
+    return newest.unionByName(told).unionByName(people).unionByName(docs)
+
+
+def matching_context(meetings: DataFrame, claims: DataFrame, meeting_projects: DataFrame, project_people: DataFrame, documents: DataFrame) -> DataFrame:
+    """(project_id, part, rank, text): what projects are matched by (CP-11): people, excerpts of the latest
+    documents, and the decisions of their newest meetings."""
+    people = _top(project_people, "person", ["project_id"], ["name"], PEOPLE, F.col("name"))
+    docs = _top(documents, "document", ["project_id"], [F.desc("updated_at"), "id"], MATCH_DOCS, F.concat_ws(": ", "title", F.coalesce("summary", F.substring("content", 1, EXCERPT))))
+    m = meeting_projects.join(meetings.select(F.col("id").alias("meeting_id"), "started_at"), "meeting_id")
+    body = F.coalesce("edited_body", "body")
+    d = C.passed(claims, "decision").join(m, "meeting_id")
+    decided = _top(d, "decision", ["project_id"], [F.desc("started_at"), "id"], DECISIONS, F.coalesce(F.get_json_object(body, "$.text"), body))
+    return people.unionByName(docs).unionByName(decided)
+
+
+def matched(suggestions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Suggestions (meeting_id, project_id, confidence) of projects that were offered to the meeting, sure enough (CP-11)."""
+    return suggestions.where(F.col("confidence") >= CONFIDENT).join(candidates.select("meeting_id", "project_id"), ["meeting_id", "project_id"], "left_semi")
+
+
+def meeting_meta(meetings: DataFrame, utterances: DataFrame, people: DataFrame) -> DataFrame:
+    """(meeting_id, participants, owners): who spoke, and who may own an action: they and the directory. Two sets on
+    purpose, as nobody is present for being listed (CP-13)."""
+    spoken = utterances.where("speaker is not null").groupBy("meeting_id").agg(F.array_sort(F.collect_set("speaker")).alias("participants"))
+    listed = people.agg(F.collect_set("name").alias("names"))  # one row: the people of a team's own directory
+    rows = meetings.select(F.col("id").alias("meeting_id")).join(spoken, "meeting_id", "left").join(F.broadcast(listed))
+    none = F.array().cast("array<string>")
+    return rows.select("meeting_id", F.coalesce("participants", none).alias("participants"), F.array_sort(F.array_union(F.coalesce("participants", none), "names")).alias("owners"))
 
 
 def node_context(w: World, node: str) -> DataFrame:
-    """(part, id, n): meetings of a topic, and topics beside it with their number of shared meetings (CP-26)."""
-    e = w.edges
-    where = G.neighbours(e, node).select(F.lit("meeting").alias("part"), F.col("meeting_id").alias("id"), F.lit(1).cast("long").alias("n")).distinct()
-    beside = G.co_occurring(e, node).select(F.lit("topic").alias("part"), F.col("dst").alias("id"), "n")
-    return where.unionByName(beside)
+    """(part, rank, id, text, n) of a person or topic (CP-26): its meetings in time, what it owns or what was claimed
+    about it there (the first dozen), and the people and topics beside it by number of shared meetings."""
+    own = w.edges.where((F.col("src") == node) | (F.col("dst") == node)).select("meeting_id").distinct().join(w.meetings.select(F.col("id").alias("meeting_id"), "title", "started_at"), "meeting_id")
+    timeline = F.concat(C.iso_day(F.col("started_at")), F.lit(" — "), "title")
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))
+    part = lambda df, name, order, key, text, n: df.select(F.lit(name).alias("part"), place(*order).alias("rank"), key.alias("id"), text.alias("text"), n.cast("long").alias("n"))
+    one = F.lit(1)
+    meetings = part(own, "meeting", ["started_at", "meeting_id"], F.col("meeting_id"), timeline, one)
+    label = w.nodes.where(F.col("id") == node).select(F.col("label").alias("node_label"), F.col("kind").alias("node_kind")).limit(1)
+    field = lambda k: F.get_json_object("body", f"$.{k}")
+    c = w.claims.where("gate = 'passed'").join(own, "meeting_id").join(F.broadcast(label))
+    owns = (F.col("node_kind") == "person") & (F.col("kind") == "action_item") & (F.lower(field("owner")) == F.lower("node_label"))
+    about = (F.col("node_kind") == "topic") & F.contains(F.lower(F.concat_ws(" ", F.coalesce(field("text"), F.lit("")), F.coalesce(field("task"), F.lit("")), F.coalesce("quote", F.lit("")))), F.lower("node_label"))
+    due = F.when(field("due").isNotNull(), F.concat(F.lit(" (due "), field("due"), F.lit(")"))).otherwise("")
+    held = F.concat(F.lit("["), "title", F.lit("] "), "node_label", F.lit(" owns: "), field("task"), due)
+    said = F.concat(F.lit("["), "title", F.lit("] "), "kind", F.lit(": "), F.coalesce(field("text"), field("task")), F.coalesce(F.concat(F.lit(' — evidence: "'), "quote", F.lit('"')), F.lit("")))
+    lines = c.where(owns | about).select("started_at", "meeting_id", "id", F.when(F.col("node_kind") == "person", held).otherwise(said).alias("line"))
+    once = lines.groupBy("line").agg(F.min(F.struct("started_at", "meeting_id", "id")).alias("at"))
+    claims = part(once, "claim", ["at"], F.col("at.id").cast("string"), F.col("line"), one).where(F.col("rank") <= NODE_CLAIMS)
+    ends = w.edges.join(own.select("meeting_id"), "meeting_id", "left_semi")
+    beside = ends.select("meeting_id", F.explode(F.array("src", "dst")).alias("id")).distinct().where(F.col("id") != node)
+    counted = beside.groupBy("id").agg(F.count("*").alias("n")).join(w.nodes.where("kind <> 'meeting'"), "id")
+    near = [part(counted.where(F.col("kind") == k), k, [F.desc("n"), "id"], F.col("id"), F.col("label"), F.col("n")).where(F.col("rank") <= most) for k, most in (("person", NODE_PEOPLE), ("topic", NODE_TOPICS))]
+    return meetings.unionByName(claims).unionByName(near[0]).unionByName(near[1])
 
 
 def primer(w: World, lines: int = 5) -> str:

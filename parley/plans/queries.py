@@ -23,7 +23,11 @@ from parley.operators import retrieve as R
 from parley.operators import runs as U
 from parley.operators import segments as SG
 from parley.plans import ask as A
+from parley.plans import compose as P
+from parley.plans import converse as V
+from parley.plans import handoff as Y
 from parley.plans import tools as B
+from parley.sources import calendar as I
 from parley.sources import files
 from parley.sources.adapters import AS_OF_MS, World, oracle
 from parley.streaming import live as L
@@ -51,22 +55,28 @@ _add("flt_3_kind_whitelist", lambda w: C.passed(w.claims, "no such kind").groupB
 _add("flt_4_tombstones", lambda w: w.entities.where("merged_into is null").select("id", "label"), "select id, label from entities where merged_into is null")
 _add("flt_5_alias_substring", lambda w: R.seeds(w.entities, ["red", "person 1"]), "select distinct id from entities where merged_into is null and (contains(norm,'red') or contains(norm,'person 1'))")
 _add("flt_6_speaker_prefix", lambda w: w.utterances.where(F.col("speaker").startswith("Person 1")).select("meeting_id", "idx", "speaker"), "select meeting_id, idx, speaker from utterances where starts_with(speaker,'Person 1')")
-_POST = """post as (select id chunk_id, term, count(*) tf, any_value(dl) dl from (select id, unnest(words) term, len(words) dl from (
-  select id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text),'[^a-z0-9\\s]',' ','g'),'\\s+',' ','g')),' '), lambda x: x<>'') words from chunks)) group by 1,2)"""
-_add("flt_7_all_terms_prefix", lambda w: R.matches(R.postings(w.chunks), ["the", "th"]).select("chunk_id").distinct(),
-     f"with {_POST} select chunk_id from post group by 1 having bool_or(term='the') and bool_or(starts_with(term,'th'))")
-_add("flt_7_any_term_fallback", lambda w: R.matches(R.postings(w.chunks), ["the", "zzzz"]).select("chunk_id").distinct(), f"with {_POST} select distinct chunk_id from post where term in ('the','zzzz')")
+_WORDS = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({0},'')),'[^a-z0-9\\s]',' ','g'),'\\s+',' ','g')),' '), lambda x: x<>'')"
+_POST = f"wc as (select id, {_WORDS.format('text')} wt, {_WORDS.format('speakers')} ws from chunks), post as (select chunk_id, term, dl, sum(w) tf from (select id chunk_id, unnest(wt) term, 10 w, len(wt)+len(ws) dl from wc union all select id, unnest(ws), 2, len(wt)+len(ws) from wc) group by all)"
+_plain = lambda w: R.index(w.chunks, stemmed=False)
+_matched = lambda w, *terms: R.matches(_plain(w), [*terms]).where("kept").select("chunk_id").distinct()
+_add("flt_7_all_terms_prefix", lambda w: _matched(w, "the", "th"), f"with {_POST} select chunk_id from post group by 1 having bool_or(term='the') and bool_or(starts_with(term,'th'))")
+_add("flt_7_any_term_fallback", lambda w: _matched(w, "the", "zzzz"), f"with {_POST} select distinct chunk_id from post where term in ('the','zzzz')")
 _add("flt_8_sentinel_inequality", lambda w: w.edges.withColumn("meeting_id", F.when(F.col("meeting_id") == "m1", "").otherwise(F.col("meeting_id"))).where(F.col("meeting_id") != "m2").groupBy("kind").agg(F.count("*").alias("n")),
      "select kind, count(*) n from (select kind, case when meeting_id='m1' then '' else meeting_id end meeting_id from edges) where meeting_id<>'m2' group by 1")
 _add("flt_9_edited_body", lambda w: C.list_claims(w.claims, w.meetings, "action_item", limit=10**6, edited=True).select("id", "label", "due"),
      "select id, coalesce(json_extract_string(b,'$.task'),quote,'') as label, json_extract_string(b,'$.due') due from (select *, coalesce(edited_body,body) b from claims where kind='action_item' and gate='passed')")
 _add("flt_10_label_pick", lambda w: w.claims.select("id", K.claim_label("body", "quote").alias("label")), "select id, coalesce(json_extract_string(body,'$.task'),json_extract_string(body,'$.text'),quote,'') as label from claims")
 _add("flt_11_json_fields", lambda w: w.claims.select("id", F.get_json_object("body", "$.owner").alias("owner"), F.get_json_object("body", "$.due").alias("due")), "select id, json_extract_string(body,'$.owner') as owner, json_extract_string(body,'$.due') due from claims")
-_TITLE = r"^(Meeting \d*[02468]|Untitled.*|Recording .*)$"
-_add("flt_12_default_title", lambda w: w.meetings.where(F.col("title").rlike(_TITLE)).select("id"), f"select id from meetings where regexp_full_match(title, '{_TITLE[1:-1]}')")
+_named = lambda w: w.meetings.withColumn("title", F.when(F.col("started_at") % 7 == 0, "Untitled meeting").when(F.col("started_at") % 7 == 1, "Quick capture 9:30").when(F.col("started_at") % 7 == 2, F.concat(F.lit("Budget of "), "title")).when(F.col("started_at") % 7 == 3, "My Untitled meeting").otherwise(F.col("title")))
+_NAMED = "(select * replace (case started_at%7 when 0 then 'Untitled meeting' when 1 then 'Quick capture 9:30' when 2 then 'Budget of '||title when 3 then 'My Untitled meeting' else title end as title) from meetings)"
+_add("flt_12_default_title", lambda w: _named(w).where(C.default_title(F.col("title"))).select("id", "title"), f"select id, title from {_NAMED} where title='Untitled meeting' or regexp_matches(title,'^Meeting [0-9]') or starts_with(title,'Quick capture ')")
 _add("flt_13_short_recordings", lambda w: w.meetings.where(F.col("duration_s") < L.SHORTEST_S).select("id", "duration_s"), "select id, duration_s from meetings where duration_s < 15")
-_add("flt_14_enumerative_router", lambda w: w.utterances.select("meeting_id", "idx", C.is_enumerative(F.concat(F.lit("list open "), F.when(F.col("idx") % 2 == 0, "decisions ").otherwise("things "), "text")).alias("enumerate")),
-     "select meeting_id, idx, idx % 2 = 0 enumerate from utterances")
+#: Questions that are dealt out over the utterances by their number.
+_ASKED = ["list the open action items", "what are the latest agreed next steps", "which decisions are pending", "who talked about pricing", "every risk so far", "tasks until now", "what were the decisions", "show all completed to-dos", "summarise the call"]
+_question = lambda w: w.utterances.select("meeting_id", "idx", F.get(F.array(*map(F.lit, _ASKED)), (F.col("idx") % len(_ASKED)).cast("int")).alias("q"))
+_QUESTION = "(select meeting_id, idx, (['" + "','".join(_ASKED) + f"'])[idx%{len(_ASKED)}+1] q from utterances)"
+_add("flt_14_enumerative_router", lambda w: _question(w).select("meeting_id", "idx", C.is_enumerative(F.col("q")).alias("enumerate"), C.asked_kind(F.col("q")).alias("kind"), C.asked_open(F.col("q")).alias("open_only")),
+     f"select meeting_id, idx, regexp_matches(q, '{C.ENUMERATIVE}') enumerate, case when contains(q,'decision') then 'decision' when contains(q,'risk') then 'risk' else 'action_item' end kind, not (contains(q,'decision') or contains(q,'risk') or regexp_matches(q,'all|every|done|completed')) open_only from {_QUESTION}")
 _add("flt_15_limit_before_filter", lambda w: C.newest_then_kept(w.meetings, F.col("mode") == "discovery", 40, 8).select("id", "started_at"),
      "select id, started_at from (select * from meetings order by started_at desc, id limit 40) where mode='discovery' order by started_at desc, id limit 8")
 _add("flt_16_log_levels", lambda w: w.runs.select("id", F.when(F.col("outcome") == "failed", 40).when(F.col("outcome") == "partial", 30).otherwise(20).alias("level")).where("level >= 30"), "select id, case outcome when 'failed' then 40 else 30 end as level from runs where outcome in ('failed','partial')")
@@ -147,7 +157,9 @@ _add("ag_4_dashboard", lambda w: w.claims.agg(F.count_if((F.col("kind") == "acti
 _add("ag_5_per_project", lambda w: C.per_project(w.claims, w.meeting_projects, w.projects, "action_item"), "select p.id, p.name, count(c.id) n from projects p left join meeting_projects mp on mp.project_id=p.id left join claims c on c.meeting_id=mp.meeting_id and c.kind='action_item' and gate='passed' group by all")
 _TT = lambda n: f"select s.entity_id, e.label, s.meetings, s.mentions, s.last_seen, q.quote from (select entity_id, count(distinct meeting_id) meetings, count(*) mentions, max(started_at) last_seen from entity_mentions m join meetings t on t.id=m.meeting_id where gate='passed' group by 1) s join entities e on e.id=s.entity_id and merged_into is null and e.kind='topic' left join (select entity_id, quote from (select *, row_number() over (partition by entity_id order by score desc, meeting_id, quote) r from entity_mentions) where r=1) q on q.entity_id=s.entity_id order by s.meetings desc, s.mentions desc, s.entity_id limit {n}"
 _add("ag_6_top_topics", lambda w: C.top_topics(w.entity_mentions, w.entities, w.meetings, "topic", 20), _TT(20))
-_add("ag_7_top_people", lambda w: w.utterances.where("speaker is not null").groupBy("speaker").agg(F.count_distinct("meeting_id").alias("meetings"), F.count("*").alias("lines")).orderBy(F.desc("meetings"), F.desc("lines"), "speaker").limit(8), "select speaker, count(distinct meeting_id) meetings, count(*) as lines from utterances where speaker is not null group by 1 order by 2 desc, 3 desc, 1 limit 8")
+_person_mentions = lambda w: w.utterances.where("speaker is not null").select(T.slug(F.lit("person"), F.col("speaker")).alias("entity_id"), "meeting_id", F.when(F.col("idx") % 5 == 0, "blocked").otherwise("passed").alias("gate"), F.col("confidence").alias("score"), F.col("text").alias("quote"))
+_add("ag_7_top_people", lambda w: C.top_topics(_person_mentions(w), w.entities, w.meetings, "person", 20).select("entity_id", "label", "meetings", "mentions", "last_seen"),
+     "with pm as (select 'person:'||replace(lower(speaker),' ','-') entity_id, meeting_id from utterances where speaker is not null and idx%5<>0) select entity_id, e.label, count(distinct meeting_id) meetings, count(*) mentions, max(started_at) last_seen from pm join entities e on e.id=entity_id and e.kind='person' and merged_into is null join meetings m on m.id=meeting_id group by 1,2 order by 3 desc, 4 desc, 1 limit 20")
 _add("ag_8_project_topics", lambda w: w.entity_mentions.where("gate = 'passed'").join(w.meeting_projects, "meeting_id").groupBy("project_id", "entity_id").agg(F.count_distinct("meeting_id").alias("meetings")), "select project_id, entity_id, count(distinct m.meeting_id) meetings from entity_mentions m join meeting_projects p on p.meeting_id=m.meeting_id where gate='passed' group by all")
 _add("ag_9_suggested_topics", lambda w: w.entity_mentions.where("gate = 'passed'").groupBy("entity_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_id").limit(4), "select entity_id, count(*) n from entity_mentions where gate='passed' group by 1 order by 2 desc, 1 limit 4")
 _add("ag_10_spanning_topics", lambda w: w.entity_mentions.groupBy("entity_id").agg(F.count_distinct("meeting_id").alias("n")).where("n >= 2"), "select entity_id, count(distinct meeting_id) n from entity_mentions group by 1 having n>=2")
@@ -177,14 +189,18 @@ _add("ag_16_candidate_fold", lambda w: E.candidates(w.utterances, _recaps(w)).se
 _add("ag_17_usage_since", lambda w: U.usage_since(w.runs, 10), "select count(*) calls, coalesce(sum(tokens_in),0)::bigint tokens_in from (select * from runs order by id desc limit 200) where id>10")
 _steps = lambda w: w.runs.select("id", F.array(F.struct(F.when(F.col("id") % 2 == 0, "core:recap").otherwise("notes").alias("name"), F.when(F.col("outcome") == "failed", "failed").when(F.col("outcome") == "partial", "blocked").otherwise("ok").alias("status")), F.struct(F.lit("index").alias("name"), F.when(F.col("id") % 11 == 0, "failed").otherwise("ok").alias("status"))).alias("steps"), "units", "outcome")
 _add("ag_18_decide_exit", lambda w: _steps(w).select("id", U.decide_exit(F.col("steps"), F.when(F.col("outcome") == "deadline", "x")).alias("exit")), "select id, case when outcome='deadline' then 'deadline' when outcome='failed' and id%2=0 then 'failed' when outcome in ('failed','partial') or id%11=0 then 'partial' else 'shipped' end as exit from runs")
-_add("ag_19_eval_scores", lambda w: w.runs.groupBy("kind").agg(F.round(F.avg(F.when(F.col("outcome") == "shipped", 1.0).otherwise(0.0)), 9).alias("precision"), F.count("*").alias("n")), "select kind, round(avg(case when outcome='shipped' then 1.0 else 0.0 end),9) as precision, count(*) n from runs group by 1")
+_scored_leaves = lambda w: w.utterances.select(F.col("meeting_id").alias("doc_id"), F.col("idx").cast("string").alias("path"), F.when(F.col("idx") % 3 == 0, "unrelated pricing pilot").otherwise(F.col("text")).alias("text"), F.col("text").alias("cited"))
+_bad_leaves = lambda w: w.utterances.where("idx % 4 = 1").select(F.col("meeting_id").alias("doc_id"), F.col("idx").cast("string").alias("path"))
+_of_meeting = lambda w, *texts: w.meetings.select(F.col("id").alias("doc_id"), F.explode(F.array(*map(F.lit, texts))).alias("text"))
+_add("ag_19_eval_scores", lambda w: P.scores(_scored_leaves(w), _bad_leaves(w), _of_meeting(w, "Roadmap"), _of_meeting(w, "unrelated pricing pilot", "no such thing anywhere"), _of_meeting(w, "roadmap", "pilot", "zebra")).select("doc_id", "leaves", *(F.round(c, 9).alias(c) for c in ("strict", "lexical", "statement_recall", "theme_recall"))),
+     "select meeting_id doc_id, count(*) leaves, round(avg(case when idx%4=1 then 0.0 else 1.0 end),9) strict, round(avg(case when idx%3=0 then 0.0 else 1.0 end),9) lexical, 0.5::double statement_recall, round(2/3.0::double,9) theme_recall from utterances group by 1")
 _add("ag_20_collated_frequency", lambda w: H.collated(w.claims.select(F.col("kind").alias("theme"), F.col("id").cast("string").alias("path")), w.claims.where("gate = 'blocked'").select(F.col("id").cast("string").alias("path"))), "select kind theme, count(*) frequency from claims where gate<>'blocked' group by 1")
 _add("ag_21_match_rate", lambda w: w.utterances.groupBy("meeting_id").agg(F.round(F.count("speaker") / F.count("*"), 9).alias("rate"), F.count("*").alias("total")), "select meeting_id, round(count(speaker)*1.0/count(*),9) rate, count(*) total from utterances group by 1")
 _add("ag_22_transcript_end", lambda w: w.utterances.groupBy("meeting_id").agg(F.max(F.col("offset_s") + F.col("duration_s")).alias("end_s")), "select meeting_id, max(offset_s+duration_s) end_s from utterances group by 1")
-_add("ag_23_enumeration_summary", lambda w: C.enumeration_summary(C.enumerate_claims(w.claims, w.meetings, "decision", True), "decision"), "select n, m, cast(n as varchar)||' decision'||case when n=1 then '' else 's' end||' across '||cast(m as varchar)||' meeting'||case when m=1 then '' else 's' end||'.' summary from (select count(*) n, count(distinct meeting_id) m from claims where kind='decision' and gate='passed' and done=0)")
+_add("ag_23_enumeration_summary", lambda w: C.enumeration_summary(C.enumerate_claims(w.claims, w.meetings, "decision", True), "decision"), "select n, m, cast(n as varchar)||' decision'||case when n=1 then '' else 's' end||' across '||cast(m as varchar)||' meeting'||case when m=1 then '' else 's' end||', newest first.' summary from (select count(*) n, count(distinct meeting_id) m from claims where kind='decision' and gate='passed' and done=0)")
 _add("ag_24_owner_sets", lambda w: w.utterances.where("speaker is not null").groupBy("meeting_id").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("speaker"), F.array(F.lit("Unassigned")))), ",").alias("owners")), "select meeting_id, array_to_string(list_sort(list_append(list(distinct speaker),'Unassigned')),',') owners from utterances where speaker is not null group by 1")
-_add("ag_25_conversation_corpus", lambda w: w.claims.select("meeting_id", F.explode(F.array(F.col("id") % 7, F.col("id") % 5)).alias("chunk_id")).distinct(), "select distinct meeting_id, unnest([id%7, id%5]) chunk_id from claims")
-
+_messages = lambda w: w.raw("conversations").select(F.col("conv_id").alias("conversation_id"), F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("extractive").alias("mode"), F.array(F.col("conv_id") * 100 + F.floor(F.col("turn") / 2), F.col("turn").cast("long") % 3).alias("chunk_ids")))).alias("payload"))
+_add("ag_25_conversation_corpus", lambda w: V.corpus_ids(_messages(w), 7), "select distinct unnest([conv_id*100+turn//2, turn%3]) chunk_id from conversations where conv_id=7 and role='assistant'")
 # --- windows, sorts, sets ----------------------------------------------------------------------
 _add("wn_1_sliding_chunks", lambda w: w.chunks, "select id, meeting_id, src_id, start_offset_s, end_offset_s, speakers, text from chunks")
 _scored = lambda w: w.chunks.select(F.col("id").alias("chunk_id"), "meeting_id", (F.length("text") % 100 / 100).alias("score"))
@@ -199,13 +215,14 @@ _add("wn_9_segment_ids", lambda w: w.utterances.select("meeting_id", "idx", SG.s
 _add("wn_10_manual_first", lambda w: C.upcoming(w.upcoming, AS_OF_MS), f"select id, title, at_ms, source from (select *, row_number() over (partition by title, at_ms order by case source when 'manual' then 0 else 1 end, id) n from upcoming where {_UPC}) where n=1 order by at_ms, id limit 6")
 _add("tk_1_newest", lambda w: w.meetings.orderBy(F.desc("started_at"), "id").limit(20).select("id", "started_at"), "select id, started_at from meetings order by started_at desc, id limit 20")
 _add("tk_2_open_first", lambda w: C.todo(w.claims, w.meetings, 30), "select c.id, meeting_id, done, started_at from claims c join meetings m on m.id=meeting_id where c.kind='action_item' and gate='passed' order by done, started_at desc, c.id limit 30")
-_BM = """with {post}, st as (select count(*) n from chunks), av as (select avg(len(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text),'[^a-z0-9\\s]',' ','g'),'\\s+',' ','g')),' '), lambda x: x<>''))) avgdl from chunks),
- hits as (select chunk_id, dl, 'the' q, tf from post where term='the' union all select chunk_id, dl, 'on', sum(tf) from post where starts_with(term,'on') group by 1,2),
- strict as (select chunk_id from hits group by 1 having count(distinct q)=2), h as (select * from hits where chunk_id in (from strict)), dfs as (select q, count(*) df from h group by 1)
- select chunk_id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl))),6) score from h join dfs using(q), st, av group by 1"""
-_BMS = _BM.format(post=_POST)
-_add("sn_6_bm25", lambda w: R.bm25(w.chunks, ["the", "on"]).select("chunk_id", F.round("score", 6).alias("score")), _BMS)
-_add("tk_3_bm25_limit", lambda w: R.lexical_arm(w.chunks, ["the", "on"]).where("rank < 20").select("rank"), "select cast(i as integer) as rank from range(20) t(i)")
+_BM = _POST + """, st as (select count(*) n, avg(len(wt)+len(ws)) avgdl from wc),
+ hits as (select chunk_id, dl, 0 q, tf from post where term='{0}' union all select chunk_id, dl, 1, sum(tf) from post where starts_with(term,'{1}') group by 1,2),
+ strict as (select chunk_id from hits group by 1 having count(*)=2), dfs as (select q, count(*) df from hits group by 1),
+ bm as (select chunk_id, sum(greatest(1e-6::double, ln((n-df+0.5::double)/(df+0.5::double)))*tf*2.2::double/(tf+1.2::double*(0.25::double+0.75::double*dl/avgdl))) score from hits join dfs using(q), st where chunk_id in (from strict) group by 1)"""
+#: A pair of a rare and a frequent term: the frequency of either is counted over all chunks.
+_RARE, _OFTEN = "11", "an"
+_add("sn_6_bm25", lambda w: R.bm25(_plain(w), [_RARE, _OFTEN]).select("chunk_id", F.round("score", 9).alias("score")), f"with {_BM.format(_RARE, _OFTEN)} select chunk_id, round(score,9) score from bm")
+_add("tk_3_bm25_limit", lambda w: R.lexical_arm(_plain(w), [_RARE, _OFTEN]).where("rank < 20"), f"with {_BM.format(_RARE, _OFTEN)} select chunk_id, cast(row_number() over (order by round(score,12) desc, chunk_id)-1 as integer) as rank from bm order by 2 limit 20")
 _add("tk_4_seed_first", lambda w: R.graph_mentions(w.entities, G.related_edges(_live(w)), w.entity_mentions, ["red"]).groupBy("is_seed").agg(F.count("*").alias("n")), "select is_seed, count(*) n from (" + _GM.replace(" or contains(norm,'person 1')", "") + ") group by 1")
 _add("tk_5_shortest_alias", lambda w: w.entities.where("merged_into is null and contains(norm, 'e')").groupBy("kind").agg(F.min_by("id", F.struct(F.length("norm"), "id")).alias("id")), "select kind, id from (select *, row_number() over (partition by kind order by length(norm), id) r from entities where merged_into is null and contains(norm,'e')) where r=1")
 _add("tk_6_three_rungs", lambda w: C.lookup(w.entities, "person 1").unionByName(C.lookup(w.entities, "person:person-2")).unionByName(C.lookup(w.entities, "erson 3")),
@@ -214,7 +231,7 @@ _add("tk_7_caseless_sort", lambda w: w.people.orderBy(F.lower("name"), "id").lim
 _add("tk_8_truncations", lambda w: w.claims.groupBy("meeting_id").agg(F.size(F.slice(F.array_sort(F.collect_list("id")), 1, 12)).alias("n")), "select meeting_id, cast(least(count(*),12) as integer) n from claims group by 1")
 _add("set_1_backlinks", lambda w: G.backlinks(w.edges, G.related_edges(_live(w)), w.nodes, w.meetings, "m23"),
      "with " + _REL + ", ed as (select src, dst, kind, meeting_id from edges union all select src, dst, 'related', '' from relboth) select distinct m.id, m.title, n.label via from ed e1 join ed e2 on e1.src=e2.src and e2.meeting_id<>e1.meeting_id join meetings m on m.id=e2.meeting_id join nodes n on n.id=e1.src where e1.meeting_id='m23' union select m.id, m.title, n.label from ed e1 join ed e2 on e1.dst=e2.dst and e2.meeting_id<>e1.meeting_id join meetings m on m.id=e2.meeting_id join nodes n on n.id=e1.dst where e1.meeting_id='m23' and n.kind<>'meeting' union select m.id, m.title, n1.label||' ~ '||n2.label from ed e1 join ed r on r.src=e1.dst and r.kind='related' join ed e2 on e2.dst=r.dst and e2.kind='mentions' and e2.meeting_id<>e1.meeting_id join meetings m on m.id=e2.meeting_id join nodes n1 on n1.id=e1.dst join nodes n2 on n2.id=r.dst where e1.meeting_id='m23' and e1.kind='mentions'")
-_add("set_2_fresh_wins", lambda w: M.last_wins(w.chunks.where(F.col("id") < 20 * K.SPAN).select("id", F.lit("prior").alias("from")), w.chunks.where(F.col("id").between(10 * K.SPAN, 30 * K.SPAN)).select("id", F.lit("fresh").alias("from")), ["id"]), "select id, case when id<10*1048576 then 'prior' else 'fresh' end \"from\" from chunks where id<=30*1048576")
+_add("set_2_fresh_wins", lambda w: M.last_wins(w.chunks.where("src_id % 3 <> 0").select("id", F.lit("prior").alias("from")), w.chunks.where("src_id % 3 <> 1").select("id", F.lit("fresh").alias("from")), ["id"]), "select id, case when src_id%3=1 then 'prior' else 'fresh' end \"from\" from chunks")
 _add("set_3_seeds_then_hop", lambda w: R.graph_mentions(w.entities, G.related_edges(_live(w)), w.entity_mentions, _TERMS).select("entity_id", "is_seed").distinct(), f"select distinct entity_id, is_seed from ({_GM})")
 _add("set_4_owner_union", lambda w: w.people.select("name").union(w.utterances.where("speaker is not null").select("speaker")).union(w.spark.sql("select 'Unassigned'")).distinct(), "select name from people union select speaker from utterances where speaker is not null union select 'Unassigned'")
 
@@ -231,8 +248,6 @@ _add("dml_8_suggestions", lambda w: M.suggestions(_sugg(w), w.meeting_projects.w
 _add("dml_9_fork", lambda w: M.fork(w.raw("conversations").select(F.col("conv_id").alias("id")).distinct(), w.raw("conversations").select(F.col("conv_id").alias("conversation_id"), "turn", "text"), 1, 999999)[1].where("conversation_id = 999999"), "select 999999 conversation_id, turn, text from conversations where conv_id=1")
 _add("dml_10_rederive", lambda w: G.project_graph(w.entities, w.entity_mentions, w.utterances.withColumn("speaker", F.when(F.col("speaker") == "Person 1", "Person 2").otherwise(F.col("speaker"))))[1].where("kind = 'attended'").select("src", "dst"), "select distinct 'person:'||replace(lower(case when speaker='Person 1' then 'Person 2' else speaker end),' ','-') src, meeting_id dst from utterances where speaker is not null")
 _fields = lambda w: X.meeting_fields("m23", w.utterances, w.claims, w.meetings, G.nodes_of_meeting(w.edges, w.nodes, "m23"))
-_OCC = "select target||':'||k||'#'||f||'#Meeting' ref, target, k as key, f field, 'Meeting' token, text snippet, 'exact' match from (select 'meeting_field' target, 'title' k, 'title' f, title as text from meetings where id='m23')"
-_add("dml_11_find_occurrences", lambda w: X.occurrences(_fields(w).where("target = 'meeting_field'"), "Meeting", "Session"), _OCC)
 
 
 def _applied(w: World) -> DataFrame:
@@ -241,6 +256,11 @@ def _applied(w: World) -> DataFrame:
 
 
 _FL = "fl as (select 'utterance' target, cast(idx as varchar) as key, 'text' field, text from utterances where meeting_id='m23' union all select 'claim', cast(id as varchar), 'body', coalesce(edited_body,body) from claims where meeting_id='m23' union all select 'claim', cast(id as varchar), 'quote', quote from claims where meeting_id='m23' and quote is not null union all select 'meeting_field','title','title',title from meetings where id='m23' union all select 'node', n.id, 'label', n.label from nodes n where kind<>'meeting' and id in (select src from edges where meeting_id='m23' union select dst from edges where meeting_id='m23'))"
+_OCC = """oc as (select *, strpos(lower(text), lower(t)) p from (select *, unnest(['Person','Meeting']) t from fl) where regexp_matches(text, '(^|[^A-Za-z0-9_])'||t||'($|[^A-Za-z0-9_])', 'i'))
+  select target||':'||key||'#'||field||'#'||t ref, target, key, field, t as token, 'exact' as match,
+   case when p-40>1 then '…' else '' end||substr(text, greatest(1,p-40), least(length(text),p+length(t)-1+40)-greatest(1,p-40)+1)||case when p+length(t)-1+40<length(text) then '…' else '' end snippet from oc"""
+_found = lambda w: X.occurrences(_fields(w), "Person", "Ann").where("match = 'exact'").unionByName(X.occurrences(_fields(w), "Meeting", "Session").where("match = 'exact'"))
+_add("dml_11_find_occurrences", lambda w: _found(w), f"with {_FL}, " + _OCC)
 _add("dml_12_apply_correction", lambda w: _applied(w).select("target", "key", "field", "text"), f"with {_FL} select target, key, field, case when target='meeting_field' then replace(text,'Meeting','Session') else text end as text from fl")
 _add("dml_13_undo_correction", lambda w: X.undo(_applied(w)), f"with {_FL} select target, key, field, text from fl")
 _add("dml_14_node_merge", lambda w: X.merge_node(w.nodes, w.edges, "person:person-1", "Person 2", "person")[1], "select distinct case when src='person:person-1' then 'person:person-2' else src end src, case when dst='person:person-1' then 'person:person-2' else dst end dst, kind, meeting_id from edges")
@@ -258,8 +278,9 @@ _add("sc_1_normalize", lambda w: _u(w, norm=T.normalize(F.col("text"))), _us(_NO
 _add("sc_2_slug", lambda w: w.raw("part").select("p_partkey", T.slug(F.lit("topic"), F.concat("p_brand", F.lit(" / "), "p_name", F.lit("!"))).alias("slug")), "select p_partkey, 'topic:'||regexp_replace(regexp_replace(lower(p_brand||' / '||p_name||'!'),'[^a-z0-9]+','-','g'),'^-|-$','','g') slug from part")
 _STOPQ = "['" + "','".join(T.STOP_QUERY) + "']"
 _add("sc_3_terms", lambda w: _u(w, terms=F.array_join(T.query_terms(F.col("text")), " ")), _us(f"array_to_string(list_filter(string_split({_NORM.format('text')},' '), lambda x: length(x)>=2 and not list_contains({_STOPQ},x)),' ') terms"))
-_pairs = lambda w, **c: w.raw("part").where("p_partkey <= 40").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("a")).join(w.raw("part").where("p_partkey <= 40").select(F.col("p_partkey").alias("j"), F.col("p_name").alias("b")), F.col("i") < F.col("j")).select("i", "j", *(v.alias(k) for k, v in c.items()))
-_PSQL = lambda e: f"select i, j, {e} from (select x.p_partkey i, y.p_partkey j, x.p_name la, y.p_name lb, {_TOK.format('x.p_name')} ta, {_TOK.format('y.p_name')} tb from part x join part y on x.p_partkey<y.p_partkey where x.p_partkey<=40 and y.p_partkey<=40)"
+_names_of = lambda w, i, a: w.topics.select(F.col("label").alias(a), F.explode(F.array_distinct(F.concat(T.entity_tokens(F.col("label")), T.trigrams(F.col("label"))))).alias("key"))
+_pairs = lambda w, **c: _names_of(w, "i", "a").join(_names_of(w, "j", "b"), "key").where("a < b").select("a", "b").distinct().select("a", "b", *(v.alias(k) for k, v in c.items()))
+_PSQL = lambda e: f"select la a, lb b, {e} from (select x.label la, y.label lb, {_TOK.format('x.label')} ta, {_TOK.format('y.label')} tb from topics x join topics y on x.label<y.label) where len(list_intersect(ta,tb))>0 or len(list_intersect({_TRI.format('la')},{_TRI.format('lb')}))>0"
 _add("sc_4_jaccard", lambda w: _pairs(w, v=F.round(T.jaccard(T.entity_tokens(F.col("a")), T.entity_tokens(F.col("b"))), 6)), _PSQL(f"round({_JAC},6) v"))
 _add("sc_5_dice", lambda w: _pairs(w, v=F.round(T.dice(F.col("a"), F.col("b")), 6)), _PSQL(f"round({_DICE.format('la', 'lb')},6) v"))
 _add("sc_6_similarity", lambda w: _pairs(w, v=F.round(T.similarity(F.col("a"), F.col("b")), 6)), _PSQL(f"round({_SIM},6) v"))
@@ -274,41 +295,88 @@ _add("sc_11_contains_loosely", lambda w: _u(w, v=T.contains_loosely(T.normalize(
 _next = lambda w: w.utterances.withColumn("other", F.coalesce(F.lead("text").over(Window.partitionBy("meeting_id").orderBy("idx")), F.lit("")))
 _add("sc_12_word_overlap", lambda w: _next(w).select("meeting_id", "idx", F.round(T.word_overlap(F.col("text"), F.col("other")), 6).alias("v")), f"select meeting_id, idx, round({_OV.format('a','b')},6) v from (select meeting_id, idx, {_W3.format('text')} a, {_W3.format('o')} b from (select *, coalesce(lead(text) over (partition by meeting_id order by idx),'') o from utterances))")
 _add("sc_13_echo_norm", lambda w: _u(w, v=T.echo_norm(F.col("text"))), _us("trim(regexp_replace(regexp_replace(lower(text),'[^a-z0-9\\s]','','g'),'\\s+',' ','g')) v"))
-_add("sc_15_noun_phrase", lambda w: w.raw("part").select("p_partkey", T.noun_phrase(F.concat(F.lit("Review the "), "p_name", F.lit(" by Friday."))).alias("v")), "select p_partkey, p_name v from part")
-_add("sc_16_plausible_topic", lambda w: w.raw("part").select("p_partkey", T.plausible_topic(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.lit("25,000"))).alias("v")), "select p_partkey, p_partkey%2=0 v from part")
+_heard = lambda w: w.utterances.withColumn("heard", F.collect_list("text").over(Window.partitionBy("meeting_id").orderBy("idx").rowsBetween(-1, -1)))
+_add("sc_14_trim_echo", lambda w: _heard(w).select("meeting_id", "idx", L.trimmed(F.concat(F.lit("well "), F.coalesce(F.get("heard", F.lit(0)), F.lit("")), F.lit(" indeed")), F.col("heard")).alias("v")))
+_said = lambda w: w.raw("part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Review the "), "p_name", F.lit(" by Friday."))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("Let's follow up on our "), "p_name", F.lit(" "), F.lower("p_brand"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("the wide plan for "), "p_name", F.lit("!"))).otherwise(F.lit("of the")).alias("t"))
+_add("sc_15_noun_phrase", lambda w: _said(w).select("p_partkey", T.noun_phrase(F.col("t")).alias("v")),
+     "select p_partkey, case p_partkey%4 when 0 then p_name when 1 then p_name||' '||lower(p_brand) when 2 then array_to_string((string_split('wide plan for '||p_name,' '))[-4:],' ') end v from part")
+_SIX = ["25,000", "12:30", "ab", "one two three four five six", "Q3", "7 days off"]
+_topic = lambda w: w.raw("part").select("p_partkey", F.coalesce(F.get(F.array(*map(F.lit, _SIX)), (F.col("p_partkey") % 8).cast("int")), F.col("p_name")).alias("t"))
+_add("sc_16_plausible_topic", lambda w: _topic(w).select("p_partkey", T.plausible_topic(F.col("t")).alias("v")),
+     "with t as (select p_partkey, coalesce((['" + "','".join(_SIX) + "'])[p_partkey%8+1], p_name) t from part), n as (select *, len(regexp_extract_all(t,'[A-Za-z]')) l, len(regexp_extract_all(t,'[0-9]')) d from t) select p_partkey, not regexp_full_match(t,'[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?') and l>=3 and d<=l and len(string_split(t,' '))<=5 v from n")
 _STOPG = "['" + "','".join(T.STOP_GROUNDING) + "']"
 _FLAT = "trim(regexp_replace(translate(lower(text),'“”’','\"\"'''),'\\s+',' ','g'))"
 _add("sc_17_content_words", lambda w: _u(w, v=F.array_join(T.content_words(F.col("text")), " ")), _us(f"array_to_string(list_filter(regexp_split_to_array(regexp_replace({_FLAT},'[^a-z0-9\\s%$.-]',' ','g'),'\\s+'), lambda x: length(x)>2 and not list_contains({_STOPG},x)),' ') v"))
 _add("sc_18_quoted_spans", lambda w: _u(w, v=F.array_join(T.quoted_spans(F.concat(F.lit('He said "'), F.split("text", " ")[0], F.lit('  x." and “it is”'))), "|")), _us("regexp_replace(trim(regexp_replace(string_split(text,' ')[1]||'  x.','[\\s.,;:!?—-]+$','')),'^[\\s.,;:!?—-]+','')||'|it is' v"))
 _add("sc_19_flat", lambda w: _u(w, v=T.flat(F.col("text"))), _us(_FLAT + " v"))
 _add("sc_20_duration_estimate", lambda w: _next(w).select("meeting_id", "idx", F.round(T.duration_estimate(F.col("text"), F.lit(6.0)), 6).alias("v")), _us("round(least(greatest(1.5, len(list_filter(regexp_split_to_array(trim(text),'\\s+'), lambda x: x<>''))*0.38::double), 6.0::double),6) v"))
-_add("sc_21_word_swap", lambda w: w.raw("part").select("p_partkey", X.detect_word_swap(F.concat(F.lit("Call Anna about "), "p_name"), F.concat(F.lit("Call Hannah about "), "p_name")).alias("s")).select("p_partkey", "s.old", "s.new"), "select p_partkey, 'Anna' \"old\", 'Hannah' \"new\" from part")
-_add("sc_22_resolve_owner", lambda w: w.utterances.where("speaker is not null").withColumn("v", T.word_overlap(F.col("text"), F.lit("the and that this with"))).groupBy("meeting_id").agg(F.min_by("speaker", F.struct(-F.round("v", 9), "idx")).alias("owner")),
-     f"select meeting_id, arg_min(speaker, r) as owner from (select meeting_id, speaker, row_number() over (partition by meeting_id order by round({_OV.format('ws','os')},9) desc, idx) r from (select *, {_W3.format('text')} ws, ['the','and','that','this','with'] os from utterances where speaker is not null)) group by 1")
-_add("sc_23_auto_title", lambda w: _u(w, v=T.auto_title(F.col("text"))), _us("case when length(text)>60 then left(text,57)||'…' else text end v"))
+_PEOPLE = ["Anna", "Hannah", "Bo", "Mary Ann", "lowercase"]
+_who = lambda k: F.get(F.array(*map(F.lit, _PEOPLE)), (k % len(_PEOPLE)).cast("int"))
+_WHO = "(['" + "','".join(_PEOPLE) + "'])[{0}%5+1]"
+_add("sc_21_word_swap", lambda w: w.raw("part").select("p_partkey", X.detect_word_swap(F.concat(F.lit("Call "), _who(F.col("p_partkey")), F.lit(" about "), "p_name"), F.concat(F.lit("Call "), _who(F.col("p_partkey") * 3 + 1), F.lit(" about "), "p_name")).alias("s")).select("p_partkey", "s.old", "s.new"),
+     f"select p_partkey, case when ok then o end \"old\", case when ok then n end \"new\" from (select *, o<>n and o<>'lowercase' and n<>'lowercase' ok from (select p_partkey, {_WHO.format('p_partkey')} o, {_WHO.format('(p_partkey*3+1)')} n from part))")
+_acts = lambda w: w.claims.where("kind = 'action_item'").select("meeting_id", "id", F.when(F.col("id") % 3 == 0, "Agent").when(F.col("id") % 3 == 1, "customer").otherwise("Mary").alias("owner"), F.concat(F.lit("Send erly whes "), F.get_json_object("body", "$.task")).alias("task"))
+_add("sc_22_resolve_owner", lambda w: C.resolve_owners(_acts(w), w.utterances).select("id", "owner"),
+     """with a as (select meeting_id, id, case id%3 when 0 then 'Agent' when 1 then 'customer' else 'Mary' end as owner, list_filter(string_split('send erly whes '||lower(json_extract_string(body,'$.task')),' '), lambda x: length(x)>3) ws from claims where kind='action_item'),
+ m as (select a.id, u.speaker, u.idx, len(list_filter(ws, lambda x: contains(lower(u.text),x))) hits from a join utterances u on u.meeting_id=a.meeting_id and u.speaker_role=lower(a.owner) and u.speaker<>''),
+ b as (select id, arg_min(speaker, idx - hits*1000000) best from m where hits>0 group by 1), o as (select meeting_id, speaker_role, min(speaker) only_one from utterances where speaker<>'' group by 1,2 having count(distinct speaker)=1)
+ select a.id, coalesce(best, only_one, a.owner) as owner from a left join b on b.id=a.id left join o on o.meeting_id=a.meeting_id and o.speaker_role=lower(a.owner)""")
+_heads = lambda w: _named(w).withColumn("headline", F.when(F.col("started_at") % 5 == 0, F.concat(F.lit("A headline that is somewhat longer than the sixty characters it may have "), "id")).when(F.col("started_at") % 5 == 1, " short one ").when(F.col("started_at") % 5 == 2, ""))
+_add("sc_23_auto_title", lambda w: C.titled(_heads(w), w.entity_mentions, w.entities).select("id", "title"),
+     f"""with n as (select *, case started_at%5 when 0 then 'A headline that is somewhat longer than the sixty characters it may have '||id when 1 then 'short one' end headline from {_NAMED}),
+ g as (select meeting_id, entity_id, row_number() over (partition by meeting_id order by count(*) desc, round(sum(score),6) desc, entity_id) r from entity_mentions join entities e on e.id=entity_id and e.kind='topic' where gate='passed' group by 1,2), b as (select meeting_id, label from g join entities e on e.id=entity_id where r=1),
+ t as (select n.id, title, title='Untitled meeting' or regexp_matches(title,'^Meeting [0-9]') or starts_with(title,'Quick capture ') auto, coalesce(headline, label||' — '||strftime(make_timestamp(started_at*1000),'%b %-d')) s from n left join b on b.meeting_id=n.id)
+ select id, case when auto then coalesce(case when length(s)>60 then rtrim(left(s,57))||'…' else s end, title) else title end title from t""")
 _add("sc_24_strip_markers", lambda w: w.claims.select("id", T.strip_markers(F.concat("kind", F.lit(" done [S001, S002] x [S003]"))).alias("v"), F.array_join(T.inline_sources(F.concat("kind", F.lit(" [S001, S002] x [S001]"))), ",").alias("s")), "select id, kind||' done x' v, 'S001,S002' s from claims")
-_add("sc_25_highlight", lambda w: _u(w, v=F.array_join(F.slice(F.split("text", " "), 1, 12), " ")), _us("array_to_string(string_split(text,' ')[1:12],' ') v"))
+_add("sc_25_highlight", lambda w: _u(w, v=T.highlight(F.col("text"), ["the", "an"])),
+     """with t as (select meeting_id, idx, regexp_split_to_array(trim(text),'\\s+') ws from utterances), h as (select *, list_transform(ws, lambda x: starts_with(regexp_replace(lower(x),'[^a-z0-9]','','g'),'the') or starts_with(regexp_replace(lower(x),'[^a-z0-9]','','g'),'an')) hs from t),
+ s as (select *, greatest(0, least(coalesce(list_position(hs,true),1)-1-6, len(ws)-12)) st from h)
+ select meeting_id, idx, case when st>0 then '…' else '' end||array_to_string(list_transform(range(st+1, least(st+12,len(ws))+1), lambda i: case when hs[i] then '<b>'||ws[i]||'</b>' else ws[i] end),' ')||case when st+12<len(ws) then '…' else '' end v from s""")
 _add("sc_26_porter", lambda w: _u(w, v=S.index_terms("text")))
 _add("sc_27_template", lambda w: w.meetings.select("id", F.replace(F.replace(F.lit("{{title}} / {{mode}}"), F.lit("{{title}}"), F.col("title")), F.lit("{{mode}}"), F.col("mode")).alias("v")), "select id, title||' / '||mode as v from meetings")
 _add("sc_28_flatten_transcript", lambda w: w.utterances.groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.format_string("[%.1fs] %s: %s", "offset_s", F.coalesce("speaker", "speaker_role"), "text").alias("l")))), lambda s: s["l"]), "\n").alias("v")), "select meeting_id, string_agg('['||printf('%.1f',offset_s)||'s] '||coalesce(speaker,speaker_role)||': '||text, chr(10) order by idx) v from utterances group by 1")
-_add("sc_29_match_handoff", lambda w: w.claims.select("id", H.match_handoff(F.when(F.col("id") % 3 == 0, "draft the pricing summary").when(F.col("id") % 3 == 1, "what is the pricing?").otherwise("team to-dos")).alias("v")), "select id, case id%3 when 0 then 'pricing_quote' when 2 then 'team_actions' end v from claims")
-_add("sc_30_placeholder", lambda w: w.utterances.select("meeting_id", "idx", T.is_placeholder(F.concat(F.when(F.col("idx") % 2 == 0, "Speaker ").otherwise("Person "), F.col("idx").cast("string"))).alias("v")), "select meeting_id, idx, idx%2=0 v from utterances")
+_WISHES = ["draft the follow-up email", "make a pricing table", "what are the action items", "why did the pricing quote move?", "show me how the pricing quote moved", "an update for the investors", "log this in the CRM", "brief before we sign", "post an update", "1:1 recap", "summarise this", "write up the interview", "recurring themes across my calls", "who spoke first?"]
+_wish = lambda w: w.claims.select("id", F.get(F.array(*map(F.lit, _WISHES)), (F.col("id") % len(_WISHES)).cast("int")).alias("t"))
+_add("sc_29_match_handoff", lambda w: _wish(w).select("id", H.match_handoff(F.col("t")).alias("v")),
+     f"select id, case when regexp_matches(t,'{H.EXPLAIN}','i') and not regexp_matches(t,'{H.REQUEST_VERBS}','i') then null " + " ".join(f"when regexp_matches(t,'{p}','i') then '{h}'" for h, p in H.REQUESTS) + " end v from (select id, (['" + "','".join(_WISHES) + f"'])[id%{len(_WISHES)}+1] t from claims)")
+_SPOKEN = ["You", "speaker 3", "Room12", "Person 4", "Unknown", "The agent", "AGENT", "Mary"]
+_add("sc_30_placeholder", lambda w: w.utterances.select("meeting_id", "idx", T.is_placeholder(F.get(F.array(*map(F.lit, _SPOKEN)), (F.col("idx") % 8).cast("int"))).alias("v")),
+     "select meeting_id, idx, regexp_full_match((['" + "','".join(_SPOKEN) + "'])[idx%8+1], '(?i)(you|them|me|myself|agent|customer|speaker ?[0-9]*|room ?[0-9]*|unknown)') v from utterances")
 _add("sc_31_fact_tokens", lambda w: _u(w, v=F.size(T.fact_tokens(F.col("text")))), _us("cast(len(list_filter(regexp_extract_all(text,'[A-Za-z0-9_]+'), lambda x: regexp_full_match(x,'[A-Z][a-z]{2,}'))) as integer) v"))
 _add("sc_32_mask_and_filename", lambda w: w.raw("part").select("p_partkey", T.mask_key(F.col("p_brand")).alias("m"), T.safe_filename(F.col("p_name")).alias("f")), "select p_partkey, '…'||right(p_brand,4) m, replace(p_name,' ','_') f from part")
-_money = lambda w: w.raw("orders").select("o_orderkey", F.concat(F.lit("It costs $"), F.format_number(F.floor("o_totalprice"), 0), F.lit(", two hundred fifty units by March")).alias("text"))
-_add("sn_1_number_words", lambda w: _money(w).select("o_orderkey", F.element_at(N.number_words("text"), 1)["value"].alias("v")), "select o_orderkey, 250::bigint v from orders")
-_add("sn_2_haystack", lambda w: _money(w).select("o_orderkey", F.contains(N.haystack_of("text"), F.lit("250")).alias("v")), "select o_orderkey, true v from orders")
-_add("sn_3_numeric_tokens", lambda w: _money(w).select("o_orderkey", F.size(N.numeric_tokens("text")).alias("v")), "select o_orderkey, 3::integer v from orders")
-_add("sn_4_verbatim_misses", lambda w: _money(w).select("o_orderkey", F.array_join(N.verbatim_misses("text", F.lit("two hundred and fifty of them, in march")), "|").alias("v")), "select o_orderkey, '$'||format('{:,}', cast(floor(o_totalprice) as bigint))||',' v from orders")
+#: Sums in words and figures that follow from the order's key: thousands and what is left of a thousand.
+_SMALLS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+_TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+_pick = lambda words, c: F.get(F.array(*map(F.lit, words)), (c % len(words)).cast("int"))
+_k = lambda: F.col("o_orderkey")
+_spelled = lambda: F.concat(_pick(_SMALLS, _k()), F.lit(" thousand "), _pick(_SMALLS, F.floor(_k() / 2)), F.lit(" hundred and "), _pick(_TENS, F.floor(_k() / 3)), F.lit(" "), _pick(_SMALLS, F.floor(_k() / 5)))
+_PHRASE = f"({_SMALLS})[o_orderkey%9+1]||' thousand '||({_SMALLS})[o_orderkey//2%9+1]||' hundred and '||({_TENS})[o_orderkey//3%8+1]||' '||({_SMALLS})[o_orderkey//5%9+1]"
+_VALUE = "(o_orderkey%9+1)*1000+(o_orderkey//2%9+1)*100+(o_orderkey//3%8+2)*10+(o_orderkey//5%9+1)"
+_money = lambda w: w.raw("orders").select("o_orderkey", F.concat(F.lit("It costs $"), F.format_number(F.floor("o_totalprice"), 0), F.lit(", "), _spelled(), F.lit(" units by March")).alias("text"))
+_add("sn_1_number_words", lambda w: _money(w).select("o_orderkey", F.element_at(N.number_words("text"), 1)["value"].alias("v"), F.element_at(N.number_words("text"), 1)["phrase"].alias("phrase")), f"select o_orderkey, cast({_VALUE} as bigint) v, {_PHRASE} phrase from orders")
+_add("sn_2_haystack", lambda w: _money(w).select("o_orderkey", F.element_at(F.split(N.haystack_of("text"), " ␟ "), -1).alias("v"), F.regexp_extract(F.element_at(F.split(N.haystack_of("text"), " ␟ "), 2), r"\$([0-9]+)", 1).alias("sum")),
+     f"select o_orderkey, cast({_VALUE} as varchar) v, cast(cast(floor(o_totalprice) as bigint) as varchar) \"sum\" from orders")
+_add("sn_3_numeric_tokens", lambda w: _money(w).select("o_orderkey", F.array_join(F.transform(N.numeric_tokens("text"), lambda t: F.array_join(F.array_sort(t["forms"]), "/")), " | ").alias("v")),
+     f"with m as (select o_orderkey, cast(floor(o_totalprice) as bigint) n, cast({_VALUE} as bigint) v, {_PHRASE} p from orders), f as (select *, format('{{:,}}', n) g, format('{{:,}}', v) h from m) select o_orderkey, array_to_string(list_sort(list_distinct(['$'||g||',', g||',', n::varchar, g, n||' dollars', g||' dollars'])),'/')||' | '||array_to_string(list_sort([v::varchar, h, p]),'/')||' | mar/march' v from f")
+_cited = lambda: F.when(_k() % 3 == 0, F.lit("in march")).when(_k() % 3 == 1, F.concat(F.lit("some "), _spelled(), F.lit(" of them"))).otherwise(F.lit("nothing"))
+_add("sn_4_verbatim_misses", lambda w: _money(w).select("o_orderkey", F.array_join(F.transform(N.verbatim_misses("text", _cited()), lambda t: F.when(t.startswith("$"), "sum").when(t == "March", t).otherwise("words")), "|").alias("v")),
+     "select o_orderkey, case o_orderkey%3 when 0 then 'sum|words' when 1 then 'sum|March' else 'sum|words|March' end v from orders")
 _add("sn_5_minutes", lambda w: C.minutes(w.utterances, w.meetings), "select m.id, nullif(cast(trunc(coalesce((mx+59)/60,(duration_s+59)/60)) as integer),0) as \"minutes\" from meetings m left join (select meeting_id, max(offset_s) mx from utterances group by 1) u on u.meeting_id=m.id")
 _add("sn_7_rank_fusion", lambda w: R.fused(R.ranked(_scored(w), 60, F.desc("score")), R.ranked(_scored(w), 60, F.asc("score"))).select("chunk_id", F.round("fused", 9).alias("fused")),
      "with s as (select id chunk_id, length(text)%100 sc from chunks), a as (select chunk_id, row_number() over (order by sc desc, chunk_id)-1 r from s), b as (select chunk_id, row_number() over (order by sc, chunk_id)-1 r from s) select chunk_id, round(sum(p),9) fused from (select chunk_id, 1.0::double/(61+r) p from a where r<60 union all select chunk_id, 0.6::double/(61+r) from b where r<60) group by 1")
 _add("sn_8_recency", lambda w: w.meetings.select("id", F.round(R.recency(F.col("started_at"), AS_OF_MS), 9).alias("v")), f"select id, round(1+0.15::double*exp(-greatest(0.0::double,({AS_OF_MS}-started_at)/86400000.0::double)/180.0::double),9) v from meetings")
-_add("sn_9_cost", lambda w: w.runs.select("id", F.round(U.cost(F.when(F.col("id") % 2 == 0, "gpt-4o-mini").otherwise("house-think"), F.coalesce("tokens_in", F.lit(0)), F.lit(100)), 9).alias("v")), "select id, round(case when id%2=0 then coalesce(tokens_in,0)/1000.0::double*0.00015::double+0.1::double*0.0006::double else coalesce(tokens_in,0)/1000.0::double*0.0005::double+0.1::double*0.0015::double end,9) v from runs")
+_add("sn_9_cost", lambda w: w.runs.select("id", F.round(U.cost(F.when(F.col("id") % 2 == 0, "gpt-4o-mini").otherwise("own-model"), F.coalesce("tokens_in", F.lit(0)), F.lit(100), {"gpt-4o-mini": (0.00015, 0.0006), "own-model": (0.0005, 0.0015)}), 9).alias("v")), "select id, round(case when id%2=0 then coalesce(tokens_in,0)/1000.0::double*0.00015::double+0.1::double*0.0006::double else coalesce(tokens_in,0)/1000.0::double*0.0005::double+0.1::double*0.0015::double end,9) v from runs")
 _add("sn_10_iso_day", lambda w: w.meetings.select("id", C.iso_day(F.col("started_at")).alias("v")), "select id, strftime(make_timestamp(started_at*1000),'%Y-%m-%d') v from meetings")
-_add("sn_11_zone_to_epoch", lambda w: w.raw("events").select("event_id", F.unix_millis(F.to_utc_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")), "America/New_York")).alias("v")), None)
+_ZONES = ["America/New_York", "Europe/Berlin", "UTC", "No/Such"]
+_add("sn_11_zone_to_epoch", lambda w: w.raw("events").select("event_id", I.to_epoch(F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd'T'HHmmss"), _pick(_ZONES, F.col("event_id"))).alias("v")),
+     "select event_id, epoch_ms(case event_id%4 when 0 then timezone('America/New_York', t) when 1 then timezone('Europe/Berlin', t) else timezone('UTC', t) end) v from (select event_id, date_trunc('second', ts)::timestamp t from events)")
+_rule = lambda: F.when(F.col("c_custkey") % 3 == 0, "DAILY;COUNT=5;INTERVAL=2").when(F.col("c_custkey") % 3 == 1, "WEEKLY;BYDAY=MO,WE;UNTIL=20240125T000000Z").otherwise("MONTHLY;COUNT=3")
+_feed = lambda w: w.raw("customer").select(F.concat(F.lit("BEGIN:VEVENT\nUID:"), F.col("c_custkey").cast("string"), F.lit("\nSUMMARY:Call\nDTSTART:20240131T100000Z\nRRULE:FREQ="), _rule(), F.lit("\nEND:VEVENT")).alias("value"))
+_add("sn_12_recurrence", lambda w: I.events(_feed(w), 1704067200000, 1735689600000).select("uid", "start_ms"),
+     "select cast(c_custkey as varchar) uid, epoch_ms(t) start_ms from (select c_custkey, unnest(case c_custkey%3 when 0 then [timestamp '2024-01-31 10:00:00', timestamp '2024-02-02 10:00:00', timestamp '2024-02-04 10:00:00', timestamp '2024-02-06 10:00:00', timestamp '2024-02-08 10:00:00'] when 2 then [timestamp '2024-01-31 10:00:00', timestamp '2024-03-02 10:00:00', timestamp '2024-03-31 10:00:00'] else [] end) t from customer)")
 _add("sn_13_backoff", lambda w: w.spark.range(1, 6).select(F.col("id").cast("int").alias("n"), F.expr("cast(400 * power(2, id - 1) as bigint)").alias("ms")), "select i::integer n, (400*pow(2,i-1))::bigint ms from range(1,6) t(i)")
-_add("sn_14_loose_json", lambda w: w.claims.select("id", F.concat(F.lit("Sure: "), F.regexp_replace("body", r"\}$", ",}"), F.lit(" ok")).alias("t")).select("id", F.get_json_object(F.regexp_replace(F.regexp_extract("t", r"(?s)(\{.*\})", 1), r",\s*([}\]])", "$1"), "$.task").alias("v")), "select id, json_extract_string(body,'$.task') v from claims")
+_answer = lambda w: w.claims.select("id", F.when(F.col("id") % 4 == 0, F.col("body")).when(F.col("id") % 4 == 1, F.concat(F.lit("Here:\n```json\n"), "body", F.lit("\n```\nDone."))).when(F.col("id") % 4 == 2, F.concat(F.lit("Sure: "), F.regexp_replace("body", r"\}$", ",}"), F.lit(" ok"))).otherwise(F.lit("no JSON {at all")).alias("t"))
+_add("sn_14_loose_json", lambda w: _answer(w).select("id", F.get_json_object(T.parse_json_loose(F.col("t")), "$.task").alias("v")), "select id, case when id%4<3 then json_extract_string(body,'$.task') end v from claims")
 _add("sn_15_budget", lambda w: w.runs.select("id", U.budget_reason(F.col("units"), F.coalesce("tokens_in", F.lit(0)) * 1000, F.lit(50.0), F.lit(60000)).alias("v")), "select id, case when coalesce(tokens_in,0)*1000>60000 then 'deadline-exceeded' when units>=50 then 'budget-exhausted' end v from runs")
 _add("sn_16_confidence", lambda w: _u(w, v=SG.confidence(F.when(F.col("idx") % 3 == 0, F.lit(None)).otherwise(F.col("confidence") * 2 - 0.9))), _us("greatest(0.0::double, least(1.0::double, coalesce(case when idx%3=0 then null else confidence*2-0.9::double end, 1.0::double))) v"))
 _add("sn_17_arrays", lambda w: w.utterances.where("speaker is not null").groupBy("meeting_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("speaker", "speaker_role"))))), ",").alias("v")), "select meeting_id, array_to_string(list_sort(list_distinct(flatten(list([speaker,speaker_role])))),',') v from utterances where speaker is not null group by 1")
@@ -317,9 +385,10 @@ _add("sn_17_arrays", lambda w: w.utterances.where("speaker is not null").groupBy
 _quoted = lambda w: w.utterances.select(F.concat("meeting_id", F.lit("-"), "idx").alias("id"), "meeting_id", F.when(F.col("idx") % 3 == 0, F.substring("text", 1, 40)).when(F.col("idx") % 3 == 1, F.lit("qqqq zzzz never said")).alias("quote"), F.when(F.col("idx") % 2 == 0, F.col("offset_s") + 500.0).alias("offset_s"))
 _add("gt_1_grounded_in", lambda w: Q.grounded(_quoted(w), w.utterances).select("id", F.col("gate_reason").isNull().alias("passed")), "select meeting_id||'-'||cast(idx as varchar) id, idx%3=0 and trim(regexp_replace(regexp_replace(lower(left(text,40)),'[^a-z0-9\\s]',' ','g'),'\\s+',' ','g'))<>'' passed from utterances")
 _add("gt_2_canonical_gate", lambda w: E.canonical_reason(E.best_lexical(_CAND(w), w.entities).select("surface", F.lit("topic").alias("kind"), "entity_id", F.lit("lexical").alias("matcher"), "score", "runner_up", (F.length("surface") % 2 == 0).alias("has_proof"))).select("surface", F.col("gate_reason").isNull().alias("passed")))
-_snips = lambda w: w.chunks.where(F.col("id") < 12 * K.SPAN).select(F.col("id").alias("chunk_id"), "text")
-_points = lambda w: w.chunks.where(F.col("id") < 30 * K.SPAN).select(F.col("id").alias("chunk_id"), F.lit("said so").alias("text"), F.when(F.col("id") % 2 == 0, F.substring("text", 1, 80)).otherwise(F.lit("")).alias("quote"))
-_add("gt_3_answer_gate", lambda w: Q.answer_gate(_points(w), _snips(w)).select("chunk_id", F.col("reason").isNull().alias("passed")), "select id chunk_id, id<12*1048576 and id%2=0 passed from chunks where id<30*1048576")
+#: The dozen longest chunks stand for what one question retrieved; all chunks are points.
+_snips = lambda w: w.chunks.orderBy(F.desc(F.length("text")), "id").limit(12).select(F.col("id").alias("chunk_id"), "text")
+_points = lambda w: w.chunks.select(F.col("id").alias("chunk_id"), F.lit("said so").alias("text"), F.when(F.col("id") % 2 == 0, F.substring("text", 1, 80)).otherwise(F.lit("")).alias("quote"))
+_add("gt_3_answer_gate", lambda w: Q.answer_gate(_points(w), _snips(w)).select("chunk_id", F.col("reason").isNull().alias("passed")), "select id chunk_id, id%2=0 and id in (select id from chunks order by length(text) desc, id limit 12) passed from chunks")
 _add("gt_4_no_new_facts", lambda w: w.utterances.select("meeting_id", "idx", Q.new_facts(F.concat("text", F.lit(" Zanzibar")), T.normalize(F.col("text"))).isNotNull().alias("v")))
 _add("gt_5_sources", lambda w: Q.source_failures(_cites(w).select("meeting_id", F.col("key").cast("string").alias("path"), F.when(F.col("key") % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("source")).alias("source")), SG.segments(w.utterances)).groupBy("rule").agg(F.count("*").alias("n")),
      f"with {_SEG}, {_CITE}, e as (select key, meeting_id, unnest([s1,s2]) id from cites where key%4<>0) select 'source-exists' as rule, count(*) n from e where not exists (select 1 from segs where segs.meeting_id=e.meeting_id and segs.id=e.id) union all select 'leaf-sourced', count(*) from cites where key%4=0")
@@ -329,27 +398,44 @@ _add("gt_8_title_bullet", lambda w: Q.title_failures(_money(w).select(F.col("o_o
 _add("gt_9_stated_verdict", lambda w: w.claims.select("id", Q.verdict_reason(F.lit("strong yes, hire"), F.when(F.col("id") % 2 == 0, "I am a strong yes, hire").otherwise("good chat"), F.lit("i am a strong yes, hire")).isNull().alias("v")), "select id, id%2=0 v from claims")
 _add("gt_10_owner_whitelist", lambda w: w.claims.select("id", Q.owner_reason(F.get_json_object("body", "$.owner"), F.array(F.lit("person 1"), F.lit("person 2"))).isNull().alias("v")), "select id, coalesce(json_extract_string(body,'$.owner') in ('Person 1','Person 2'), false) v from claims")
 _add("gt_11_owner_named", lambda w: w.claims.select("id", Q.unnamed_owner(F.when(F.col("id") % 3 == 0, "Unassigned: fix it").when(F.col("id") % 3 == 1, "Person 1 to fix it").otherwise("fix it"), F.array(F.lit("Person 1"))).alias("v")), "select id, id%3=2 v from claims")
-_add("gt_12_theme_header", lambda w: Q.header_failures(w.claims.where("id % 100 < 3").select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 2 == 0, "Decided on pricing for Person 1").otherwise("Pricing").alias("text"), F.lit("they talked about pricing").alias("leaf_text"), F.array(F.lit("Person 1")).alias("names"))).select("path", "detail"), "select cast(id as varchar) path, unnest(['1','decided','Person 1']) detail from claims where id%100<3 and id%2=0")
+_add("gt_12_theme_header", lambda w: Q.header_failures(w.claims.select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 2 == 0, "Decided on pricing for Person 1").otherwise("Pricing").alias("text"), F.lit("they talked about pricing").alias("leaf_text"), F.array(F.lit("Person 1")).alias("names"))).select("path", "detail"), "select cast(id as varchar) path, unnest(['1','decided','Person 1']) detail from claims where id%2=0")
 _leaves = lambda w: _cites(w).select("meeting_id", F.col("key").cast("string").alias("path"), F.lit("It cost $12 for a thing that was said").alias("text"), "source", F.lit("Action items").alias("section"))
 _names = lambda w: w.utterances.where("speaker is not null").groupBy("meeting_id").agg(F.collect_set("speaker").alias("names"))
 _add("gt_13_validate_notes", lambda w: Q.validate_leaves(_leaves(w), SG.segments(w.utterances), _names(w)).select("meeting_id", "path", "rule"))
-_add("gt_14_action_items", lambda w: Q.verbatim_failures(w.claims.select(F.col("id").cast("string").alias("path"), F.concat(F.lit("send it by "), F.when(F.col("id") % 2 == 0, "Friday").otherwise("soon")).alias("text"), F.lit("by monday").alias("cited"))).select("path"), "select cast(id as varchar) path from claims where id%2=0")
+_duties = lambda w: w.claims.select(F.col("id").cast("string").alias("doc_id"), "meeting_id", F.to_json(F.struct(F.array(F.struct(F.lit("send it").alias("task"), F.when(F.col("id") % 2 == 0, "Person 1").when(F.col("id") % 5 == 0, "Stranger").alias("owner"), F.when(F.col("id") % 3 == 0, "Friday").alias("due"), F.array(F.lit("S001")).alias("source"))).alias("nextSteps"))).alias("json"))
+_own = lambda w: w.meetings.select(F.col("id").alias("meeting_id"), F.array(F.lit("Person 1")).alias("names"))
+_duty = H.Handoff("next", "Next", (H.Section("nextSteps", "actions", "Next"),))
+_add("gt_14_action_items", lambda w: (lambda r: H.validate(r, SG.segments(w.utterances), _own(w)).select("doc_id", "rule").distinct())(H.items(_duties(w), _duty)),
+     f"with {_SEG}, f as (select meeting_id, text from segs where id='S001') select cast(id as varchar) doc_id, 'verbatim-number' as rule from claims c join f using (meeting_id) where id%3=0 and not contains(lower(f.text),'fri') union all select cast(id as varchar), 'owner-whitelist' from claims where id%2<>0 and id%5=0 union all select cast(id as varchar), 'source-exists' from claims where meeting_id not in (select meeting_id from f)")
 _add("gt_15_low_confidence", lambda w: SG.rests_on_low_confidence(_cites(w), SG.segments(w.utterances)), f"with {_SEG}, {_CITE}, e as (select key, meeting_id, unnest([s1,s2]) id from cites), l as (select key, bool_and(confidence<0.6) low from e join segs using(meeting_id,id) group by 1) select c.key, coalesce(low,false) low from cites c left join l using(key)")
 _raw_statements = lambda w: _cites(w).select("meeting_id", F.col("key").alias("pos"), F.when(F.col("key") % 5 == 0, "").when(F.col("key") % 5 == 1, "it cost $77").otherwise("they spoke").alias("text"), F.lit("decision").alias("kind"), F.when(F.col("key") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("S001"))).alias("source"), F.lit("Person 1").alias("speaker"))
 _add("gt_16_sanitize_statements", lambda w: Q.sanitize_statements(_raw_statements(w), SG.segments(w.utterances), _names(w)).select("pos", F.split("reason", ":")[0].alias("reason")), "select id pos, case when id%5=0 then 'no text' when id%7=0 then 'no source segment ids' when id%5=1 then 'figure/date not in cited text' end reason from claims")
 _add("gt_17_entailment", lambda w: Q.entailment_failures(w.claims.select(F.col("id").alias("ordinal"), F.col("id").cast("string").alias("path")), w.claims.where("done = 1").select(F.col("id").alias("i"), F.lit(False).alias("supported"), F.lit("no").alias("why"))).select("path"), "select cast(id as varchar) path from claims where done=1")
 _notes = lambda w: w.meetings.select(F.col("id").alias("doc_id"), F.to_json(F.struct(F.array(F.struct(F.lit("Decisions").alias("text"), F.array(F.struct(F.concat(F.lit("Ship "), "title").alias("text"), F.array(F.lit("S001")).alias("source"), F.lit(False).alias("lowConfidence")), F.struct(F.concat(F.lit("ship "), "title", F.lit("!")).alias("text"), F.array(F.lit("S002")).alias("source"), F.lit(True).alias("lowConfidence"))).alias("children")), F.struct(F.col("mode").alias("text"), F.array(F.struct(F.lit("A point").alias("text"), F.array(F.lit("S003")).alias("source"), F.lit(False).alias("lowConfidence"))).alias("children"))).alias("themes"))).alias("json"))
-_add("gt_19_shape", lambda w: O.shape_errors(w.meetings.select(F.col("id").alias("doc_id"), F.lit('{"themes":[{"text":"A","children":[{"text":"b"}]},{"text":""}]}').alias("json"))), "select id doc_id, unnest(['0.0','1','1']) path, unnest(['a leaf bullet must carry source','text must be a non-empty string','a leaf bullet must carry source']) error from meetings")
+_BAD = ['{"themes":[{"text":"A","children":[{"text":"b"}]},{"text":""}]}', '{"themes":[{"text":"A","source":["S001"],"children":[{"text":"b","source":["S001"]}]}]}', '{"themes":[{"text":"A","children":[{"text":"b","source":["S001"]}]}]}', '{"themes":[{"text":"A","children":[{"text":"b","children":[{"text":"c","source":["S001"],"children":[{"text":"d","source":["S001"]}]}]}]}]}']
+_conv = lambda: F.substring("id", 2, 20).cast("long")
+_add("gt_19_shape", lambda w: O.shape_errors(w.meetings.select(F.col("id").alias("doc_id"), _pick(_BAD, _conv()).alias("json"))),
+     "select id doc_id, unnest(case k when 0 then ['0.0','1','1'] when 1 then ['0'] when 3 then [''] else [] end) path, unnest(case k when 0 then ['a leaf bullet must carry source','text must be a non-empty string','a leaf bullet must carry source'] when 1 then ['a theme label must not carry source'] when 3 then ['exceeds the maximum outline depth of 3'] else [] end) error from (select id, cast(substr(id,2) as bigint)%4 k from meetings)")
 _add("gt_20_bullet_grounding", lambda w: _u(w, v=Q.bullet_grounding(F.when(F.col("idx") % 3 == 0, None).when(F.col("idx") % 3 == 1, F.lit("qqqq zzzz")).otherwise(F.col("text")), T.normalize(F.col("text")))), f"select meeting_id, idx, case idx%3 when 0 then null when 1 then false else {_NORM.format('text')}<>'' end v from utterances")
 _fails = lambda w: w.claims.select("meeting_id", F.col("kind").alias("path"), F.col("gate").alias("rule"), F.col("id").alias("seq"), F.concat(F.lit("d"), "id").alias("detail"))
 _add("gt_21_format_failures", lambda w: Q.format_failures(_fails(w)), "with o as (select meeting_id, kind, gate, min(id) seq from claims group by all), l as (select *, row_number() over (partition by meeting_id order by seq) n from o), t as (select meeting_id, count(*) total from claims group by 1), s as (select meeting_id, string_agg('- ['||gate||'] d'||cast(seq as varchar), chr(10) order by n) x, count(*) c from l where n<=12 group by 1) select meeting_id, x||case when total-c>0 then chr(10)||'- (and '||cast(total-c as varchar)||' more of the same kinds)' else '' end as text from s join t using(meeting_id)")
-_add("gt_22_claim_assembly", lambda w: Q.grounded(w.claims.select("id", "meeting_id", F.lit(None).cast("string").alias("quote"), "offset_s"), w.utterances).groupBy(F.when(F.col("gate_reason").isNull(), "passed").otherwise("blocked").alias("gate")).agg(F.count("*").alias("n")), "select case when exists (select 1 from utterances u where u.meeting_id=c.meeting_id and abs(u.offset_s-c.offset_s)<=15) then 'passed' else 'blocked' end gate, count(*) n from claims c group by 1")
+_recap = lambda w: w.utterances.groupBy("meeting_id").agg(
+    F.transform(F.array_sort(F.collect_list(F.when(F.col("idx") % 3 == 0, F.struct("idx", "offset_s")))), lambda s: F.struct((s["offset_s"] + F.when(s["idx"] % 2 == 0, 0.0).otherwise(5000.0)).alias("offset_s"), F.lit("a moment").alias("text"))).alias("moments"),
+    F.transform(F.array_sort(F.collect_list(F.when(F.col("idx") % 4 == 1, F.struct("idx", "text")))), lambda s: F.struct(s["text"].alias("quote"), F.lit("a risk").alias("text"))).alias("risk_signals"),
+    F.array(F.struct(F.lit("qqqq zzzz never said").alias("text"))).alias("objections"), F.transform(F.array_sort(F.collect_list(F.when(F.col("idx") % 4 == 2, F.struct("idx", "text")))), lambda s: s["text"]).alias("key_decisions"),
+    F.array(F.struct(F.lit("never said qqqq zzzz").alias("task"), F.lit("customer").alias("owner"), F.lit(None).cast("string").alias("due"))).alias("action_items"))
+_add("gt_22_claim_assembly", lambda w: C.assembled(_recap(w), w.utterances).groupBy("meeting_id", "kind", "gate").agg(F.count("*").alias("n")),
+     f"""with u as (select *, {_NORM.format('text')} nt from utterances), c as (select meeting_id, 'moment' kind, exists (select 1 from utterances v where v.meeting_id=u.meeting_id and abs(v.offset_s-(u.offset_s+case when u.idx%2=0 then 0 else 5000 end))<=15) ok from u where idx%3=0
+ union all select meeting_id, 'risk', nt<>'' from u where idx%4=1 union all select meeting_id, 'decision', nt<>'' from u where idx%4=2 union all select distinct meeting_id, 'objection', false from u union all select distinct meeting_id, 'action_item', false from u)
+ select meeting_id, kind, case when ok then 'passed' else 'blocked' end gate, count(*) n from c group by all""")
 _add("gt_23_foreign_citation", lambda w: Q.foreign_citations(w.claims.select(F.col("id").cast("string").alias("path"), F.concat(F.lit("M"), F.col("id") % 3).alias("meeting"), F.array(F.concat(F.lit("M"), F.col("id") % 2, F.lit(":S001"))).alias("source"))).select("path"), "select cast(id as varchar) path from claims where id%3<>id%2")
 
 # --- trees and handoffs ------------------------------------------------------------------------
 _TREE = "tree as (select id doc_id, [0] path, 'Decisions' as text, false is_leaf from meetings union all select id, [0,0], 'Ship '||title, true from meetings union all select id, [0,1], 'ship '||title||'!', true from meetings union all select id, [1], mode, false from meetings union all select id, [1,0], 'A point', true from meetings)"
 _add("tree_1_walk", lambda w: O.bullets(_notes(w)).select("doc_id", O.path_text(F.col("path")).alias("path"), "text", "is_leaf"), f"with {_TREE} select doc_id, array_to_string(path,'.') path, text, is_leaf from tree")
-_add("tree_2_implied_sources", lambda w: O.implied_sources(O.bullets(_notes(w)), "0").select("doc_id", F.array_join("source", ",").alias("source")), "select id doc_id, 'S001,S002' source from meetings")
+_cited_notes = lambda w: w.meetings.select(F.col("id").alias("doc_id"), F.to_json(F.struct(F.array(F.struct(F.lit("A").alias("text"), F.array(*(F.struct(F.lit(f"p{i}").alias("text"), F.array(SG.segment_id((_conv() * (i + 2) % 5).cast("int"))).alias("source")) for i in range(3))).alias("children"))).alias("themes"))).alias("json"))
+_add("tree_2_implied_sources", lambda w: O.implied_sources(O.bullets(_cited_notes(w)), "0").select("doc_id", F.array_join("source", ",").alias("source")),
+     "with c as (select id, i, 'S00'||cast(cast(substr(id,2) as bigint)*(i+2)%5+1 as varchar) s from meetings, (select unnest([0,1,2]) i)), f as (select id, s, min(i) i from c group by 1,2) select id doc_id, string_agg(s, ',' order by i) source from f group by 1")
 _add("tree_3_rebuild", lambda w: O.rebuild(O.bullets(_notes(w)), O.bullets(_notes(w)).where("path = array(1, 0) or (path = array(0, 0) and doc_id = 'm1')")).select("doc_id", O.path_text(F.col("path")).alias("path"), "text"), f"with {_TREE} select doc_id, case when path=[0,1] and doc_id='m1' then '0.0' else array_to_string(path,'.') end path, text from tree where path[1]=0 and not (path=[0,0] and doc_id='m1')")
 _add("tree_4_sections", lambda w: O.normalize_sections(O.bullets(_notes(w)), "team").select("doc_id", "section", "order", "text"), "select id doc_id, 'Decisions' section, cast(unnest([0,1]) as integer) \"order\", unnest(['Ship '||title,'ship '||title||'!']) as text from meetings union all select id, 'Discussion', 0, mode from meetings")
 _add("tree_5_dedupe", lambda w: O.dedupe_leaves(O.bullets(_notes(w))).select("doc_id", O.path_text(F.col("path")).alias("path"), "text", F.array_join("source", ",").alias("source"), "low_confidence", "merged"), "select id doc_id, '0.0' path, 'Ship '||title as text, 'S001,S002' source, false low_confidence, 1::bigint merged from meetings union all select id, '1.0', 'A point', 'S003', false, 0 from meetings")
@@ -358,31 +444,85 @@ _add("tree_7_from_markdown", lambda w: O.from_markdown(O.to_markdown(O.bullets(_
 _add("tree_8_repair", lambda w: O.rebuild(O.bullets(_notes(w)), O.bullets(_notes(w)).where("low_confidence")).select("doc_id", O.path_text(F.col("path")).alias("path"), "text"), f"with {_TREE} select doc_id, array_to_string(path,'.') path, text from tree where path<>[0,1]")
 _add("tree_9_attempts", lambda w: U.attempts(w.claims.select(F.col("meeting_id").alias("name"), (F.col("id") % 4 + 1).alias("attempt"), (F.col("done") == 1).alias("ok")).groupBy("name", "attempt").agg(F.bool_or("ok").alias("ok"))), "with t as (select meeting_id as name, id%4+1 attempt, bool_or(done=1) ok from claims group by 1,2), s as (select name, min(case when ok then attempt end) won, max(attempt) lst from t where attempt<=3 group by 1) select name, case when won=1 then 'ok' when won is not null then 'retried' else 'failed' end status, coalesce(won,lst) attempts from s")
 _add("tree_10_summary_rows", lambda w: O.bullets(_notes(w)).where("is_leaf").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda s: s["text"]), " ").alias("text")), "select id doc_id, 'Ship '||title||' ship '||title||'! A point' as text from meetings")
-_doc = lambda w, h: w.claims.where("gate = 'passed' and id % 10 < 3").groupBy("meeting_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("id", F.struct(F.get_json_object("body", "$.task").alias("text"), F.get_json_object("body", "$.owner").alias("owner"), F.lit(None).cast("string").alias("due"), F.array(F.lit("S001")).alias("source")).alias("x")))), 1, 6).alias("xs")).select(F.col("meeting_id").alias("doc_id"), "meeting_id", F.to_json(F.struct(*(F.transform("xs", lambda s: s["x"]).alias(s) for s in h.sections))).alias("json"))
-_HOSQL = "with it as (select meeting_id, id, row_number() over (partition by meeting_id order by id)-1 pos from claims where gate='passed' and id%10<3) select meeting_id doc_id, s||'['||cast(pos as varchar)||']' path from it, (select unnest({sections}) s) where pos<6"
+# Documents of all passed claims of a meeting, in the shape of their kind.
+_XS = lambda: F.transform(F.array_sort(F.collect_list(F.struct("id", F.get_json_object("body", "$.task").alias("task"), F.get_json_object("body", "$.owner").alias("owner")))), lambda s: s)
+_SOURCE = lambda: F.array(F.lit("S001")).alias("source")
+_SHAPE = {
+    "items": lambda: F.transform("xs", lambda s: F.struct(s["task"].alias("text"), _SOURCE())),
+    "actions": lambda: F.transform("xs", lambda s: F.struct(s["task"].alias("task"), s["owner"].alias("owner"), F.lit("").alias("due"), _SOURCE())),
+    "quotes": lambda: F.transform("xs", lambda s: F.struct(F.when(s["id"] % 2 == 0, s["task"]).alias("item"), F.when(s["id"] % 3 > 0, F.concat(F.lit("$"), s["id"].cast("string"))).otherwise("").alias("price"), F.lit("seat").alias("unit"), _SOURCE())),
+    "groups": lambda: F.array(F.struct(F.lit("Person 1").alias("owner"), F.filter(F.transform("xs", lambda s: F.struct(s["id"].alias("id"), s["task"].alias("text"), s["owner"].alias("owner"), _SOURCE())), lambda x: x["id"] % 2 == 0).alias("items")), F.struct(F.lit("").alias("owner"), F.filter(F.transform("xs", lambda s: F.struct(s["id"].alias("id"), s["task"].alias("text"), s["owner"].alias("owner"), _SOURCE())), lambda x: x["id"] % 2 > 0).alias("items"))),
+    "lean": lambda: F.struct(F.lit("a strong yes").alias("text"), _SOURCE()),
+    "prose": lambda: F.lit("  "),
+    "lines": lambda: F.array_join(F.transform("xs", lambda s: F.concat(s["task"], F.lit(" [S001, S002]\n"))), "\n"),
+    "themes": lambda: F.array(F.struct(F.lit("Pricing").alias("theme"), F.lit("praise").alias("kind"), F.transform("xs", lambda s: F.struct(F.when(s["id"] % 4 > 0, "M1").otherwise("").alias("meetingId"), F.array(F.lit("M1:S001")).alias("source"))).alias("examples"))),
+    "notes": lambda: F.transform("xs", lambda s: F.struct(s["task"].alias("text"), F.array(F.struct(F.lit("a leaf").alias("text"), _SOURCE())).alias("children"))),
+}
+_doc = lambda w, h: w.claims.where("gate = 'passed'").groupBy("meeting_id").agg(_XS().alias("xs")).select(F.col("meeting_id").alias("doc_id"), "meeting_id", F.to_json(F.struct(*(_SHAPE[s.kind]().alias(s.key) for s in h.sections))).alias("json"))
+_IT = "it as (select meeting_id, id, json_extract_string(body,'$.task') task, coalesce(json_extract_string(body,'$.owner'),'Unassigned') as own, row_number() over (partition by meeting_id order by id)-1 pos from claims where gate='passed')"
+_at = lambda k, p="pos": f"'{k}['||cast({p} as varchar)||']'"
+_ROWS = {
+    "items": lambda k: f"select meeting_id doc_id, {_at(k)} path, task as text, null as owner from it",
+    "actions": lambda k: f"select meeting_id doc_id, {_at(k)} path, task as text, own as owner from it",
+    "quotes": lambda k: f"select meeting_id, {_at(k, 'p')}, case when id%2=0 then task else 'Unnamed item' end||' $'||cast(id as varchar)||' seat', null from (select *, row_number() over (partition by meeting_id order by id)-1 p from it where id%3>0)",
+    "groups": lambda k: f"select meeting_id, '{k}['||cast(g-1 as varchar)||'].items['||cast(row_number() over (partition by meeting_id, own order by place)-1 as varchar)||']', task, own from (select *, dense_rank() over (partition by meeting_id order by own='Unassigned', f) g from (select *, min(place) over (partition by meeting_id, own) f from (select meeting_id, task, case when own='Unassigned' and id%2=0 then 'Person 1' else own end own, (id%2)*10000000000+id place from it)))",
+    "lean": lambda k: f"select distinct meeting_id, '{k}', 'a strong yes', null from it",
+    "prose": lambda k: f"select distinct meeting_id, '{k}', '@', null from it",
+    "lines": lambda k: f"select meeting_id, {_at(k, '2*pos')}, task, null from it",
+    "themes": lambda k: f"select meeting_id, '{k}[0].examples['||cast(row_number() over (partition by meeting_id order by id)-1 as varchar)||']', 'Pricing', 'M1' from it where id%4>0",
+    "notes": lambda k: "select meeting_id, cast(pos as varchar), task, 'label' from it union all select meeting_id, cast(pos as varchar)||'.0', 'a leaf', 'leaf' from it",
+}
 for _i, _h in enumerate(H.CATALOG, 1):
-    _add(f"ho_{_i}_{_h.id}", lambda w, h=_h: H.items(_doc(w, h), h).select("doc_id", "path"), _HOSQL.format(sections="['" + "','".join(_h.sections) + "']"))
-_TA = next(h for h in H.CATALOG if h.people)
-_add("ho_12_regroup_by_owner", lambda w: H.regroup(H.items(_doc(w, _TA), _TA)).select("doc_id", "owner", "n"), "with it as (select meeting_id, coalesce(json_extract_string(body,'$.owner'),'Unassigned') as owner, row_number() over (partition by meeting_id order by id)-1 pos from claims where gate='passed' and id%10<3) select meeting_id doc_id, owner, count(*) n from it where pos<6 group by 1,2")
-_add("ho_13_prune", lambda w: H.prune(H.items(_doc(w, _TA), _TA), H.items(_doc(w, _TA), _TA).where(H.path_index(F.col("path"), "perOwner") == 0)).groupBy("doc_id").agg(F.count("*").alias("n")), "with it as (select meeting_id, row_number() over (partition by meeting_id order by id)-1 pos from claims where gate='passed' and id%10<3) select meeting_id doc_id, count(*) n from it where pos between 1 and 5 group by 1")
+    _add(f"ho_{_i}_{_h.id}", lambda w, h=_h: H.items(_doc(w, h), h).select("doc_id", "path", "text", "owner"), f"with {_IT}, r(doc_id, path, text, owner) as (" + " union all ".join(f"({_ROWS[s.kind](s.key).replace('@', s.fallback.replace(chr(39), chr(39) * 2))})" for s in _h.sections) + ") select * from r")
+_TA = H.BY_ID["team_actions"]
+_GROUPS = f"with {_IT}, r(doc_id, path, text, owner) as ({_ROWS['groups']('perOwner')})"
+_add("ho_12_regroup_by_owner", lambda w: H.regroup(H.items(_doc(w, _TA), _TA)).select("doc_id", "owner", "n", "last"), f"{_GROUPS} select doc_id, owner, count(*) n, cast(owner='Unassigned' as integer) as \"last\" from r group by 1,2")
+_add("ho_13_prune", lambda w: (lambda r: H.prune(r, r.where(H.path_index(F.col("path"), "perOwner") == 0).select("doc_id", "path"), _TA))(H.items(_doc(w, _TA), _TA)).groupBy("doc_id").agg(F.count("*").alias("n")), f"{_GROUPS} select doc_id, count(*) n from r where not starts_with(path,'perOwner[0]') group by 1")
 _add("ho_14_alias_segments", lambda w: H.alias_segments(SG.segments(w.utterances), ["m23", "m1"]).select("meeting_id", "id"), "select meeting_id, case meeting_id when 'm23' then 'M1:' else 'M2:' end||'S'||lpad(cast(idx+1 as varchar),3,'0') id from utterances where meeting_id in ('m23','m1')")
-_add("ho_15_suggested", lambda w: H.suggested(w.meetings.select("id", SG.meeting_type(F.col("mode"), F.lit(None).cast("string")).alias("type"))).where("suggested").groupBy("id").agg(F.count("*").alias("n")), "select id, cast(case mode when 'investor' then 3 when 'discovery' then 4 when 'one_on_one' then 2 else 3 end as bigint) n from meetings")
+_add("ho_15_suggested", lambda w: H.suggested(w.meetings.select("id", SG.meeting_type(F.col("mode"), F.lit(None).cast("string")).alias("type"))).where("suggested").select("id", "handoff", "rank", "is_default"),
+     "with t(type, hs) as (values " + ", ".join(f"('{k}', {v})" for k, v in H.SUGGESTED.items()) + "), m as (select id, case mode when 'investor' then 'investor' when 'discovery' then 'customer' when 'one_on_one' then 'one_on_one' else 'team' end as type from meetings) select id, unnest(hs) handoff, cast(unnest(range(len(hs))) as integer) as rank, unnest(range(len(hs)))=0 is_default from m join t using (type)")
 _add("ho_16_cross_meeting_cache", lambda w: M.cached(_prints(w).where("meeting_id in ('m1','m2')").withColumn("json", F.lit("[]")), _prints(w).where("meeting_id in ('m1','m2','m23')")).select("meeting_id", F.col("json").isNotNull().alias("reused")), "select distinct meeting_id, meeting_id<>'m23' reused from utterances where meeting_id in ('m1','m2','m23')")
 
 # --- composites --------------------------------------------------------------------------------
 _add("cp_1_candidates", lambda w: E.candidates(w.utterances, _recaps(w)).groupBy("meeting_id").agg(F.count("*").alias("n")).where("n <= 12").select("meeting_id"))
-_add("cp_2_curate", lambda w: E.curate(E.candidates(w.utterances, _recaps(w)), w.meetings.select(F.col("id").alias("meeting_id"), F.array(F.lit("budget")).alias("keep"))).where("kind = 'topic'").select("meeting_id", "surface"))
+_add("cp_2_curate", lambda w: E.curate(E.candidates(w.utterances, _recaps(w)), w.meetings.select(F.col("id").alias("meeting_id"), F.array(F.lit("Low Budget"), F.lit("urgent budget")).alias("keep"))).where("kind = 'topic'").select("meeting_id", "surface"))
 _add("cp_3_resolve", lambda w: E.resolve(E.candidates(w.utterances, _recaps(w)), w.entities).select("meeting_id", "kind", "surface", "entity_id", "matcher", F.round("score", 6).alias("score")))
-_add("cp_4_store", lambda w: E.store(E.canonical_reason(E.resolve(E.candidates(w.utterances, _recaps(w)), w.entities).withColumn("has_proof", F.lit(True))))[2])
+_add("cp_4_store", lambda w: E.store(E.canonical_reason(E.resolve(E.candidates(w.utterances, _recaps(w)), w.entities).withColumn("has_proof", F.lit(True))))[2].drop("score"))
 _add("cp_5_project_graph", lambda w: w.edges, "select src, dst, kind, meeting_id from edges")
 _add("cp_6_relate", lambda w: G.related_edges(_live(w)).select("src", "dst"), "with " + _REL + " select src, dst from relboth")
-_add("cp_7_index_meeting", lambda w: K.claim_chunks(w.claims).select("meeting_id", "src_id", "text"), "select meeting_id, id src_id, concat_ws(' — ', kind, coalesce(json_extract_string(body,'$.task'),quote,''), quote) as text from claims where gate='passed'")
+_add("cp_7_index_meeting", lambda w: K.every_chunk(w.utterances, w.claims, w.meetings).select("meeting_id", "kind", "src_id", "start_offset_s", "end_offset_s", "speakers", "text"),
+     "select meeting_id, 'window' kind, src_id, start_offset_s, end_offset_s, speakers, text from chunks union all select meeting_id, 'claim', id, coalesce(offset_s,0), coalesce(offset_s,0), null, concat_ws(' — ', kind, coalesce(json_extract_string(body,'$.task'),quote,''), quote) from claims where gate='passed' union all select id, 'summary', 0, 0, 0, null, title from meetings")
 _add("cp_8_retrieve_hybrid", lambda w: A.snippets(w, "red rod the person", graph=True).select("chunk_id", "meeting_id", "score"))
 _add("cp_9_ask_extractive", lambda w: A.ask_extractive(w).select("chunk_id", "meeting_id", "quote"))
-_add("cp_10_enumerate", lambda w: C.enumerate_claims(w.claims, w.meetings, "action_item", True).select("id", "label"), "select id, coalesce(json_extract_string(body,'$.task'),quote,'') as label from claims where kind='action_item' and gate='passed' and done=0")
-_add("cp_12_project_context", lambda w: A.project_context(w, 3), "with s as (select meeting_id from meeting_projects where project_id=3), a as (select 'meeting' part, row_number() over (order by started_at desc, id) as rank, title as text from meetings where id in (from s)), b as (select 'person' part, row_number() over (order by count(*) desc, speaker) as rank, speaker as text from utterances where speaker is not null and meeting_id in (from s) group by speaker), c as (select 'decision' part, row_number() over (order by id) as rank, json_extract_string(body,'$.task') as text from claims where kind='decision' and gate='passed' and meeting_id in (from s)) select part, cast(rank as integer) as rank, text from a where rank<=12 union all select part, cast(rank as integer), text from b where rank<=10 union all select part, cast(rank as integer), text from c where rank<=5")
-_add("cp_11_match_projects", lambda w: A.project_context(w, 5).groupBy("part").agg(F.count("*").alias("n")))
-_add("cp_13_meeting_meta", lambda w: w.utterances.where("speaker is not null").select("meeting_id", "speaker").distinct().join(w.people.select(F.lower("name").alias("k"), F.lit(True).alias("listed")), F.lower("speaker") == F.col("k"), "left").select("meeting_id", "speaker", F.coalesce("listed", F.lit(False)).alias("listed")), "select distinct meeting_id, speaker, exists (select 1 from people p where lower(p.name)=lower(speaker)) listed from utterances where speaker is not null")
+_add("cp_10_enumerate", lambda w: V.enumerated("list the open action items", w.claims, w.meetings)[1].select("id", "text", "meeting_id", "offset_s"),
+     "select id, coalesce(json_extract_string(body,'$.task'),quote,'')||coalesce(' — '||json_extract_string(body,'$.owner'),'') as text, meeting_id, coalesce(offset_s,0) offset_s from claims where kind='action_item' and gate='passed' and done=0")
+_seen = lambda w: w.chunks.where("src_id = 0").select(F.col("id").alias("chunk_id"), "meeting_id", "text")
+_now = lambda w: w.chunks.orderBy(F.desc(F.length("text")), "id").limit(12).select(F.col("id").alias("chunk_id"), "meeting_id", "text", F.length("text").cast("double").alias("score"))
+_add("cp_10_converse", lambda w: V.turn("who?", _now(w), _seen(w), w.topics.select("label"), _seen(w).select(F.lit("they spoke").alias("text"), "chunk_id", F.when(F.col("chunk_id") % 2 == 0, F.substring("text", 1, 40)).otherwise(F.lit("qqqq zzzz")).alias("quote"))).select("mode", "chunk_id", "meeting_id"),
+     "select 'synthesized' as mode, id chunk_id, meeting_id from chunks where src_id=0 and id%2=0")
+_team = lambda w: w.people.select(F.col("id").alias("k"), "name", "team").select((F.col("k") % 25).cast("int").alias("project_id"), "name", "team")
+_papers = lambda w: w.raw("part").select((F.col("p_partkey") % 25).cast("int").alias("project_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("All about "), "p_brand")).alias("content"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("On "), "p_type")).alias("summary"), (F.col("p_partkey") * 37 % 101).alias("updated_at"))
+_PAPERS = "papers as (select cast(p_partkey%25 as int) project_id, p_partkey id, p_name title, case when p_partkey%3>0 then 'All about '||p_brand end as content, case when p_partkey%2=0 then 'On '||p_type end summary, p_partkey*37%101 updated_at from part), team as (select cast(id%25 as int) project_id, name, team from people)"
+_add("cp_12_project_context", lambda w: A.project_context(w.meetings, w.claims, w.meeting_projects, _team(w), _papers(w), w.projects.where("id in (3, 7)")),
+     f"""with {_PAPERS}, p as (select unnest([3,7])::int project_id), m as (select project_id, m.id meeting_id, title, started_at from p join meeting_projects using (project_id) join meetings m on m.id=meeting_id),
+ a as (select project_id, 'meeting' part, row_number() over (partition by project_id order by started_at desc, meeting_id) as rank, title||' ('||strftime(make_timestamp(started_at*1000),'%Y-%m-%d')||')' as text from m),
+ c as (select project_id, 'claim' part, row_number() over (partition by project_id order by c.id, meeting_id) as rank, case when kind='decision' then 'Decision: '||coalesce(json_extract_string(b,'$.text'),'') else 'Action item'||case when done<>0 then ' (done)' else '' end||': '||coalesce(json_extract_string(b,'$.task'),'')||coalesce(' — owner '||json_extract_string(b,'$.owner'),'') end||' ['||title||']' as text from (select *, coalesce(edited_body, body) b from claims where gate='passed' and kind in ('decision','action_item')) c join m using (meeting_id)),
+ e as (select project_id, 'person' part, row_number() over (partition by project_id order by name) as rank, name||coalesce(' ('||team||')','') as text from p join team using (project_id)),
+ d as (select project_id, 'document' part, row_number() over (partition by project_id order by updated_at desc, id) as rank, title||chr(10)||coalesce('Summary: '||summary||chr(10),'')||left(coalesce(content,'(no extractable text)'),9000) as text from p join papers using (project_id))
+ select project_id, part, cast(rank as integer) as rank, text from a where rank<=12 union all select project_id, part, cast(rank as integer), text from c union all select project_id, part, cast(rank as integer), text from e union all select project_id, part, cast(rank as integer), text from d where rank<=8""")
+_add("cp_11_match_projects", lambda w: A.matching_context(w.meetings, w.claims, w.meeting_projects, _team(w), _papers(w)),
+     f"""with {_PAPERS}, d as (select project_id, row_number() over (partition by project_id order by started_at desc, c.id) as rank, coalesce(json_extract_string(b,'$.text'),b) as text from (select *, coalesce(edited_body, body) b from claims where gate='passed' and kind='decision') c join meeting_projects using (meeting_id) join meetings m on m.id=meeting_id),
+ e as (select project_id, row_number() over (partition by project_id order by name) as rank, name as text from team), f as (select project_id, row_number() over (partition by project_id order by updated_at desc, id) as rank, concat_ws(': ', title, coalesce(summary, left(content,300))) as text from papers)
+ select project_id, 'person' part, cast(rank as integer) as rank, text from e where rank<=10 union all select project_id, 'document', cast(rank as integer), text from f where rank<=5 union all select project_id, 'decision', cast(rank as integer), text from d where rank<=5""")
+_add("cp_11_suggestions", lambda w: A.matched(w.claims.select("meeting_id", (F.col("id") % 30).cast("int").alias("project_id"), (F.col("id") % 100 / 100).alias("confidence")), w.meeting_projects), "select meeting_id, project_id, confidence from (select meeting_id, cast(id%30 as int) project_id, id%100/100.0::double confidence from claims) c where confidence>=0.5 and exists (select 1 from meeting_projects p where p.meeting_id=c.meeting_id and p.project_id=c.project_id)")
+_add("cp_13_meeting_meta", lambda w: A.meeting_meta(w.meetings, w.utterances, w.people).select("meeting_id", F.array_join("participants", ",").alias("participants"), F.array_join("owners", ",").alias("owners")),
+     "with n as (select string_agg(distinct name, ',' order by name) names from people) select m.id meeting_id, coalesce((select string_agg(distinct speaker, ',' order by speaker) from utterances u where u.meeting_id=m.id and speaker is not null),'') participants, array_to_string(list_sort(list_distinct(list_concat(coalesce((select list(distinct speaker) from utterances u where u.meeting_id=m.id and speaker is not null),[]), string_split(names,',')))),',') owners from meetings m, n")
+_update = H.BY_ID["investor_update"]
+_add("cp_15_run_handoff", lambda w: Y.run_handoff(_doc(w, _update).unionByName(w.spark.createDataFrame([("gone", "gone", "{}")], "doc_id string, meeting_id string, json string")), _update, w.meetings, w.utterances.where("meeting_id <> 'm3'"), w.claims.where("meeting_id <> 'm4'").select("meeting_id"), _own(w)).select("doc_id", "code", F.col("markdown").isNotNull().alias("shipped")),
+     "select distinct meeting_id doc_id, case meeting_id when 'm3' then 'no-transcript' when 'm4' then 'no-statements' end code, meeting_id not in ('m3','m4') shipped from claims where gate='passed' union all select 'gone', 'not-found', false")
+_CROSS = '{"themes":[{"theme":"the calls","kind":"praise","examples":[{"meetingId":"M1","source":["M1:S001"]},{"meetingId":"M2","source":["M2:S002"]},{"meetingId":"M2","source":["M1:S001"]},{"meetingId":"M2","source":["M2:S999"]}]}]}'
+_add("cp_15_cross_handoff", lambda w: Y.run_cross_handoff(_CROSS, H.BY_ID["collated_feedback"], ["m5", "none", "m7"], w.meetings, w.utterances, "2024-01-09"),
+     "select 'cross' doc_id, null::varchar code, '**Collated customer feedback** (2024-01-09)'||chr(10)||chr(10)||'- **the calls** — 2 mentions · praise'||chr(10)||'  _heard in:_ Meeting 5, Meeting 7' as markdown, 2::bigint dropped")
 _add("gt_18_unsourced_prose", lambda w: Q.unsourced_failures(w.claims.select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 3 == 0, "send 40 of them").when(F.col("id") % 3 == 1, 'they said "not this year"').otherwise("Thanks for the time").alias("text"))).select("path", "rule"),
      "select cast(id as varchar) path, case id%3 when 0 then 'verbatim-number' else 'exact-quote' end as rule from claims where id%3<2")
 _add("cp_17_rederive", lambda w: B.rederive(w, "m5")[2].select("entity_id", "surface", "gate"))
@@ -398,12 +538,39 @@ _add("api_6_list_meetings", lambda w: B.Tools(w).list_meetings(100, "2024-01-01T
      "select id, title, started_at, (select count(*) from claims c where c.meeting_id=m.id and gate='passed' and c.kind='decision') decisions, (select count(*) from claims c where c.meeting_id=m.id and gate='passed' and c.kind='action_item') action_items from meetings m where started_at>=1704067200000+5*3600000 order by started_at desc, id limit 100")
 _add("api_7_get_evidence", lambda w: B.Tools(w).get_evidence("m3", ["S002", "S001", "S999"]),
      f"with {_SEG}, a as (select 0 pos, 'S002' id union all select 1, 'S001' union all select 2, 'S999') select pos, a.id, coalesce(s.text,'(unknown segment id)') as text from a left join segs s on s.id=a.id and s.meeting_id='m3'")
-_add("cp_16_diarize", lambda w: L.reindexed(L.without_bleed(_mic(w), _call(w)).unionByName(_call(w))).groupBy("meeting_id").agg(F.count("*").alias("n")), f"with u as (select *, {_W3.format('text')} ws from utterances) select meeting_id, count(*) n from u a where speaker_role='customer' or not exists (select 1 from u b where b.speaker_role='customer' and b.meeting_id=a.meeting_id and abs(a.offset_s-(b.offset_s+3))<4 and {_OV.format('a.ws','b.ws')}>=0.5) group by 1")
-_add("cp_19_failure_codes", lambda w: w.runs.select("id", U.failure_code(F.when(F.col("id") % 3 == 0, "request timed out").when(F.col("id") % 3 == 1, "HTTP 503").otherwise("boom")).alias("code")), "select id, case id%3 when 0 then 'model-timeout' when 1 then 'model-http' else 'crash' end code from runs")
+_tapes = lambda w: w.meetings.select(F.col("id").alias("meeting_id"), _conv().alias("k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("channel")).select("meeting_id", "channel", F.when(F.col("k") % 5 == 0, 0).when(F.col("k") % 5 == 1, 900000).when((F.col("k") % 5 == 2) & (F.col("channel") == 1), 10).otherwise(2000000).alias("bytes"), (F.col("k") % 7 == 6).alias("resumed"))
+_lines = lambda w: w.utterances.withColumn("speaker", F.when(F.col("speaker_role") == "agent", "You").otherwise("Them"))
+_add("cp_16_plan", lambda w: L.diarize_plan(_tapes(w), _lines(w), w.meetings.where("started_at % 11 = 0").select(F.col("id").alias("meeting_id"), F.lit("shipped").alias("status"))),
+     """with t as (select id meeting_id, cast(substr(id,2) as bigint) k, unnest([0,1])::int channel, started_at from meetings), b as (select *, case when k%5=0 then 0 when k%5=1 then 900000 when k%5=2 and channel=1 then 10 else 2000000 end bytes from t), m as (select *, max(bytes) over (partition by meeting_id) most from b),
+ u as (select meeting_id, case when speaker_role='agent' then 1 else 0 end channel, count(*) n, sum(duration_s) s from utterances group by 1,2)
+ select meeting_id, channel, case when started_at%11=0 then 'done' when k%7=6 then 'skip: resumed' when most=0 then 'skip: no tapes' when most<960000 then 'skip: too short' when bytes<960000 then 'channel too short' when coalesce(n,0)<2 or coalesce(s,0)<20 then 'nothing to split' else 'run' end as action from m left join u using (meeting_id, channel)""")
+_turns = lambda w: w.utterances.where("idx % 2 = 0").select("meeting_id", F.when(F.col("speaker_role") == "agent", 1).otherwise(0).alias("channel"), F.concat(F.lit("speaker_"), (F.col("idx") % 3 + 1).cast("string")).alias("speaker"), F.col("offset_s").alias("start"), (F.col("offset_s") + F.col("idx") % 4 / 10).alias("end"), "text")
+_add("cp_16_diarize", lambda w: L.substituted(_lines(w), _turns(w)).select("meeting_id", "speaker", "speaker_role", "offset_s", F.round("duration_s", 6).alias("duration_s"), "idx"),
+     f"""with u as (select *, {_W3.format('text')} ws, case when speaker_role='agent' then 'You' else 'Them' end nm from utterances), s as (select meeting_id, case when nm='You' then 'Room ' else 'Speaker ' end||cast(idx%3+1 as varchar) speaker, speaker_role, nm, text, ws, offset_s, greatest(0.3::double, (offset_s+idx%4/10.0::double)-offset_s) duration_s from u where idx%2=0),
+ k as (select * from s a where nm='Them' or not exists (select 1 from s b where b.nm='Them' and b.meeting_id=a.meeting_id and abs(a.offset_s-b.offset_s)<4 and {_OV.format('a.ws','b.ws')}>=0.5)),
+ l as (select meeting_id, nm speaker, speaker_role, text, offset_s, duration_s from u where not exists (select 1 from s where s.meeting_id=u.meeting_id and s.nm=u.nm) union all select meeting_id, speaker, speaker_role, text, offset_s, duration_s from k)
+ select meeting_id, speaker, speaker_role, offset_s, round(duration_s,6) duration_s, cast(row_number() over (partition by meeting_id order by offset_s, speaker, text)-1 as integer) idx from l""")
+_ERRORS = [(None, "fetch failed: ECONNREFUSED"), (None, "schema: text must be a string"), (None, "the model did not return JSON"), (None, "boom"), (429, "slow down"), (503, "bad gateway"), (400, "bad request"), (0, "the call timed out"), (0, "API_KEY is not set"), (0, "no route to host")]
+_CODES = ["network-failed", "schema-invalid", "model-bad-json", "crash", "model-rate-limited", "model-http", "model-http", "model-timeout", "model-unconfigured", "model-unreachable"]
+_error = lambda w: w.runs.select("id", F.get(F.array(*(F.struct(F.lit(s).cast("int").alias("status"), F.lit(m).alias("message")) for s, m in _ERRORS)), (F.col("id") % len(_ERRORS)).cast("int")).alias("e"))
+_add("cp_19_failure_codes", lambda w: _error(w).select("id", U.failure_code(F.col("e.message"), F.col("e.status")).alias("code")).select("*", U.label_of(F.col("code")).alias("label")),
+     f"select id, ({_CODES})[id%10+1] code, (" + str([U.LABELS[c] for c in _CODES]).replace('"the model\'s JSON did not match the schema"', "'the model''s JSON did not match the schema'") + ")[id%10+1] as label from runs")
+_tries = lambda w: w.runs.select(F.concat(F.lit("s"), (F.col("id") % 500).cast("string")).alias("name"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"), (F.col("id") % 500).alias("k")).distinct().select("name", "attempt", (F.col("attempt") > F.col("k") % 5).alias("ok"), F.concat(F.lit("fetch failed "), "attempt").alias("message"), F.lit(None).cast("int").alias("http_status"), F.when((F.col("k") % 7 == 0) & (F.col("attempt") == 3), "deadline-exceeded").alias("stop"))
+_add("cp_18_aimed_retry", lambda w: U.step_records(_tries(w)).select("name", "status", "attempts", "code", F.array_join("aimed_with", "|").alias("aimed_with")),
+     "with k as (select distinct id%500 k from runs) select 's'||cast(k as varchar) as name, case when k%5=0 then 'ok' when k%5=1 then 'retried' when k%7=0 then 'skipped' when k%5=2 then 'retried' else 'failed' end status, cast(case when k%5=0 then 1 when k%5=1 then 2 when k%7=0 then 2 else 3 end as integer) attempts, case when k%5<2 then null when k%7=0 then 'deadline-exceeded' when k%5=2 then null else 'network-failed' end code, case when k%5=0 then '' when k%5=1 then 'fetch failed 1' else 'fetch failed 1|fetch failed 2' end aimed_with from k")
 _add("cp_20_first_failure", lambda w: _steps(w).select("id", U.first_failure(F.col("steps"))["name"].alias("step")), "select id, case when outcome='failed' then case when id%2=0 then 'core:recap' else 'notes' end when id%11=0 then 'index' when outcome='partial' then case when id%2=0 then 'core:recap' else 'notes' end end step from runs")
-_add("cp_23_structured_summary", lambda w: O.shape_errors(_notes(w)).select("doc_id"), "select id doc_id from meetings where false")
-_add("cp_26_node_context", lambda w: A.node_context(w, "person:person-1").where("part = 'meeting'").select("id"), "select distinct meeting_id id from edges where src='person:person-1' or dst='person:person-1'")
-
+_summaries = lambda w: w.meetings.select(F.col("id").alias("doc_id"), _conv().alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt")).select("doc_id", "attempt", F.when((F.col("k") % 3 == 0) | (F.col("k") % 3 == 1) & (F.col("attempt") == 2), _BAD_OR[0]).otherwise(_BAD_OR[1]).alias("json"))
+_BAD_OR = ['{"themes":[{"text":"A","children":[{"text":"b","source":["S001"]}]}]}', '{"themes":[{"text":"A","children":[{"text":"b","children":[{"text":"c","source":["S001"]}]}]}]}']
+_add("cp_23_structured_summary", lambda w: P.structured_summaries(_summaries(w)),
+     "select id doc_id, case k when 0 then 1 else 2 end::integer attempt, case when k<2 then 'shipped' else 'failed' end status, case when k=2 then 'schema validation failed: : exceeds the maximum outline depth of 2' end feedback from (select id, cast(substr(id,2) as bigint)%3 k from meetings)")
+_NODE = "person:person-1"
+_add("cp_26_node_context", lambda w: A.node_context(w, _NODE).select("part", "rank", "text", "n"),
+     f"""with own as (select distinct m.id meeting_id, title, started_at from edges join meetings m on m.id=meeting_id where src='{_NODE}' or dst='{_NODE}'),
+ c as (select '['||title||'] Person 1 owns: '||json_extract_string(body,'$.task')||coalesce(' (due '||json_extract_string(body,'$.due')||')','') line, min(lpad(cast(started_at as varchar),20,'0')||lpad(meeting_id,20,' ')||lpad(cast(id as varchar),20,'0')) mark, arg_min(started_at, (started_at, meeting_id, id)) s, arg_min(meeting_id, (started_at, meeting_id, id)) mi, arg_min(id, (started_at, meeting_id, id)) i from claims join own using (meeting_id) where gate='passed' and kind='action_item' and lower(json_extract_string(body,'$.owner'))='person 1' group by 1),
+ b as (select distinct e.meeting_id, x id from (select meeting_id, unnest([src,dst]) x from edges) e join own using (meeting_id) where x<>'{_NODE}'), k as (select n.id, n.label, n.kind, count(*) n from b join nodes n on n.id=b.id and n.kind<>'meeting' group by 1,2,3)
+ select 'meeting' part, cast(row_number() over (order by started_at, meeting_id) as integer) as rank, strftime(make_timestamp(started_at*1000),'%Y-%m-%d')||' — '||title as text, 1::bigint n from own
+ union all select * from (select 'claim', cast(row_number() over (order by s, mi, i) as integer) r, line, 1 from c) where r<=12
+ union all select * from (select kind, cast(row_number() over (partition by kind order by n desc, id) as integer) r, label, n from k) where (kind='person' and r<=6) or (kind='topic' and r<=8)""")
 # --- sources and streams -----------------------------------------------------------------------
 _add("src_4_bundles", lambda w: files.bundles(w.meetings, w.utterances, w.claims).select("meeting_id", "version", F.size("utterances").alias("u"), F.size("claims").alias("c")), "select m.id meeting_id, 1 as version, cast((select count(*) from utterances u where u.meeting_id=m.id) as integer) u, cast((select count(*) from claims c where c.meeting_id=m.id) as integer) c from meetings m")
 _add("src_9_payload_shapes", lambda w: SG.from_payloads(w.utterances.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("idx", "speaker", "text", "offset_s"))).alias("x")).select("meeting_id", F.when(F.col("meeting_id") < "m5", F.to_json("x")).otherwise(F.to_json(F.struct(F.col("x").alias("segments")))).alias("payload"))).select("meeting_id", F.col("idx").cast("long").alias("idx"), "speaker", "text", "offset_s"), "select meeting_id, idx, speaker, text, offset_s from utterances")

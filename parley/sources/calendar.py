@@ -7,7 +7,8 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Weekday codes, and occurrences looked at for one rule.
 DAYS, MOST = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"], 5000
@@ -40,6 +41,17 @@ def instant(value: str, params: dict[str, str]) -> datetime | None:
     return datetime(*(int(m[i]) for i in range(1, 7)), tzinfo=zone)
 
 
+def to_epoch(wall: Column, zone: Column) -> Column:
+    """Epoch ms of a wall-clock time (yyyyMMddTHHmmss) in a zone; a zone that nobody knows counts as UTC (SN-11)."""
+
+    @F.pandas_udf("long")
+    def run(walls: pd.Series, zones: pd.Series) -> pd.Series:
+        found = [instant(w or "", {"TZID": z} if z else {}) for w, z in zip(walls, zones)]
+        return pd.Series([int(t.timestamp() * 1000) if t else None for t in found], dtype="Int64")
+
+    return run(wall, zone)
+
+
 def occurrences(start: datetime, rule: str, until: datetime):
     """Starts of a DAILY, WEEKLY (with BYDAY) or MONTHLY rule up to `until`; wall-clock time is kept."""
     r = dict(p.split("=", 1) for p in rule.split(";") if "=" in p)
@@ -54,11 +66,9 @@ def occurrences(start: datetime, rule: str, until: datetime):
             monday = start - timedelta(days=start.weekday())
             found = [t for d in days if (t := monday + timedelta(days=7 * i * step + d)) >= start]
         elif r.get("FREQ") == "MONTHLY":
+            # A day that the month lacks runs over into the next one.
             month = start.month - 1 + i * step
-            try:
-                found = [start.replace(year=start.year + month // 12, month=month % 12 + 1)]
-            except ValueError:
-                continue  # no such day in this month
+            found = [start.replace(year=start.year + month // 12, month=month % 12 + 1, day=1) + timedelta(days=start.day - 1)]
         else:
             found = [start] if i == 0 else []
         if i and not found and r.get("FREQ") not in ("WEEKLY",):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import StringType
 
 from parley.functions import text as T
 
@@ -82,16 +84,71 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return s.where(ms(F.col("last")) - ms(F.col("first")) >= SHORTEST_S * 1000).select("user_id", ms(F.col("first")).alias("start_ms"), ms(F.col("last")).alias("end_ms"), "n")
 
 
-def trim_echo(text: str, other: str) -> str:
-    """A line without the words at its start that repeat another line (SC-14)."""
+#: Bytes of a tape worth a job, lines and seconds worth splitting, words of a line that may be cut.
+MIN_TAPE, MIN_LINES, MIN_SPOKEN_S, CUT_WORDS = 960_000, 2, 20.0, 6
+
+
+def diarize_plan(tapes: DataFrame, utterances: DataFrame, runs: DataFrame) -> DataFrame:
+    """(meeting_id, channel, action) of tapes (meeting_id, channel, bytes, resumed): what is done with each (CP-16).
+
+    A meeting that shipped before is left alone; a resumed one, one without a tape of MIN_TAPE bytes and one whose
+    speakers are told apart already is skipped; a channel with too few lines or too little speech has nothing to
+    split; the others run. runs: meeting_id, status."""
+    name = F.when(F.col("channel") == 0, "Them").otherwise("You")
+    shipped = runs.where("status = 'shipped'").select("meeting_id").distinct().withColumn("shipped", F.lit(True))
+    split = utterances.where("speaker like 'Speaker %' or speaker like 'Room %'").select("meeting_id").distinct().withColumn("split", F.lit(True))
+    spoken = utterances.groupBy("meeting_id", F.col("speaker").alias("name")).agg(F.count("*").alias("lines"), F.sum("duration_s").alias("spoken_s"))
+    whole = tapes.groupBy("meeting_id").agg(F.bool_or("resumed").alias("any_resumed"), F.max("bytes").alias("most"))
+    rows = tapes.withColumn("name", name).join(whole, "meeting_id").join(shipped, "meeting_id", "left").join(split, "meeting_id", "left").join(spoken, ["meeting_id", "name"], "left")
+    action = (
+        F.when(F.col("shipped"), "done")
+        .when(F.col("any_resumed"), "skip: resumed")
+        .when(F.col("most") == 0, "skip: no tapes")
+        .when(F.col("most") < MIN_TAPE, "skip: too short")
+        .when(F.col("split"), "skip: told apart already")
+        .when(F.col("bytes") < MIN_TAPE, "channel too short")
+        .when((F.coalesce("lines", F.lit(0)) < MIN_LINES) | (F.coalesce("spoken_s", F.lit(0.0)) < MIN_SPOKEN_S), "nothing to split")
+        .otherwise("run")
+    )
+    return rows.select("meeting_id", "channel", action.alias("action"))
+
+
+def substituted(utterances: DataFrame, segments: DataFrame) -> DataFrame:
+    """Utterances whose channel was split give way to its segments (meeting_id, channel, speaker, start, end, text):
+    speakers are `Speaker N` on the call and `Room N` in the room, room segments that repeat a call segment go, and
+    lines are numbered by time again (CP-16, JN-22, WN-7)."""
+    number = F.coalesce(F.nullif(F.regexp_extract("speaker", r"(\d+)", 1), F.lit("")), F.lit("1"))
+    call = F.col("channel") == 0
+    seg = segments.where(F.trim("text") != "").select(
+        "meeting_id", F.concat(F.when(call, "Speaker ").otherwise("Room "), number).alias("speaker"), F.when(call, "customer").otherwise("agent").alias("speaker_role"), F.trim("text").alias("text"),
+        F.col("start").alias("offset_s"), F.greatest(F.lit(0.3), F.col("end") - F.col("start")).alias("duration_s"))
+    room, theirs = seg.where("speaker_role = 'agent'"), seg.where("speaker_role = 'customer'")
+    keyed = room.withColumn("idx", F.row_number().over(Window.partitionBy("meeting_id").orderBy("offset_s", "speaker", "text")))
+    kept = without_bleed(keyed, theirs).select(seg.columns)
+    replaced = segments.select("meeting_id", F.when(call, "Them").otherwise("You").alias("speaker")).distinct()
+    left = utterances.join(replaced, ["meeting_id", "speaker"], "left_anti").select(seg.columns)
+    return reindexed(left.unionByName(theirs).unionByName(kept))
+
+
+def trim_echo(text: str, heard: list[str]) -> str:
+    """A microphone line without the lines of CUT_WORDS words or more of the other channel that stand in it word
+    for word; the hit is mapped back by counting words (SC-14)."""
     import re
 
-    bare = lambda s: [re.sub(r"[^a-z0-9]", "", w.lower()) for w in s.split()]
-    mine, theirs = bare(text), " " + " ".join(bare(other)) + " "
-    n = len(mine)
-    while n and f" {' '.join(mine[:n])} " not in theirs:
-        n -= 1
-    return " ".join(text.split()[n:]) if n >= ECHO_WORDS else text
+    norm = lambda s: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", s.lower())).strip()
+    out = text
+    for line in heard:
+        at = norm(out).find(norm(line)) if len(line.split()) >= CUT_WORDS else -1
+        if at >= 0:
+            first, words = len(norm(out)[:at].split()), out.split()
+            out = " ".join(words[:first] + words[first + len(norm(line).split(" ")) :]).strip()
+    return out
+
+
+@F.pandas_udf(StringType())
+def trimmed(texts: pd.Series, heard: pd.Series) -> pd.Series:
+    """trim_echo over columns: a line, and the array of the other channel's recent lines."""
+    return pd.Series([trim_echo(t or "", list(h) if h is not None else []) for t, h in zip(texts, heard)])
 
 
 class EchoGate(StatefulProcessor):
@@ -105,8 +162,6 @@ class EchoGate(StatefulProcessor):
         self.heard = handle.getListState("heard", "offset_s double, text string")
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
         words = lambda s: {w for w in _bare(s) if len(w) > 2}
         lines = [(r[0], r[1]) for r in self.heard.get()]
         out = []

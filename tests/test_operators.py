@@ -197,5 +197,5 @@ def test_echo_stream_equals_batch(spark, tmp_path):
 
 
 def test_trim_echo():
-    assert live.trim_echo("move the launch to Friday please", "we move the launch to friday") == "please"
-    assert live.trim_echo("hello there", "hello there") == "hello there"
+    assert live.trim_echo("so, we move the launch to Friday please", ["We move the launch to friday", "too short to cut"]) == "so, please"
+    assert live.trim_echo("hello there", ["hello there"]) == "hello there"
