@@ -99,15 +99,15 @@ def _order(rule: Column) -> Column:
 RULE = "struct<tokens:array<string>,label:string,confidence:double,support:double>"
 
 
-def label_in_scan(url: Column, rules: DataFrame, count: int) -> Column:
-    """The label of the best mined rule for a URL, by the index in the scan; null without one. The rules are
-    few (see judge) and become a constant of the plan: an array of slots, each with its rules."""
+def label_in_scan(own: Column, rules: DataFrame, count: int) -> Column:
+    """The label of the best mined rule for a URL's tokens, by the index in the scan; null without one. The rules
+    are few (see judge) and become a constant of the plan: an array of slots, each with its rules."""
     slots = 1 << max(4, (2 * count - 1).bit_length())
     slot = lambda token: F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
     index: list[list[dict]] = [[] for _ in range(slots)]
     for r in rules.select(slot(F.col("key")).alias("slot"), "tokens", "label", "confidence", "support").collect():
         index[r["slot"]].append({c: r[c] for c in ("tokens", "label", "confidence", "support")})
-    held, own = F.from_json(F.lit(json.dumps(index)), f"array<array<{RULE}>>"), tokens_of(url)
+    held = F.from_json(F.lit(json.dumps(index)), f"array<array<{RULE}>>")
     met = F.flatten(F.transform(own, lambda t: F.get(held, slot(t))))
     fits = F.filter(met, lambda r: F.size(F.array_except(r["tokens"], own)) == 0)
     return F.array_max(F.transform(fits, _order))["label"]
@@ -138,7 +138,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, id_c
     if count == 0:
         rows = rows.withColumn("label", F.lit(None).cast("string"))
     elif count <= scan_rules and chars <= SCAN_CHARS:
-        rows = rows.withColumn("label", F.when(F.col("given").isNull() & (F.col("host") != ""), label_in_scan(F.col("url"), mined, count)))
+        # Tokens in a column of their own: they are made once a URL, not once a rule.
+        rows = rows.withColumn("own", F.when(F.col("given").isNull() & (F.col("host") != ""), tokens_of(F.col("url"))))
+        rows = rows.withColumn("label", label_in_scan(F.col("own"), mined, count)).drop("own")
     else:
         rows = rows.join(match(rows.where("given is null and host <> ''"), mined), "url", "left")
     return rows.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "host", "path", "rule", F.coalesce("given", "label", F.lit("allow")).alias("verdict"))
