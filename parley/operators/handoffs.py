@@ -214,8 +214,9 @@ def empty_documents(documents: DataFrame, rows: DataFrame) -> DataFrame:
     return documents.select("doc_id").join(rows.where("kind <> 'prose'").select("doc_id"), "doc_id", "left_anti")
 
 
-def validate(rows: DataFrame, segs: DataFrame, owners: DataFrame) -> DataFrame:
-    """(doc_id, path, rule, detail) of rows that their sources do not carry. owners: meeting_id, names.
+def validate(rows: DataFrame, segs: DataFrame, owners: DataFrame, kinds: set[str] | None = None) -> DataFrame:
+    """(doc_id, path, rule, detail) of rows that their sources do not carry. owners: meeting_id, names; kinds: those
+    of the sections, by default all, of which only the rules are planned.
 
     Rows whose sources fail are not checked further. Prose, and lines without sources, may state no figure
     and quote nobody. A line's figures and quotations must stand in its cited segments, those of an action
@@ -227,22 +228,26 @@ def validate(rows: DataFrame, segs: DataFrame, owners: DataFrame) -> DataFrame:
     parts = [Q.unsourced_failures(r.where(bare).select(F.col("key").alias("path"), "text")).select("path", "rule", "detail")]
     sourced = r.where(~bare)
     unknown = Q.source_failures(sourced.select("meeting_id", F.col("key").alias("path"), "source"), segs).select("path", "rule", F.col("id").alias("detail"))
-    foreign = Q.foreign_citations(sourced.where("kind = 'themes'").select(F.col("key").alias("path"), F.col("owner").alias("meeting"), "source"))
+    has = lambda *some: kinds is None or bool(kinds & {*some})
     bad = unknown.select("path").distinct()
     good = sourced.join(bad, sourced["key"] == bad["path"], "left_anti")
     each = good.select("key", "meeting_id", F.posexplode("source").alias("i", "id")).join(segs.select("meeting_id", "id", F.col("text").alias("said")), ["meeting_id", "id"])
     texts = each.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "said"))), lambda s: s["said"]).alias("texts"))
     stated = F.when(F.col("due").isNotNull(), F.concat("text", F.lit(" "), "due")).otherwise(F.col("text"))
     cited = good.join(texts, "key").select(F.col("key").alias("path"), "kind", "text", stated.alias("stated"), "texts", F.array_join("texts", " ").alias("cited"))
-    parts += [unknown, foreign, Q.verbatim_failures(cited.select("path", F.col("stated").alias("text"), "cited")), Q.quote_failures(cited.select("path", "text", "texts"))]
-    who = sourced.where("kind in ('actions', 'groups')").join(owners.select("meeting_id", F.transform("names", lambda n: F.lower(n)).alias("names")), "meeting_id", "left")
-    reason = Q.owner_reason(F.col("owner"), F.coalesce("names", _none()))
-    parts.append(who.select(F.col("key").alias("path"), F.lit("owner-whitelist").alias("rule"), reason.alias("detail")).where("detail is not null"))
-    lean = Q.verdict_reason(F.col("text"), F.col("cited"), T.flat(F.col("cited")))
-    parts.append(cited.where("kind = 'lean'").select("path", F.lit("stated-verdict").alias("rule"), lean.alias("detail")).where("detail is not null"))
-    label = F.regexp_extract("path", r"^(.*\|themes\[\d+\])", 1)
-    heads = cited.where("kind = 'themes'").groupBy(label.alias("path")).agg(F.first("text").alias("text"), F.array_join(F.array_sort(F.collect_set("cited")), " ").alias("leaf_text")).withColumn("names", _none())
-    parts.append(Q.header_failures(heads))
+    parts += [unknown, Q.verbatim_failures(cited.select("path", F.col("stated").alias("text"), "cited")), Q.quote_failures(cited.select("path", "text", "texts"))]
+    if has("actions", "groups"):
+        who = sourced.where("kind in ('actions', 'groups')").join(owners.select("meeting_id", F.transform("names", lambda n: F.lower(n)).alias("names")), "meeting_id", "left")
+        reason = Q.owner_reason(F.col("owner"), F.coalesce("names", _none()))
+        parts.append(who.select(F.col("key").alias("path"), F.lit("owner-whitelist").alias("rule"), reason.alias("detail")).where("detail is not null"))
+    if has("lean"):
+        lean = Q.verdict_reason(F.col("text"), F.col("cited"), T.flat(F.col("cited")))
+        parts.append(cited.where("kind = 'lean'").select("path", F.lit("stated-verdict").alias("rule"), lean.alias("detail")).where("detail is not null"))
+    if has("themes"):
+        parts.append(Q.foreign_citations(sourced.where("kind = 'themes'").select(F.col("key").alias("path"), F.col("owner").alias("meeting"), "source")))
+        label = F.regexp_extract("path", r"^(.*\|themes\[\d+\])", 1)
+        heads = cited.where("kind = 'themes'").groupBy(label.alias("path")).agg(F.first("text").alias("text"), F.array_join(F.array_sort(F.collect_set("cited")), " ").alias("leaf_text")).withColumn("names", _none())
+        parts.append(Q.header_failures(heads))
     found = reduce(lambda a, b: a.unionByName(b), [p.select("path", "rule", "detail") for p in parts])
     at = F.split("path", r"\|", 2)
     return found.select(at[0].alias("doc_id"), at[1].alias("path"), "rule", "detail")
