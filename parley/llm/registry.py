@@ -44,9 +44,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the documents in the labels table: toxic, low_quality or clean."""
+    """(doc_id, text, text_hash, label) of the documents in the labels table: toxic, low_quality or clean. The hash, null
+    for a null text, stands in for the text where rows are only chosen."""
     label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low_quality").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
-    return docs.select("doc_id", "text").join(labels.select("doc_id", label.alias("label")).where("label is not null"), "doc_id")
+    content = F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash")
+    return docs.select("doc_id", "text", content).join(labels.select("doc_id", label.alias("label")).where("label is not null"), "doc_id")
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

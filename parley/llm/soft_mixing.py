@@ -70,13 +70,15 @@ def on_grid(p: np.ndarray) -> np.ndarray:
     return steps / GRID
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "doc_id", rows: int = SAMPLE_ROWS, hash_col: str = "text_hash") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Domains, word weights (cells by domains) and mark weights, by softmax regression.
 
     Fitted on at most `rows` labelled rows, those with the smallest hash of order_col, of equal ones those
     with the smallest hash of text and label; rows equal in all count each. Rows with a null text or label
     are left out; a null id has a hash like any other. The driver gets a bitmap of CELLS bits a row at most
-    and uses the rows until their cells exceed SAMPLE_CELLS. Without labelled rows there are no domains."""
+    and uses the rows until their cells exceed SAMPLE_CELLS. Without labelled rows there are no domains. A table
+    that brings a hash of the text (hash_col) spares the choice the texts: where it is a join, they need not be
+    shuffled for it."""
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -84,11 +86,14 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
             yield pd.DataFrame({"h": f["h"], "g": f["g"], "label": f["label"], "cells": [_bitmap(_cells(t)[0]) for t in f["text"]], "marks": marks})
 
     small_batches(labelled.sparkSession)
-    known = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(order_col).alias("h")).where("text is not null and label is not null")
-    known = known.withColumn("g", F.xxhash64("text", "label"))
+    content = F.col(hash_col) if hash_col in labelled.columns else F.xxhash64(F.col(text_col).cast("string"))
+    given = F.col(hash_col).isNotNull() if hash_col in labelled.columns else F.col(text_col).isNotNull()
+    known = labelled.where(given & F.col(label_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(order_col).alias("h"), F.xxhash64(content, label_col).alias("g"))
     last = known.select("h", "g").orderBy("h", "g").limit(rows).groupBy().agg(F.max(F.struct("h", "g")).alias("last")).first()["last"]
     if last is None:
         return [], np.zeros((CELLS, 0)), np.zeros((5, 0))
+    # The first test goes down to the scan, below a join with the labels.
+    known = known.where(F.col("h") <= last["h"])
     before = (F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("g") < last["g"])
     at = known.where((F.col("h") == last["h"]) & (F.col("g") == last["g"]))
     chosen = known.where(before).unionByName(at.limit(rows - known.where(before).count()))
