@@ -162,6 +162,8 @@ def resolve(cands: DataFrame, entities: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["meeting_id", "kind", "surface", "seq", "quote", "offset_s", "source", "entity_id", "matcher", "score", "runner_up", "matched"])
 
     schema = "meeting_id string, kind string, surface string, seq int, quote string, offset_s double, source string, entity_id string, matcher string, score double, runner_up double, matched string"
+    # What grounds a candidate comes along where it is known.
+    cands = cands.withColumns({c: F.lit(None).cast(t) for c, t in (("quote", "string"), ("offset_s", "double"), ("source", "string")) if c not in cands.columns})
     ordered = cands.withColumn("seq", F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.desc("weight"), "kind", "surface"))).select("meeting_id", "kind", "surface", "seq", "quote", "offset_s", "source")
     return ordered.groupBy("meeting_id").cogroup(near.groupBy("meeting_id")).applyInPandas(run, schema)
 
