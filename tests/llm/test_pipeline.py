@@ -101,3 +101,27 @@ def test_mixing_draws_row_by_row(spark, tmp_path):
     same = docs.where("text is not null and doc_id < 60").selectExpr("if(doc_id % 2 = 0, cast(null as bigint), 5L) doc_id", "text", "lang", "source", "n_chars")
     ids = {r["doc_id"] for r in corpus_pipeline.mixing(spark, same.unionByName(docs), str(tmp_path)).collect()}
     assert {None, 5} <= ids
+
+
+CLASH = ["row", "doc", "id", "lines", "leaf", "_id", "_lines", "_copies", "node", "of", "whole", "p", "tokens", "rate", "copies", "text_hash", "h", "g", "label"]
+
+
+def test_odd_rows_and_clashing_names_in_every_stage(spark, tmp_path):
+    rnd = random.Random(4)
+    prose = lambda n: " ".join(rnd.choice(["the", "river", "runs", "under", "old", "bridges", "light"]) + rnd.choice(["", "s", "er"]) for _ in range(n))
+    long = prose(30000)
+    rows = [(1, prose(80)), (1, prose(80)), (None, prose(80)), (None, None), (3, ""), (4, None), (5, long), (6, "12 34"), (7, prose(3)), (7, prose(3))]
+    rows += [rows[0]] * 3
+    extra = ", ".join(f"{c} string" for c in CLASH) + ", tags map<string,int>"
+    data = [(d, t, "en", "s", 0, *CLASH, {"a": 1}) for d, t in rows]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    spark.createDataFrame([(1, 1, 0), (5, 0, 0), (7, 1, 1)], LABEL).write.parquet(str(tmp_path / "labels.parquet"))
+    want = {"language_id": 9, "line_dedup": 13, "near_dedup": 8, "mixing": None, "encode": 13}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        kept = out.collect()
+        if name != "encode":
+            assert out.columns == docs.columns and all(tuple(r[c] for c in CLASH) == tuple(CLASH) and r["tags"] == {"a": 1} for r in kept), name
+        assert want[name] is None or len(kept) == want[name], (name, [(r["doc_id"], (r["text"] or "")[:20]) for r in kept])
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and (name == "encode" or none.columns == docs.columns), name
