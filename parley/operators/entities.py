@@ -200,10 +200,12 @@ def store(resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, aliases, mentions) of gated resolutions: kept ones map to their entity; blocked ones
     get an entity of their own and a blocked mention, but for placeholders (CP-4). The first of a meeting's
     candidates wins (seq, their order; meetings in the order of their ids); mentions keep offset, quote and source."""
+    bare = {"seq": "int", "quote": "string", "offset_s": "double", "source": "string", "matched": "string"}
+    resolved = resolved.withColumns({c: F.lit(None).cast(t) for c, t in bare.items() if c not in resolved.columns})
     own = T.slug(F.col("kind"), F.col("surface"))
     blocked = F.col("gate_reason").isNotNull()
     placed = resolved.where(~F.coalesce(F.col("gate_reason").contains("speaker placeholder"), F.lit(False)))
-    placed = placed.withColumn("id", F.when(blocked, own).otherwise(F.coalesce("entity_id", own))).withColumn("at", F.struct("meeting_id", blocked.alias("blocked"), "seq"))
+    placed = placed.withColumn("id", F.when(blocked, own).otherwise(F.coalesce("entity_id", own))).withColumn("at", F.struct("meeting_id", blocked.alias("blocked"), "seq", "surface"))
     pick = lambda c: F.min_by(c, "at").alias(c)
     entities = placed.groupBy("id").agg(pick("kind"), F.min_by("surface", "at").alias("label"))
     aliases = placed.where(~blocked).groupBy(F.col("id").alias("entity_id"), T.normalize(F.col("surface")).alias("norm")).agg(F.min_by("surface", "at").alias("alias"), pick("matcher"), pick("score"), F.min_by("matched", "at").alias("reason"))

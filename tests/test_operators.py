@@ -152,17 +152,34 @@ def test_exits(spark):
 
 def test_handoff_routing(spark):
     route = lambda t: spark.range(1).select(handoffs.match_handoff(F.lit(t))).first()[0]
-    assert [route("draft a follow-up email"), route("what is a crm note?"), route("collate feedback across interviews"), route("hello")] == ["followup_email", None, "collated_feedback", None]
+    asked = ["draft a follow-up email", "what is a crm note?", "why did the pricing quote move?", "how about you draft a pricing quote", "collated feedback", "hello"]
+    assert [route(t) for t in asked] == ["followup_email", "crm_note", None, "pricing_quote", "collated_feedback", None]
 
 
 def test_handoff_render_and_prune(spark):
-    h = next(x for x in handoffs.CATALOG if x.people)
-    d = spark.createDataFrame([("d", "m1", json.dumps({"perOwner": [{"text": "send", "owner": "Ann", "due": "Friday", "source": ["S001"]}, {"text": "wait", "owner": "", "source": []}]}))], "doc_id string, meeting_id string, json string")
+    h = handoffs.BY_ID["team_actions"]
+    line = lambda text, owner, due=None: {"text": text, "owner": owner, "due": due, "source": ["S001"]}
+    groups = [{"owner": "", "items": [line("wait", "")]}, {"owner": "Bo", "items": [line("send", "Ann", "Friday"), line("call", None), line(" ", "Ann")]}]
+    d = spark.createDataFrame([("d", "m1", json.dumps({"perOwner": groups}))], "doc_id string, meeting_id string, json string")
     items = handoffs.items(d, h)
-    assert "- Ann: send (due Friday) [S001]" in handoffs.render(items, h).first()["markdown"]
-    assert [r["owner"] for r in handoffs.regroup(items).orderBy("last", "first").collect()] == ["Ann", "Unassigned"]
-    failed = spark.createDataFrame([("d", "perOwner[0]")], "doc_id string, path string")
-    assert rows(handoffs.prune(items, failed).select("path")) == [("perOwner[1]",)]
+    assert rows(items.select("path", "owner")) == [("perOwner[0].items[0]", "Ann"), ("perOwner[1].items[0]", "Bo"), ("perOwner[2].items[0]", "Unassigned")]
+    meta = spark.createDataFrame([("d", "Standup", "2024-01-02")], "doc_id string, title string, when string")
+    text = handoffs.render(items, h, meta).first()["markdown"]
+    assert text == "**Action items — Standup** (2024-01-02)\n\n### Ann\n- [ ] **Ann** — send _(Friday)_\n### Bo\n- [ ] **Bo** — call\n### Unassigned\n- [ ] **Unassigned** — wait"
+    assert [r["owner"] for r in handoffs.regroup(items).orderBy("last", "first").collect()] == ["Ann", "Bo", "Unassigned"]
+    failed = spark.createDataFrame([("d", "perOwner[0].items[0]")], "doc_id string, path string")
+    assert rows(handoffs.prune(items, failed, h).select("path")) == [("perOwner[1].items[0]",), ("perOwner[2].items[0]",)]
+
+
+def test_prose_that_fails_is_replaced(spark):
+    h = handoffs.BY_ID["slack_update"]
+    segs = spark.createDataFrame([("m1", "S001", "we ship on friday")], "meeting_id string, id string, text string")
+    owners = spark.createDataFrame([("m1", ["Ann"])], "meeting_id string, names array<string>")
+    doc = {"headline": "Up 40%", "points": [{"text": "Ship on Friday", "source": ["S001"]}, {"text": "Ship 12 units", "source": ["S001"]}], "blockers": [{"text": "none", "source": ["S009"]}]}
+    items = handoffs.items(spark.createDataFrame([("d", "m1", json.dumps(doc))], "doc_id string, meeting_id string, json string"), h)
+    bad = handoffs.validate(items, segs, owners, {s.kind for s in h.sections})
+    assert rows(bad.select("path", "rule")) == [("blockers[0]", "source-exists"), ("headline", "verbatim-number"), ("points[1]", "verbatim-number")]
+    assert rows(handoffs.prune(items, bad, h).select("path", "text")) == [("headline", "Update from today's meeting"), ("points[0]", "Ship on Friday")]
 
 
 def test_cascade_takes_scoped_corrections(spark):
