@@ -462,13 +462,13 @@ _doc = lambda w, h: w.claims.where("gate = 'passed'").groupBy("meeting_id").agg(
 _IT = "it as (select meeting_id, id, json_extract_string(body,'$.task') task, coalesce(json_extract_string(body,'$.owner'),'Unassigned') as own, row_number() over (partition by meeting_id order by id)-1 pos from claims where gate='passed')"
 _at = lambda k, p="pos": f"'{k}['||cast({p} as varchar)||']'"
 _ROWS = {
-    "items": lambda k: f"select meeting_id doc_id, {_at(k)} path, task as text, null as owner from it",
+    "items": lambda k: f"select meeting_id doc_id, {_at(k)} path, task as text, null::varchar as owner from it",
     "actions": lambda k: f"select meeting_id doc_id, {_at(k)} path, task as text, own as owner from it",
-    "quotes": lambda k: f"select meeting_id, {_at(k, 'p')}, case when id%2=0 then task else 'Unnamed item' end||' $'||cast(id as varchar)||' seat', null from (select *, row_number() over (partition by meeting_id order by id)-1 p from it where id%3>0)",
+    "quotes": lambda k: f"select meeting_id, {_at(k, 'p')}, case when id%2=0 then task else 'Unnamed item' end||' $'||cast(id as varchar)||' seat', null::varchar from (select *, row_number() over (partition by meeting_id order by id)-1 p from it where id%3>0)",
     "groups": lambda k: f"select meeting_id, '{k}['||cast(g-1 as varchar)||'].items['||cast(row_number() over (partition by meeting_id, own order by place)-1 as varchar)||']', task, own from (select *, dense_rank() over (partition by meeting_id order by own='Unassigned', f) g from (select *, min(place) over (partition by meeting_id, own) f from (select meeting_id, task, case when own='Unassigned' and id%2=0 then 'Person 1' else own end own, (id%2)*10000000000+id place from it)))",
-    "lean": lambda k: f"select distinct meeting_id, '{k}', 'a strong yes', null from it",
-    "prose": lambda k: f"select distinct meeting_id, '{k}', '@', null from it",
-    "lines": lambda k: f"select meeting_id, {_at(k, '2*pos')}, task, null from it",
+    "lean": lambda k: f"select distinct meeting_id, '{k}', 'a strong yes', null::varchar from it",
+    "prose": lambda k: f"select distinct meeting_id, '{k}', '@', null::varchar from it",
+    "lines": lambda k: f"select meeting_id, {_at(k, '2*pos')}, task, null::varchar from it",
     "themes": lambda k: f"select meeting_id, '{k}[0].examples['||cast(row_number() over (partition by meeting_id order by id)-1 as varchar)||']', 'Pricing', 'M1' from it where id%4>0",
     "notes": lambda k: "select meeting_id, cast(pos as varchar), task, 'label' from it union all select meeting_id, cast(pos as varchar)||'.0', 'a leaf', 'leaf' from it",
 }
