@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import byte_bpe, cross_polytope, line_templates, mixed_language, norm_topk, simhash, soft_mixing, suffix_dedup, url_rules, warc_fixity
+from parley.llm import byte_bpe, cross_polytope, importance, line_templates, mixed_language, norm_topk, simhash, soft_mixing, suffix_dedup, url_rules, warc_fixity
 from parley.llm.common import table
 
 #: Shares of tokens that op5 and the pipeline aim at.
@@ -95,8 +95,13 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(first, second).select("file", "ordinal", "start", "stop", "status")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_line_templates, op3_url_rules, op4_simhash_near_dedup, op5_soft_mixing, op6_language_id, op7_suffix_array_dedup, op8_byte_bpe, op9_norm_bucketed_topk, op10_warc_fixity)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_line_templates, op3_url_rules, op4_simhash_near_dedup, op5_soft_mixing, op6_language_id, op7_suffix_array_dedup, op8_byte_bpe, op9_norm_bucketed_topk, op10_warc_fixity, op12_importance_resampling)}
 
 
 OP9_SQL = """
