@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import byte_bpe, cross_polytope, importance, line_templates, mixed_language, norm_topk, simhash, soft_mixing, suffix_dedup, url_rules, warc_fixity
+from parley.llm import byte_bpe, cross_polytope, importance, line_templates, mixed_language, norm_topk, packing, simhash, soft_mixing, suffix_dedup, url_rules, warc_fixity
 from parley.llm.common import table
 
 #: Shares of tokens that op5 and the pipeline aim at.
@@ -100,8 +100,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_line_templates, op3_url_rules, op4_simhash_near_dedup, op5_soft_mixing, op6_language_id, op7_suffix_array_dedup, op8_byte_bpe, op9_norm_bucketed_topk, op10_warc_fixity, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_line_templates, op3_url_rules, op4_simhash_near_dedup, op5_soft_mixing, op6_language_id, op7_suffix_array_dedup, op8_byte_bpe, op9_norm_bucketed_topk, op10_warc_fixity, op12_importance_resampling, op13_best_fit_packing)}
 
 
 OP9_SQL = """
