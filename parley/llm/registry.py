@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import byte_bpe, cross_polytope, importance, line_templates, mixed_language, norm_topk, packing, simhash, soft_mixing, suffix_dedup, url_rules, warc_fixity
+from parley.llm import byte_bpe, cross_polytope, importance, line_templates, mixed_language, norm_topk, packing, simhash, soft_mixing, suffix_dedup, turn_repair, url_rules, warc_fixity
 from parley.llm.common import table
 
 #: Shares of tokens that op5 and the pipeline aim at.
@@ -95,6 +96,26 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(first, second).select("file", "ordinal", "start", "stop", "status")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """conversations with planted faults, chosen by the CRC-32 of `conv_id:turn` modulo 20 (nulls: one space): 0 drops the row,
+    1 empties its text, 2 removes the text's `.`, `!` and `?`, 3 repeats the row, 4 sets its role to user."""
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = turns.select("conv_id", "turn", "role", "text", (F.crc32(key.cast("binary")) % 20).alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = turn_repair.summary(turn_repair.repair(damaged(turns))).withColumnRenamed("conv_id", "of")
+    all_of = turns.select("conv_id").distinct()
+    nothing = {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()}
+    filled = [F.coalesce(c, F.lit(nothing[c]) if c in nothing else F.lit(0).cast("long")).alias(c) for c in turn_repair.SUMMARY]
+    return all_of.join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").select("conv_id", *filled)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42)
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -107,7 +128,7 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_line_templates, op3_url_rules, op4_simhash_near_dedup, op5_soft_mixing, op6_language_id, op7_suffix_array_dedup, op8_byte_bpe, op9_norm_bucketed_topk, op10_warc_fixity, op12_importance_resampling, op13_best_fit_packing)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_line_templates, op3_url_rules, op4_simhash_near_dedup, op5_soft_mixing, op6_language_id, op7_suffix_array_dedup, op8_byte_bpe, op9_norm_bucketed_topk, op10_warc_fixity, op11_turn_repair, op12_importance_resampling, op13_best_fit_packing)}
 
 
 OP9_SQL = """
