@@ -143,7 +143,8 @@ _add("jn_24_sources_exist", lambda w: Q.source_failures(_cites(w).select("meetin
 _add("jn_25_entailment_verdicts", lambda w: Q.entailment_failures(w.claims.select(F.col("id").alias("ordinal"), F.concat(F.lit("p"), "id").alias("path")), w.raw("orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderstatus") != "F").alias("supported"), F.col("o_orderpriority").alias("why"))),
      "select 'p'||cast(o_orderkey as varchar) path, 'entailment-unsupported' as rule, o_orderpriority detail from orders where o_orderstatus='F'")
 _add("jn_26_chunks_by_id", lambda w: w.chunks.where(F.col("id").isin(1 * K.SPAN, 5 * K.SPAN + 1, 9 * K.SPAN)).join(w.meetings.select(F.col("id").alias("meeting_id"), "title"), "meeting_id").select("id", "title", "text"), "select c.id, title, text from chunks c join meetings m on m.id=c.meeting_id where c.id in (1048576, 5*1048576+1, 9*1048576)")
-_add("jn_27_project_scope", lambda w: C.enumerate_claims(w.claims, w.meetings, "decision", True, w.meeting_projects.where("project_id = 3")), "select c.id, meeting_id, title, coalesce(json_extract_string(body,'$.task'),quote,'') as label from claims c join meetings m on m.id=meeting_id where c.kind='decision' and gate='passed' and done=0 and meeting_id in (select meeting_id from meeting_projects where project_id=3)")
+_add("jn_27_project_scope", lambda w: C.enumerate_claims(w.claims, w.meetings, "decision", True, w.meeting_projects.where("project_id in (1, 6)")),
+     "select c.id, meeting_id, title, started_at, json_extract_string(body,'$.task') as label, json_extract_string(body,'$.task')||coalesce(' — '||json_extract_string(body,'$.owner'),'') as text, coalesce(quote,'') quote, coalesce(offset_s,0) offset_s from claims c join meetings m on m.id=meeting_id where c.kind='decision' and gate='passed' and done=0 and meeting_id in (select meeting_id from meeting_projects where project_id in (1,6))")
 
 # --- aggregations ------------------------------------------------------------------------------
 _add("ag_1_brain_counts", lambda w: C.brain_counts(w.meetings, w.entities, w.claims, w.chunks), "select (select count(*) from meetings) meetings, (select max(started_at) from meetings) newest_meeting, (select count(*) from entities where merged_into is null) entities, (select count(*) from claims where gate='passed') claims, (select count(*) from chunks) chunks")
@@ -392,7 +393,8 @@ _add("gt_3_answer_gate", lambda w: Q.answer_gate(_points(w), _snips(w)).select("
 _add("gt_4_no_new_facts", lambda w: w.utterances.select("meeting_id", "idx", Q.new_facts(F.concat("text", F.lit(" Zanzibar")), T.normalize(F.col("text"))).isNotNull().alias("v")))
 _add("gt_5_sources", lambda w: Q.source_failures(_cites(w).select("meeting_id", F.col("key").cast("string").alias("path"), F.when(F.col("key") % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("source")).alias("source")), SG.segments(w.utterances)).groupBy("rule").agg(F.count("*").alias("n")),
      f"with {_SEG}, {_CITE}, e as (select key, meeting_id, unnest([s1,s2]) id from cites where key%4<>0) select 'source-exists' as rule, count(*) n from e where not exists (select 1 from segs where segs.meeting_id=e.meeting_id and segs.id=e.id) union all select 'leaf-sourced', count(*) from cites where key%4=0")
-_add("gt_6_verbatim", lambda w: Q.verbatim_failures(_money(w).select(F.col("o_orderkey").cast("string").alias("path"), "text", F.lit("250 units in mar").alias("cited"))).select("path", "rule"), "select cast(o_orderkey as varchar) path, 'verbatim-number' as rule from orders")
+_add("gt_6_verbatim", lambda w: Q.verbatim_failures(_money(w).select(F.col("o_orderkey").cast("string").alias("path"), "text", _cited().alias("cited"))),
+     f"with m as (select o_orderkey k, cast(o_orderkey as varchar) path, '$'||format('{{:,}}', cast(floor(o_totalprice) as bigint))||',' as total, {_PHRASE} as words from orders) select path, 'verbatim-number' as rule, total as detail from m union all select path, 'verbatim-number', words from m where k%3<>1 union all select path, 'verbatim-number', 'March' from m where k%3<>0")
 _add("gt_7_exact_quote", lambda w: Q.quote_failures(w.utterances.select(F.concat("meeting_id", F.lit("-"), "idx").alias("path"), F.when(F.col("idx") % 2 == 0, F.concat(F.lit('"'), F.regexp_replace(F.substring("text", 2, 20), '["“”]', ""), F.lit('"'))).otherwise(F.lit('“never said”')).alias("text"), F.array("text").alias("texts"))).select("path"), "select meeting_id||'-'||cast(idx as varchar) path from utterances where idx%2=1")
 _add("gt_8_title_bullet", lambda w: Q.title_failures(_money(w).select(F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderkey") % 2 == 0, "Costs").otherwise("Costs were raised several times during discussion").alias("text"), F.col("text").alias("cited"))).select("path"), "select cast(o_orderkey as varchar) path from orders where o_orderkey%2=0")
 _add("gt_9_stated_verdict", lambda w: w.claims.select("id", Q.verdict_reason(F.lit("strong yes, hire"), F.when(F.col("id") % 2 == 0, "I am a strong yes, hire").otherwise("good chat"), F.lit("i am a strong yes, hire")).isNull().alias("v")), "select id, id%2=0 v from claims")

@@ -13,8 +13,6 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 SQL = Q.oracle_sql()
-#: One query of each family; PARLEY_ALL=1 runs all.
-SOME = sorted(SQL) if os.environ.get("PARLEY_ALL") else sorted(SQL)[::6]
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +29,7 @@ def plain(rows, columns):
     return sorted(tuple(str(value(r[i])) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     df = Q.queries()[name](spark, DIR)
     want = duck.sql(SQL[name])
