@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +33,22 @@ STAIRS = 24
 #: A block or round of less gap than this has none; sums of a block are exact far below it.
 EPSILON = 1e-6
 #: Chunks that a worker's encoder remembers in each of two generations; longer chunks are not remembered.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 #: Characters encoded at once.
 SLICE = 1 << 20
 _BREAK = re.compile("[ \n]")
-#: Letters, then marks: the vocabulary's splitting pattern parts the two wherever they stand.
-_PLAIN = re.compile("([A-Za-z]+)([.,;:!?]+)")
+#: Letters of Latin-1, then marks but no apostrophe: the vocabulary's splitting pattern parts the two wherever they stand.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: The characters that stand for the bytes of these letters in a byte-level vocabulary: a byte is the code point of its own
+#: number where that is printable, else one from U+0100 on, counted in order.
+_SILENT = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTES = [chr(256 + _SILENT.index(b)) if b in _SILENT else chr(b) for b in range(256)]
+_SPELL = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+def _raw(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -49,30 +60,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
+        self.model = self.tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _fresh(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+    def _fresh(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)] if chunks else []
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of a lower-case word of plain letters: nothing to normalise or split, so the merges alone."""
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(_SPELL))]
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of the chunks that the young generation doesn't hold."""
-        found, parts, rest = {}, {}, set()
+        found, parts, words, rest = {}, {}, set(), set()
         for c in chunks:
             if (known := self.old.get(c)) is not None:
                 found[c] = known
-                continue
-            m = _PLAIN.fullmatch(c)
-            parts[c] = p = (m[1].lower(), m[2]) if m else (c.lower() if c.isascii() and c.isalpha() else c,)
-            rest.update(p)
-        get = lambda p: self.young.get(p) or self.old.get(p)
-        new = sorted(p for p in rest if get(p) is None)
-        fresh = dict(zip(new, self._fresh(new))) if new else {}
-        for c, p in parts.items():
-            found[c] = b"".join(fresh[x] if x in fresh else get(x) for x in p)
-        for c, ids in (fresh | found).items():
-            if len(c) <= CACHE_CHARS:
-                self.young[c] = ids
+            elif m := _PLAIN.fullmatch(c):
+                parts[c] = word, marks = m[1].lower(), m[2]
+                words.add(word)
+                if marks:
+                    rest.add(marks)
+            else:
+                parts[c] = (c,)
+                rest.add(c)
+        known = {p: ids for p in words | rest if (ids := self.young.get(p, self.old.get(p))) is not None}
+        known[""] = b""
+        known |= {w: _raw(self._word(w)) for w in words if w not in known}
+        new = [p for p in rest if p not in known]
+        known |= {p: _raw(ids) for p, ids in zip(new, self._fresh(new))}
+        found |= {c: b"".join([known[x] for x in p]) for c, p in parts.items()}
+        self.young |= {c: ids for c, ids in (known | found).items() if len(c) <= CACHE_CHARS}
         return found
 
     def ids(self, text: str) -> bytes:
@@ -114,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
         model = f.read()
     shipped, digest = spark.sparkContext.broadcast(model), hashlib.sha256(model).hexdigest()
     small_batches(spark)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = _raw([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped, digest)

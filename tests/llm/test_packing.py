@@ -62,7 +62,7 @@ def test_bound_is_below_every_optimum():
 
 def test_encoder_equals_the_tokenizer(monkeypatch):
     plain, encoder = Tokenizer.from_file(PATH), packing.Encoder(open(PATH, "rb").read())
-    texts = ["", " ", "Hello, World!", "don't'. x'S we'll", "a\tb\x1cc\x85d  e\r\n f", "é é ́x ΑΣ. ΣΑΣ İ ǅ", "<|endoftext|> <|ENDOFTEXT|>x<|startoftext|>", "12.5% foo;:! ?!bar...", "日本語 テキスト", "x" * 3000 + " " + "y." * 50, "퟿ \U0001f600."]
+    texts = ["", " ", "Hello, World!", "don't'. x'S we'll", "a\tb\x1cc\x85d  e\r\n f", "é é ́x ΑΣ. ΣΑΣ İ ǅ", "<|endoftext|> <|ENDOFTEXT|>x<|startoftext|>", "12.5% foo;:! ?!bar...", "日本語 テキスト", "x" * 3000 + " " + "y." * 50, "퟿ \U0001f600.", "Straße; ÀÉÎ÷Ö× naïve?! año&&& éé'é (ß) foo.### bar'. Ÿ ÿ", "A$$$ b`c` {d} [e]~ f\\"]
     r = random.Random(2)
     texts += ["".join(r.choice(["A", "b", "'", "s", " ", "\n", ".", "!", "7", "é", "<|", "́", "Σ", "ll", "\t"]) for _ in range(60)) for _ in range(300)]
     monkeypatch.setattr(packing, "CACHE_ENTRIES", 50)
