@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,10 +40,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     executor loses nothing, because every executor can read the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that materialize writes inside the block."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+_recorders: list[list[str]] = []
+
+
+def sources(df: DataFrame) -> set[str]:
+    """The folders and files that df is read from."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found |= {roots.apply(k).toString() for k in range(roots.size())}
+    return found
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
     """Columns of df, by default all, as one struct: beside it, names of our own clash with none of them."""
     return F.struct(*(F.col(quoted(c)).alias(c) for c in (df.columns if columns is None else columns)))
