@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -87,16 +88,20 @@ def porter(word: str) -> str:
 
 def fold(text: str) -> str:
     """Lower case without diacritics."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def index_terms(texts: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
+#: A worker remembers the stems of so many words.
+_stem = lru_cache(1 << 17)(porter)
+
 
-    def one(word: str) -> str:
-        if word not in known:
-            known[word] = porter(word)
-        return known[word]
+def terms_in(text: str | None) -> list[str]:
+    """The index terms of a text, repeated ones too."""
+    return [_stem(w) for w in re.findall(r"\w+", fold(text or ""))]
 
-    return texts.map(lambda t: [one(w) for w in re.findall(r"\w+", fold(t or ""))])
+
+@F.pandas_udf(ArrayType(StringType()))
+def index_terms(texts: pd.Series) -> pd.Series:
+    return texts.map(terms_in)

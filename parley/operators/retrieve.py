@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,12 @@ def terms_of(question: str) -> list[str]:
     return [w for w in words if len(w) >= 2 and w not in T.STOP_QUERY]
 
 
+class Lexicon(Protocol):
+    """Whatever scores chunks for a question's terms: an index in frames, or one that is stored."""
+
+    def scores(self, terms: list[str], k: int) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class Index:
     """An inverted index of chunks: postings (chunk_id, term, tf, dl), where tf adds up the columns' weights,
@@ -43,6 +50,10 @@ class Index:
         spread.write.mode("overwrite").parquet(f"{path}/postings")
         self.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
+    def scores(self, terms: list[str], k: int) -> DataFrame:
+        """(chunk_id, score) of a question, of the k best chunks at least."""
+        return bm25(self, terms)
+
     @staticmethod
     def load(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"), stemmed)
@@ -91,8 +102,8 @@ def ranked(scores: DataFrame, limit: int, *order: Column) -> DataFrame:
     return first.select("chunk_id", (F.row_number().over(Window.orderBy(*order, "chunk_id")) - 1).alias("rank"))
 
 
-def lexical_arm(ix: Index, terms: list[str]) -> DataFrame:
-    return ranked(bm25(ix, terms), ARM_LIMIT, F.desc("score"))
+def lexical_arm(ix: Lexicon, terms: list[str]) -> DataFrame:
+    return ranked(ix.scores(terms, ARM_LIMIT), ARM_LIMIT, F.desc("score"))
 
 
 def seeds(entities: DataFrame, terms: list[str]) -> DataFrame:
@@ -137,9 +148,9 @@ def capped(scored: DataFrame, per_meeting: int, top: int) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_meeting).drop("_n").orderBy(F.desc("score"), "chunk_id").limit(top)
 
 
-def retrieve(chunks: DataFrame, meetings: DataFrame, question: str, as_of_ms: int, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, top: int = TOP, ix: Index | None = None) -> DataFrame:
-    """(chunk_id, meeting_id, title, started_at, offset_s, speakers, text, score) of the best chunks. ix, the
-    saved index of the chunks, spares every question their tokenisation."""
+def retrieve(chunks: DataFrame, meetings: DataFrame, question: str, as_of_ms: int, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, top: int = TOP, ix: Lexicon | None = None) -> DataFrame:
+    """(chunk_id, meeting_id, title, started_at, offset_s, speakers, text, score) of the best chunks. ix, an
+    index that is kept, spares every question their tokenisation."""
     terms = terms_of(question)
     shape = chunks.join(meetings.select(F.col("id").alias("meeting_id"), "title", "started_at"), "meeting_id").select(F.col("id").alias("chunk_id"), "meeting_id", "title", "started_at", F.col("start_offset_s").alias("offset_s"), "speakers", "text")
     if not terms:

@@ -15,7 +15,7 @@ QUESTION = "what was said about the onhe thedou and the are"
 
 def snippets(w: World, question: str = QUESTION, graph: bool = False) -> DataFrame:
     arms = (w.entities, G.related_edges(w.entities.where("kind = 'topic' and merged_into is null")), w.entity_mentions) if graph else None
-    return R.retrieve(w.chunks, w.meetings, question, AS_OF_MS, arms)
+    return R.retrieve(w.index.chunks(), w.meetings, question, AS_OF_MS, arms, ix=w.index)
 
 
 def ask_extractive(w: World, question: str = QUESTION) -> DataFrame:

@@ -5,26 +5,13 @@ or whose document held nothing, ends with a failure code instead of a text."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators import handoffs as H
 from parley.operators import segments as SG
 from parley.operators.claims import iso_day
-
-
-def _made(df: DataFrame) -> DataFrame:
-    """df by way of a checkpoint in the folder that spark.checkpoint.dir names; a local session without the setting
-    gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="parley-"))
-    return df.checkpoint()
+from parley.shared import made
 
 
 def _outcome(documents: DataFrame, handoff: H.Handoff, meta: DataFrame, segs: DataFrame, owners: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
@@ -32,11 +19,11 @@ def _outcome(documents: DataFrame, handoff: H.Handoff, meta: DataFrame, segs: Da
     titles replace the aliases of meetings in the text."""
     asked = documents.join(meta.where("code is null").select("doc_id"), "doc_id", "left_semi")
     # Rows are read a dozen times, failures and what is left of the rows thrice: each is made once, and plans stay small.
-    rows = _made(H.items(asked, handoff))
-    failures = _made(H.validate(rows, segs, owners, {s.kind for s in handoff.sections}))
+    rows = made(H.items(asked, handoff))
+    failures = made(H.validate(rows, segs, owners, {s.kind for s in handoff.sections}))
     kept = H.prune(rows, failures, handoff)
     low = SG.rests_on_low_confidence(kept.select(F.concat("doc_id", F.lit("|"), "path").alias("key"), "meeting_id", "source"), segs)
-    kept = _made(kept.join(low, F.concat("doc_id", F.lit("|"), "path") == F.col("key")).drop("key").withColumnRenamed("low", "low_confidence"))
+    kept = made(kept.join(low, F.concat("doc_id", F.lit("|"), "path") == F.col("key")).drop("key").withColumnRenamed("low", "low_confidence"))
     named = F.col("owner")
     for alias, title in (titles or {}).items():
         named = F.when((F.col("kind") == "themes") & (F.col("owner") == alias), title).otherwise(named)

@@ -65,7 +65,7 @@ class Tools:
     def search_brain(self, query: str, top_n: int = 8) -> DataFrame:
         """Receipted snippets of lexical and graph search."""
         w = self.w
-        found = R.retrieve(w.chunks, w.meetings, query, self.as_of_ms, (w.entities, self._related(), w.entity_mentions), _within(top_n, MOST_SNIPPETS))
+        found = R.retrieve(w.index.chunks(), w.meetings, query, self.as_of_ms, (w.entities, self._related(), w.entity_mentions), _within(top_n, MOST_SNIPPETS), w.index)
         return found.withColumn("date", C.iso_day(F.col("started_at")))
 
     def list_claims(self, kind: str | None = None, open_only: bool = False, since: str | None = None, limit: int = 50) -> DataFrame:

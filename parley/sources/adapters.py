@@ -5,16 +5,25 @@ events for the run ledger, nations for projects and suppliers for the people dir
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from parley.operators.search_index import StoredIndex
+
 #: "Now" of everything that needs a clock.
 AS_OF_MS = 1704067200000 + 200 * 3600000
 BASE_MS, HOUR_MS = 1704067200000, 3600000
 
 
+#: Indexes by application and folder.
+_INDEXES: dict[tuple[str, str], StoredIndex] = {}
+
+
 class World:
     """Logical tables of one directory, built on first use."""
 
@@ -123,6 +132,18 @@ class World:
 
         return windows(self.utterances)
 
+    @cached_property
+    def index(self) -> StoredIndex:
+        """The stored index of the chunks: built at the first question of an application, then kept for all."""
+        from parley.operators.search_index import StoredIndex
+        from parley.shared import shared_dir
+
+        key = (self.spark.sparkContext.applicationId, self.path)
+        if key not in _INDEXES:
+            at = f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
+            _INDEXES[key] = StoredIndex.create(self.spark, at).update(self.chunks)
+        return _INDEXES[key]
+
     @cached_property
     def edges(self) -> DataFrame:
         from parley.operators.graph import project_graph
