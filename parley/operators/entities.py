@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators.similar import contained_pairs, featured, two_best
 
 #: Weights of candidate sources, candidates kept, bar and margin of a lexical merge.
 WEIGHT = {"coverage_gap": 5, "decision": 4, "action": 3, "speaker": 5}
@@ -84,26 +85,22 @@ def exact_aliases(cands: DataFrame, entities: DataFrame) -> DataFrame:
     return cands.withColumn("norm", T.normalize(F.col("surface"))).join(e, ["kind", "norm"]).select("surface", "kind", "entity_id")
 
 
+def _live(entities: DataFrame) -> DataFrame:
+    return featured(entities.where("merged_into is null"), "id", "label", "kind")
+
+
 def contained(cands: DataFrame, entities: DataFrame) -> DataFrame:
-    """(surface, entity_id): entities whose tokens hold the candidate's, or the reverse. One side's tokens
-    lie in the other's, so both share one: the join is on tokens (JN-18)."""
-    a = cands.select("surface", "kind", F.array_distinct(T.entity_tokens(F.col("surface"))).alias("x"))
-    b = entities.where("merged_into is null").select(F.col("id").alias("entity_id"), "kind", F.array_distinct(T.entity_tokens(F.col("label"))).alias("y"))
-    met = a.withColumn("token", F.explode("x")).join(b.withColumn("token", F.explode("y")), ["kind", "token"])
-    inside = (F.size(F.array_except("x", "y")) == 0) | (F.size(F.array_except("y", "x")) == 0)
-    return met.where(inside).select("surface", "entity_id").distinct()
+    """(surface, entity_id): entities whose tokens hold the candidate's, or the reverse (JN-18)."""
+    own = featured(cands.select("surface", "kind").distinct().withColumn("name", F.struct("kind", "surface")), "name", "surface", "kind")
+    return contained_pairs(own, _live(entities), ["kind"]).select("id.surface", F.col("other").alias("entity_id")).distinct()
 
 
 def best_lexical(cands: DataFrame, entities: DataFrame) -> DataFrame:
     """(surface, entity_id, score, runner_up): the most similar entity of the kind and the second's
-    score; similarity above zero needs a shared token or trigram, on which the join is (JN-19)."""
-    keys = lambda c: F.array_distinct(F.concat(T.entity_tokens(c), T.trigrams(c)))
-    a = cands.select("surface", "kind").distinct().withColumn("key", F.explode(keys(F.col("surface"))))
-    b = entities.where("merged_into is null").select(F.col("id").alias("entity_id"), "kind", "label").withColumn("key", F.explode(keys(F.col("label"))))
-    pairs = a.join(b, ["kind", "key"]).select("surface", "entity_id", "label").distinct().withColumn("score", F.round(T.similarity(F.col("surface"), F.col("label")), 9))
-    by = Window.partitionBy("surface").orderBy(F.desc("score"), "entity_id")
-    top = pairs.withColumn("n", F.row_number().over(by)).where("n <= 2")
-    return top.groupBy("surface").agg(F.max(F.when(F.col("n") == 1, F.col("entity_id"))).alias("entity_id"), F.max(F.when(F.col("n") == 1, F.col("score"))).alias("score"), F.coalesce(F.max(F.when(F.col("n") == 2, F.col("score"))), F.lit(0.0)).alias("runner_up"))
+    score; similarity above zero needs a shared token or trigram (JN-19)."""
+    own = featured(cands.select("surface", "kind").distinct().withColumn("name", F.struct("kind", "surface")), "name", "surface", "kind")
+    top = two_best(own, _live(entities), ["kind"]).withColumn("surface", F.col("id.surface"))
+    return top.groupBy("surface").agg(F.max_by("other", F.struct("score", -F.col("place"))).alias("entity_id"), F.max("score").alias("score"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("score"))), F.lit(0.0)).alias("runner_up"))
 
 
 def _norm(s: str) -> str:

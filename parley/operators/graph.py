@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators.similar import candidate_pairs
 
 #: Passed mentions that make a topic a node; the band of similarity that relates topics.
 PROMOTE, RELATE_MIN, MERGE_MIN = 3, 0.15, 0.72
@@ -30,12 +31,8 @@ def project_graph(entities: DataFrame, mentions: DataFrame, utterances: DataFram
 
 
 def relate(topics: DataFrame) -> DataFrame:
-    """(a, b, score) for pairs of topics that share a token and whose similarity lies in the band. The
-    shared token is required, so an equi-join on tokens finds every pair without comparing all."""
-    toks = topics.select("id", "label", F.explode(F.array_distinct(T.entity_tokens(F.col("label")))).alias("token"))
-    pairs = toks.alias("x").join(toks.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.label").alias("la"), F.col("y.id").alias("b"), F.col("y.label").alias("lb")).distinct()
-    scored = pairs.select("a", "b", T.similarity(F.col("la"), F.col("lb")).alias("score"))
+    """(a, b, score) for pairs of topics that share a token and whose similarity lies in the band (JN-16)."""
+    scored = candidate_pairs(topics, RELATE_MIN).select("a", "b", T.similarity(F.col("la"), F.col("lb")).alias("score"))
     return scored.where((F.col("score") >= RELATE_MIN) & (F.col("score") < MERGE_MIN))
 
 
