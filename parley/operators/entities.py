@@ -1,8 +1,7 @@
-"""Candidates and entity resolution (CP-1..4, AG-15, AG-16, JN-16..19)."""
+"""Candidates and entity resolution (CP-1, CP-2, CP-4, AG-15, AG-16, JN-17..19)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,84 +102,6 @@ def best_lexical(cands: DataFrame, entities: DataFrame) -> DataFrame:
     return top.groupBy("surface").agg(F.max_by("other", F.struct("score", -F.col("place"))).alias("entity_id"), F.max("score").alias("score"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("score"))), F.lit(0.0)).alias("runner_up"))
 
 
-def _norm(s: str) -> str:
-    import re
-
-    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", s.lower())).strip()
-
-
-def _toks(s: str) -> list[str]:
-    return [w for w in _norm(s).split(" ") if len(w) >= 2 and w not in T.STOP_ENTITY]
-
-
-def _alike(a: str, b: str) -> float:
-    x, y = _toks(a), _toks(b)
-    if not x or not y:
-        return 0.0
-    grams = lambda s: {s[i : i + 3] for i in range(len(s) - 2)}
-    g, h = grams(_norm(a)), grams(_norm(b))
-    dice = 2 * len(g & h) / (len(g) + len(h)) if g and h else 0.0
-    return min(1.0, 0.6 * len({*x} & {*y}) / len({*x} | {*y}) + 0.4 * dice + 0.15 * (x[-1] == y[-1]))
-
-
-def resolve(cands: DataFrame, entities: DataFrame) -> DataFrame:
-    """(meeting_id, kind, surface, seq, quote, offset_s, source, entity_id, matcher, score, runner_up, matched): alias, slug, containment,
-    likeness, in this order; what matches nothing becomes an entity for those after it (CP-3).
-
-    Each choice can hang on the one before, so a meeting's candidates (twelve at most) are resolved in
-    one group, against the entities that share a token or trigram with any of them."""
-    near = best_pool(cands, entities)
-
-    def run(key, mine: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        known = [(r.id, r.kind, r.label) for r in pool.sort_values("id").itertuples()]
-        alias = {(r.kind, r.norm): r.id for r in pool.sort_values("id", ascending=False).itertuples()}
-        out = []
-        for c in mine.sort_values("seq").itertuples():
-            slug = c.kind + ":" + _dashed(c.surface)
-            same = [k for k in known if k[1] == c.kind]
-            toks = _toks(c.surface)
-            inside = next((k for k in same if toks and (kt := _toks(k[2])) and ({*toks} <= {*kt} if len(toks) <= len(kt) else {*kt} <= {*toks})), None)
-            likeness = sorted(((_alike(c.surface, k[2]), k[0]) for k in same), key=lambda x: -x[0])
-            best, second = (likeness[0] if likeness else (0.0, None)), (likeness[1][0] if len(likeness) > 1 else 0.0)
-            if hit := alias.get((c.kind, _norm(c.surface))):
-                found = (hit, "alias", 1.0, 0.0)
-            elif any(k[0] == slug for k in known):
-                found = (slug, "slug", 0.95, 0.0)
-            elif inside:
-                found = (inside[0], "contains", 0.9, 0.0)
-            elif best[0] >= MERGE:
-                found = (best[1], "lexical", best[0], second)
-            else:
-                found = (None, "none", best[0], second)
-                known.append((slug, c.kind, c.surface))
-            labels = {k[0]: k[2] for k in known}
-            matched = None if found[0] is None else f"{found[1]} match with {labels.get(found[0], found[0])}"
-            out.append((key[0], c.kind, c.surface, c.seq, c.quote, c.offset_s, c.source, *found, matched))
-        return pd.DataFrame(out, columns=["meeting_id", "kind", "surface", "seq", "quote", "offset_s", "source", "entity_id", "matcher", "score", "runner_up", "matched"])
-
-    schema = "meeting_id string, kind string, surface string, seq int, quote string, offset_s double, source string, entity_id string, matcher string, score double, runner_up double, matched string"
-    # What grounds a candidate comes along where it is known.
-    cands = cands.withColumns({c: F.lit(None).cast(t) for c, t in (("quote", "string"), ("offset_s", "double"), ("source", "string")) if c not in cands.columns})
-    ordered = cands.withColumn("seq", F.row_number().over(Window.partitionBy("meeting_id").orderBy(F.desc("weight"), "kind", "surface"))).select("meeting_id", "kind", "surface", "seq", "quote", "offset_s", "source")
-    return ordered.groupBy("meeting_id").cogroup(near.groupBy("meeting_id")).applyInPandas(run, schema)
-
-
-def best_pool(cands: DataFrame, entities: DataFrame) -> DataFrame:
-    """Live entities that a meeting's candidates can match at all."""
-    keys = lambda c: F.array_distinct(F.concat(T.entity_tokens(c), T.trigrams(c)))
-    a = cands.select("meeting_id", "kind", F.explode(keys(F.col("surface"))).alias("key")).distinct()
-    b = entities.where("merged_into is null").select("id", "kind", "label", "norm", F.explode(keys(F.col("label"))).alias("key"))
-    found = a.join(b, ["kind", "key"]).select("meeting_id", "id", "kind", "label", "norm").distinct()
-    # New column ids: the cogroup of two frames with one origin would be ambiguous.
-    return found.select(*(F.col(c).alias(c) for c in found.columns))
-
-
-def _dashed(label: str) -> str:
-    import re
-
-    return re.sub("^-|-$", "", re.sub("[^a-z0-9]+", "-", label.lower()))
-
-
 def canonical_reason(df: DataFrame) -> DataFrame:
     """df (kind, surface, entity_id, matcher, score, runner_up, has_proof) with gate_reason, null if it passes (GT-2)."""
     two = lambda c: F.format_string("%.2f", c)

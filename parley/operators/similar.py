@@ -84,19 +84,22 @@ def contained_pairs(one: DataFrame, two: DataFrame, by: list[str]) -> DataFrame:
     return inside.select("id", "other").unionByName(around.select("id", "other")).distinct()
 
 
-def two_best(one: DataFrame, two: DataFrame, by: list[str], hot: int = HOT) -> DataFrame:
+def two_best(one: DataFrame, two: DataFrame, by: list[str], hot: int = HOT, visible: Column | None = None) -> DataFrame:
     """(id, other, label, score, place): for each row of the first frame the two most similar rows of the second with
-    which it shares a token or trigram, ties to the smaller id; both as featured() gives them.
+    which it shares a token or trigram, ties to the smaller id; both as featured() gives them. `visible`, a condition
+    on columns that either keeps, says which rows of the second a row of the first may meet.
 
     Rows that share a key of few are scored first. What hot keys alone can add is bounded by the row's own: only where the
     bound reaches the second score found do rows meet on hot keys."""
     keys = F.array_distinct(F.concat("t", "g"))
     left, right = one.withColumn("keys", keys), two.withColumn("keys", keys)
     hot_ones = hot_keys(right, "keys", by, hot)
-    asked = left.select("id", F.col("label").alias("surface"), *by, F.explode("keys").alias("key"))
-    known = right.select(F.col("id").alias("other"), "label", *by, F.explode("keys").alias("key"))
+    own_columns = [c for c in one.columns if c not in ("id", "label", "t", "last", "g", *by)]
+    other_columns = [c for c in two.columns if c not in ("id", "label", "t", "last", "g", *by)]
+    asked = left.select("id", F.col("label").alias("surface"), *own_columns, *by, F.explode("keys").alias("key"))
+    known = right.select(F.col("id").alias("other"), "label", *other_columns, *by, F.explode("keys").alias("key"))
     score = F.round(T.similarity(F.col("surface"), F.col("label")), 9).alias("score")
-    scored = lambda a, b: a.join(b, [*by, "key"]).select("id", "surface", "other", "label").distinct().select("id", "other", "label", score)
+    scored = lambda a, b: a.join(b, [*by, "key"]).where(F.lit(True) if visible is None else visible).select("id", "surface", "other", "label").distinct().select("id", "other", "label", score)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     best = lambda df: df.withColumn("place", place).where("place <= 2")
     if hot_ones.isEmpty():
@@ -107,5 +110,5 @@ def two_best(one: DataFrame, two: DataFrame, by: list[str], hot: int = HOT) -> D
     h, k = F.size(F.array_intersect("t", "hot")), F.size(F.array_intersect("g", "hot"))
     most = 0.6 * h / F.size("t") + 0.8 * k / F.greatest(F.lit(1), F.size("g") + k) + F.when(F.array_contains("hot", F.col("last")), 0.15).otherwise(0.0)
     open_ = own.where(F.size("t") > 0).join(least, "id", "left").where((F.size("hot") > 0) & (F.least(F.lit(1.0), most) >= F.coalesce("second", F.lit(0.0)) - SLACK))
-    more = scored(open_.select("id", F.col("label").alias("surface"), *by, F.explode("hot").alias("key")), known)
+    more = scored(open_.select("id", F.col("label").alias("surface"), *own_columns, *by, F.explode("hot").alias("key")), known)
     return best(found.drop("place").unionByName(more).distinct())

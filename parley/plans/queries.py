@@ -19,6 +19,7 @@ from parley.operators import graph as G
 from parley.operators import handoffs as H
 from parley.operators import maintenance as M
 from parley.operators import outline as O
+from parley.operators import resolution as RS
 from parley.operators import retrieve as R
 from parley.operators import runs as U
 from parley.operators import segments as SG
@@ -488,8 +489,9 @@ _add("ho_16_cross_meeting_cache", lambda w: M.cached(_prints(w).where("meeting_i
 # --- composites --------------------------------------------------------------------------------
 _add("cp_1_candidates", lambda w: E.candidates(w.utterances, _recaps(w)).groupBy("meeting_id").agg(F.count("*").alias("n")).where("n <= 12").select("meeting_id"))
 _add("cp_2_curate", lambda w: E.curate(E.candidates(w.utterances, _recaps(w)), w.meetings.select(F.col("id").alias("meeting_id"), F.array(F.lit("Low Budget"), F.lit("urgent budget")).alias("keep"))).where("kind = 'topic'").select("meeting_id", "surface"))
-_add("cp_3_resolve", lambda w: E.resolve(E.candidates(w.utterances, _recaps(w)), w.entities).select("meeting_id", "kind", "surface", "entity_id", "matcher", F.round("score", 6).alias("score")))
-_add("cp_4_store", lambda w: E.store(E.canonical_reason(E.resolve(E.candidates(w.utterances, _recaps(w)), w.entities).withColumn("has_proof", F.lit(True))))[2].drop("score"))
+_found = lambda w: RS.resolve_all(RS.with_proof(E.candidates(w.utterances, _recaps(w)), w.utterances), w.entities)
+_add("cp_3_resolve", lambda w: _found(w).select("meeting_id", "kind", "surface", "entity_id", "matcher", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "blocked"))
+_add("cp_4_store", lambda w: E.store(E.canonical_reason(_found(w)))[2].drop("score"))
 _add("cp_5_project_graph", lambda w: w.edges, "select src, dst, kind, meeting_id from edges")
 _add("cp_6_relate", lambda w: G.related_edges(_live(w)).select("src", "dst"), "with " + _REL + " select src, dst from relboth")
 _add("cp_7_index_meeting", lambda w: K.every_chunk(w.utterances, w.claims, w.meetings).select("meeting_id", "kind", "src_id", "start_offset_s", "end_offset_s", "speakers", "text"),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from parley.operators import claims as C
 from parley.operators import entities as E
-from parley.operators import gates as Q
 from parley.operators import graph as G
+from parley.operators import resolution as RS
 from parley.operators import retrieve as R
 from parley.operators import segments as SG
 from parley.operators.chunks import claim_label
@@ -120,7 +120,5 @@ def rederive(w: World, meeting_id: str) -> tuple[DataFrame, DataFrame, DataFrame
     recap = c.groupBy("meeting_id").agg(told("decision", text).alias("key_decisions"), F.transform(told("action_item", task), lambda t: F.struct(t.alias("task"))).alias("action_items"))
     recap = recap.withColumn("coverage_gaps", none)
     cands = E.candidates(lines, recap)
-    receipts = cands.select("meeting_id", "kind", "surface", "quote", "offset_s", F.concat_ws("|", "kind", "surface").alias("id"))
-    proof = Q.grounded(receipts, lines).groupBy("meeting_id", "kind", "surface").agg(F.bool_or(F.col("gate_reason").isNull()).alias("has_proof"))
-    found = E.resolve(cands, w.entities).join(proof, ["meeting_id", "kind", "surface"], "left")
-    return E.store(E.canonical_reason(found.withColumn("has_proof", F.coalesce("has_proof", F.lit(False)))))
+    found = RS.resolve_all(RS.with_proof(cands, lines), w.entities)
+    return E.store(E.canonical_reason(found))

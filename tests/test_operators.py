@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import chunks, corrections, entities, gates, graph, handoffs, maintenance, outline, runs, segments
+from parley.operators import chunks, corrections, entities, gates, graph, handoffs, maintenance, outline, resolution, runs, segments
 from parley.sources import calendar, files
 from parley.streaming import live
 
@@ -64,7 +64,7 @@ def test_sanitised_statements(spark):
 def test_resolution_cascade(spark):
     known = spark.createDataFrame([("topic:pricing-page", "topic", "pricing page", "pricing page", None), ("topic:anz-rollout", "topic", "ANZ rollout", "anz rollout", None)], "id string, kind string, label string, norm string, merged_into string")
     cands = spark.createDataFrame([("m1", "topic", "Pricing Page", 5), ("m1", "topic", "new pricing page", 4), ("m1", "topic", "hiring plan", 3), ("m1", "topic", "hiring plan draft", 2), ("m1", "topic", "ANZ pricing", 1)], "meeting_id string, kind string, surface string, weight int")
-    got = {r["surface"]: (r["entity_id"], r["matcher"]) for r in entities.resolve(cands, known).collect()}
+    got = {r["surface"]: (r["entity_id"], r["matcher"]) for r in resolution.resolve_all(cands, known).collect()}
     assert got["Pricing Page"] == ("topic:pricing-page", "alias") and got["new pricing page"] == ("topic:pricing-page", "contains")
     assert got["hiring plan"] == (None, "none") and got["hiring plan draft"] == ("topic:hiring-plan", "contains") and got["ANZ pricing"][1] in ("none", "contains")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import plain_labels as P
 import pytest
 
 from parley.operators import entities as E
@@ -29,8 +30,8 @@ def test_relate_equals_all_pairs(spark, monkeypatch, hot):
     want = {}
     for i, (a, la) in enumerate(sorted(labels)):
         for b, lb in sorted(labels)[i + 1 :]:
-            score = E._alike(la, lb)
-            if set(E._toks(la)) & set(E._toks(lb)) and 0.15 <= score < 0.72:
+            score = P.alike(la, lb)
+            if set(P.toks(la)) & set(P.toks(lb)) and 0.15 <= score < 0.72:
                 want[a, b] = score
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
@@ -59,12 +60,12 @@ def test_containment_and_best_match_equal_all_pairs(spark, monkeypatch, hot):
     inside = set()
     for kind, s in cands:
         for i, k, label, *_ in live:
-            x, y = set(E._toks(s)), set(E._toks(label))
+            x, y = set(P.toks(s)), set(P.toks(label))
             if k == kind and x and y and (x <= y or y <= x):
                 inside.add((s, i))
     assert {(x["surface"], x["entity_id"]) for x in E.contained(c, e).collect()} == inside
     got = {x["surface"]: (x["entity_id"], round(x["score"], 9), round(x["runner_up"], 9)) for x in E.best_lexical(c, e).collect()}
     for kind, s in cands:
-        scores = sorted(((-round(E._alike(s, label), 9), i) for i, k, label, *_ in live if k == kind))
+        scores = sorted(((-round(P.alike(s, label), 9), i) for i, k, label, *_ in live if k == kind))
         if scores and scores[0][0] < 0:
             assert got[s] == (scores[0][1], -scores[0][0], -scores[1][0] + 0.0), s
