@@ -31,6 +31,7 @@ from parley.plans import tools as B
 from parley.sources import calendar as I
 from parley.sources import files
 from parley.sources.adapters import AS_OF_MS, World, oracle
+from parley.streaming import ingest as ST
 from parley.streaming import live as L
 
 _FOUND: dict[str, tuple[Callable[[World], DataFrame], str | None]] = {}
@@ -588,6 +589,16 @@ _add("str_8_single_flight", lambda w: w.runs.dropDuplicates(["meeting_id", "kind
 _add("str_9_empty_cause", lambda w: w.runs.select("id", L.empty_cause(F.col("id") % 2, F.when(F.col("id") % 5 == 0, "x")).alias("v")), "select id, case when id%5=0 then 'recogniser-error' when id%2=0 then 'no-audio' else 'silence' end v from runs")
 _add("str_10_sessions", lambda w: L.sessions(w.raw("events"), "2 hours"), "with e as (select user_id, epoch_us(ts) t, case when epoch_us(ts)-lag(epoch_us(ts)) over (partition by user_id order by ts) < 7200000000 then 0 else 1 end n from events), s as (select *, sum(n) over (partition by user_id order by t rows unbounded preceding) g from e) select user_id, min(t)//1000 start_ms, max(t)//1000 end_ms, count(*) n from s group by user_id, g having max(t)//1000-min(t)//1000>=15000")
 _add("str_11_run_pairing", lambda w: M.ledger(w.runs.select("id", "kind", "started_at"), w.runs.where("outcome <> 'failed'").select("id", "outcome", F.col("started_at").alias("ended_at"))).groupBy("failure").agg(F.count("*").alias("n")), "select case when outcome='failed' then 'crash' end failure, count(*) n from runs group by 1")
+_ECHO_SQL = _FOUND["jn_23_echo"][1]
+_add("str_4_echo_gate", lambda w: ST.gate_echoes(_frames(w)).where("echo").select("meeting_id", "utterance_id"), _ECHO_SQL)
+_two = lambda w: _frames(w).withColumn("utterance_id", F.concat("meeting_id", F.lit("-"), F.floor(F.col("seq") / 2).cast("string"))).withColumn("final", F.col("seq") % 3 != 0)
+_add("str_2_persisted_finals", lambda w: ST.persist_finals(_two(w).withColumn("speaker", F.lit("S"))).select("meeting_id", "utterance_id", "seq", F.col("idx").cast("int").alias("idx")),
+     "select meeting_id, utterance_id, seq, cast(row_number() over (partition by meeting_id order by seq)-1 as integer) idx from (select meeting_id, meeting_id||'-'||cast(idx//2 as varchar) utterance_id, max(idx) seq from utterances where idx%3<>0 group by 1, 2)")
+#: Runs that fail write no finish; the others end some seconds after they began.
+_begins = lambda w: w.runs.select("id", "kind", F.timestamp_millis("started_at").alias("started_at"))
+_ends = lambda w: w.runs.where("outcome <> 'failed'").select("id", "outcome", F.timestamp_millis(F.col("started_at") + F.col("id") % 900 * 1000).alias("ended_at"))
+_add("str_11_paired_streams", lambda w: ST.pair_runs(_begins(w), _ends(w)).select("id", "kind", "outcome", "failure", F.unix_millis("ended_at").alias("ended_ms")),
+     "select id, kind, outcome, case when outcome='failed' then 'crash' end failure, case when outcome<>'failed' then started_at+id%900*1000 end ended_ms from runs")
 _add("seg_segments", lambda w: SG.segments(w.utterances).select("meeting_id", "id", "speaker", "start_ms"), f"with {_SEG} select meeting_id, id, speaker, start_ms from segs")
 
 

@@ -155,30 +155,46 @@ class EchoGate(StatefulProcessor):
     """Per meeting: the last LINES lines of the other channel within the horizon are state; a microphone
     line that overlaps one of them is an echo (STR-4). For transformWithStateInPandas.
 
-    Input columns meeting_id, utterance_id, channel, offset_s, text, final; partial lines of the other
-    channel feed the state, only final microphone lines come out."""
+    Input columns meeting_id, utterance_id, channel, offset_s, text, final, ts (the event time of offset_s); partial lines
+    of the other channel feed the state, only final microphone lines come out. A timer clears a meeting's state once
+    the watermark has passed the horizon of its newest line, so meetings that end leave nothing behind."""
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.heard = handle.getListState("heard", "offset_s double, text string")
+        self.until = handle.getValueState("until", "ms long")
 
     def handleInputRows(self, key, rows, timerValues):
         words = lambda s: {w for w in _bare(s) if len(w) > 2}
         lines = [(r[0], r[1]) for r in self.heard.get()]
-        out = []
-        every = sorted((r for f in rows for r in f.itertuples(index=False)), key=lambda r: r.offset_s)
+        out, newest = [], 0
+        # Of lines at one time the other channel's come first.
+        every = sorted((r for f in rows for r in f.itertuples(index=False)), key=lambda r: (r.offset_s, -r.channel))
         for r in every:
+            newest = max(newest, int(r.ts.timestamp() * 1000))
             if r.channel == 1:
                 lines.append((float(r.offset_s), r.text))
             elif r.final:
                 mine = words(r.text)
-                near = [words(t) for o, t in lines if 0 <= r.offset_s - o <= HORIZON_S]
+                near = [words(t) for o, t in lines[-LINES:] if 0 <= r.offset_s - o <= HORIZON_S]
                 echo = len(_bare(r.text)) >= ECHO_WORDS and any(mine and t and len(mine & t) / min(len(mine), len(t)) >= ECHO for t in near)
                 out.append((key[0], r.utterance_id, bool(echo)))
-        newest = max((o for o, _ in lines), default=0.0)
-        lines = [x for x in lines if newest - x[0] <= HORIZON_S][-LINES:]
+        last = max((o for o, _ in lines), default=0.0)
+        lines = [x for x in lines if last - x[0] <= HORIZON_S][-LINES:]
         self.heard.put(lines) if lines else self.heard.clear()
+        until = newest + (HORIZON_S + 1) * 1000
+        if not self.until.exists() or self.until.get()[0] < until:
+            if self.until.exists():
+                self.handle.deleteTimer(self.until.get()[0])
+            self.until.update((until,))
+            self.handle.registerTimer(until)
         yield pd.DataFrame(out, columns=["meeting_id", "utterance_id", "echo"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.heard.clear()
+        self.until.clear()
+        yield pd.DataFrame([], columns=["meeting_id", "utterance_id", "echo"])
+
     def close(self) -> None:
         pass
 
@@ -189,6 +205,7 @@ def _bare(text: str) -> list[str]:
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", text.lower())).split()
 
 
-def gated(frames: DataFrame) -> DataFrame:
+def gated(frames: DataFrame, late: str = "1 minute") -> DataFrame:
     """A stream of frames with the echo gate's verdict for each final microphone line."""
-    return frames.groupBy("meeting_id").transformWithStateInPandas(EchoGate(), "meeting_id string, utterance_id string, echo boolean", "append", "none")
+    timed = frames.withWatermark("ts", late)
+    return timed.groupBy("meeting_id").transformWithStateInPandas(EchoGate(), "meeting_id string, utterance_id string, echo boolean", "append", "eventtime")

@@ -205,14 +205,6 @@ def test_echo_batch(spark):
     assert rows(live.echoes(spark.createDataFrame(FRAMES, FRAME))) == [("m1", "y1")]
 
 
-def test_echo_stream_equals_batch(spark, tmp_path):
-    spark.createDataFrame(FRAMES, FRAME).coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = live.gated(spark.readStream.schema(FRAME).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("echo").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert rows(spark.sql("select utterance_id from echo where echo")) == [("y1",)]
-    assert spark.sql("select count(*) from echo").first()[0] == 4
-
-
 def test_trim_echo():
     assert live.trim_echo("so, we move the launch to Friday please", ["We move the launch to friday", "too short to cut"]) == "so, please"
     assert live.trim_echo("hello there", ["hello there"]) == "hello there"
