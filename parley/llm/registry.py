@@ -26,8 +26,7 @@ def op1_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One template for a leaf, which is what OP2_SQL says; the pipeline splits leaves."""
-    cut = line_templates.counted(table(spark, sf_dir, "documents"), split=False)
+    cut = line_templates.counted(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
@@ -144,27 +143,6 @@ select query_id, cast(rank as integer) rank, vec_id, score from r where rank <=
 """
 
 
-OP2_SQL = """
-with raw as (select doc_id, text, string_split(text, chr(10)) parts from documents),
-l as (select doc_id, i, array_to_string(list_transform(string_split(trim(regexp_replace(parts[i], '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' '), ' '),
-        lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end), ' ') m
-      from (select doc_id, parts, unnest(range(1, len(parts)+1)) i from raw)),
-k as (select doc_id, i, m, string_split(m, ' ') toks from l where m <> '' and doc_id is not null),
-e as (select m, any_value(toks) toks, count(distinct doc_id) docs, min(doc_id) first, len(any_value(toks)) n, array_to_string(any_value(toks)[1:3], ' ') lead from k group by m),
-leaf as (select n, lead, count(*) variants from e where n >= 5 group by n, lead having variants > 1 and sum(docs) >= 6),
-t as (select e.m, e.n, e.lead, variants, unnest(range(1, e.n+1)) pos, unnest(e.toks) tok from e join leaf using (n, lead)),
-c as (select n, lead, pos, tok from t group by n, lead, pos, tok, variants having count(*) >= 0.6 * variants),
-mem as (select t.m, t.n, t.lead from t join c using (n, lead, pos) group by t.m, t.n, t.lead having count(*) = count(*) filter (t.tok = c.tok) and count(*) >= 0.8 * t.n),
-tpl as (select mem.n, mem.lead, min(k.doc_id) first from mem join k on k.m = mem.m group by mem.n, mem.lead having count(distinct k.doc_id) >= 6),
-again as (select m, min(first) first from (select m, first from e where docs >= 6 union all select m, first from mem join tpl using (n, lead)) group by m),
-d as (select l.doc_id, l.i from l join again a on a.m = l.m where l.doc_id > a.first),
-dd as (select doc_id, list(distinct i) gone from d group by doc_id),
-j as (select r.doc_id, r.text, r.parts, coalesce(dd.gone, []) gone from raw r left join dd on dd.doc_id = r.doc_id)
-select doc_id, cast(case when text is null then 0 else len(parts) end as bigint) n_lines, cast(len(gone) as bigint) n_dropped,
-  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(parts)+1), lambda i: not list_contains(gone, i)), lambda i: parts[i]), chr(10)), '')) kept_sha256
-from j
-"""
-
 OP10_SQL = """
 with r as (select page_id // 1024 file, page_id "ordinal_id", 'WARC/1.0'||chr(13)||chr(10)||'WARC-Type: resource'||chr(13)||chr(10)||'WARC-Record-ID: <urn:page:'||page_id||'>'||chr(13)||chr(10)
   ||'WARC-Target-URI: '||coalesce(url,'')||chr(13)||chr(10)||'Content-Type: text/html'||chr(13)||chr(10)||'Content-Length: '||strlen(coalesce(html,''))||repeat(chr(13)||chr(10),2)||coalesce(html,'')||repeat(chr(13)||chr(10),2) rec
@@ -175,4 +153,4 @@ select file, "ordinal", cast(stop - size as bigint) "start", cast(stop as bigint
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_templates": OP2_SQL, "op9_norm_bucketed_topk": OP9_SQL, "op10_warc_fixity": OP10_SQL}
+    return {"op9_norm_bucketed_topk": OP9_SQL, "op10_warc_fixity": OP10_SQL}
