@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +29,8 @@ from parley.plans import compose as P
 from parley.plans import converse as V
 from parley.plans import handoff as Y
 from parley.plans import tools as B
+from parley.shared import shared_dir
+from parley.sources import bundle_store as BS
 from parley.sources import calendar as I
 from parley.sources import files
 from parley.sources.adapters import AS_OF_MS, World, oracle
@@ -578,6 +581,28 @@ _add("cp_26_node_context", lambda w: A.node_context(w, _NODE).select("part", "ra
  union all select * from (select kind, cast(row_number() over (partition by kind order by n desc, id) as integer) r, label, n from k) where (kind='person' and r<=6) or (kind='topic' and r<=8)""")
 # --- sources and streams -----------------------------------------------------------------------
 _add("src_4_bundles", lambda w: files.bundles(w.meetings, w.utterances, w.claims).select("meeting_id", "version", F.size("utterances").alias("u"), F.size("claims").alias("c")), "select m.id meeting_id, 1 as version, cast((select count(*) from utterances u where u.meeting_id=m.id) as integer) u, cast((select count(*) from claims c where c.meeting_id=m.id) as integer) c from meetings m")
+#: Bundles of all meetings over a store that knows all but every fifth: every seventh file is cut off, every eleventh of another
+#: version, every thirteenth has two lines of one index.
+def _imported(w: World) -> DataFrame:
+    of = F.substring("meeting_id", 2, 20).cast("long")
+    store = BS.BundleStore(w.spark, f"{shared_dir(w.spark)}/bundles-{uuid.uuid4().hex}")
+    every = files.bundles(w.meetings, w.utterances, w.claims)
+    known = every.where(of % 5 != 0).withColumns({"meeting": F.col("meeting").withField("title", F.lit("before")), "claims": F.slice("claims", 1, 0)})
+    text = lambda df: df.select("meeting_id", F.to_json(F.struct("version", "meeting", "utterances", "claims")).alias("value"))
+    store.import_texts(text(known).withColumnRenamed("meeting_id", "file"))
+    new = every.withColumn("version", F.when(of % 11 == 0, 2).otherwise(1)).withColumn("utterances", F.when(of % 13 == 0, F.concat("utterances", F.slice("utterances", 1, 1))).otherwise(F.col("utterances")))
+    cut = F.when(of % 7 == 0, F.substring("value", 1, 40)).otherwise(F.col("value"))
+    report = store.import_texts(text(new).select(F.col("meeting_id").alias("file"), cut.alias("value")))
+    n = lambda df, c: df.groupBy("meeting_id").agg(F.count("*").alias(c))
+    state = store.meetings().select(F.col("id").alias("meeting_id"), "title").join(n(store.utterances(), "lines"), "meeting_id", "left").join(n(store.claims(), "n_claims"), "meeting_id", "left")
+    return report.select(F.col("file").alias("meeting_id"), "status").join(state, "meeting_id", "left").na.fill(0, ["lines", "n_claims"])
+
+
+_add("src_5_import", _imported,
+     """with k as (select id meeting_id, cast(substr(id,2) as bigint) c from meetings), s as (select meeting_id, c, case when c%7=0 then 'failed' when c%11=0 then 'skipped' when c%13=0 then 'failed' else 'imported' end status from k)
+  select meeting_id, status, case when status='imported' then (select title from meetings m where m.id=meeting_id) when c%5<>0 then 'before' end title,
+    case when status='imported' or c%5<>0 then (select count(*) from utterances u where u.meeting_id=s.meeting_id) else 0 end lines,
+    case when status='imported' then (select count(*) from claims l where l.meeting_id=s.meeting_id) else 0 end n_claims from s""")
 _add("src_9_payload_shapes", lambda w: SG.from_payloads(w.utterances.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("idx", "speaker", "text", "offset_s"))).alias("x")).select("meeting_id", F.when(F.col("meeting_id") < "m5", F.to_json("x")).otherwise(F.to_json(F.struct(F.col("x").alias("segments")))).alias("payload"))).select("meeting_id", F.col("idx").cast("long").alias("idx"), "speaker", "text", "offset_s"), "select meeting_id, idx, speaker, text, offset_s from utterances")
 _add("str_1_channel_routing", lambda w: L.routed(_frames(w)).select("utterance_id", "speaker", "speaker_role"), "select meeting_id||'-'||cast(idx as varchar) utterance_id, case when speaker_role='agent' then 'You' else 'Them' end speaker, speaker_role from utterances")
 _add("str_2_finals", lambda w: L.finals(_frames(w).withColumn("utterance_id", F.concat("meeting_id", F.lit("-"), F.floor(F.col("seq") / 2).cast("string"))).withColumn("final", F.col("seq") % 3 != 0)).select("utterance_id", "seq"), "select meeting_id||'-'||cast(idx//2 as varchar) utterance_id, max(idx) seq from utterances where idx%3<>0 group by 1")
