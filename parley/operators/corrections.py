@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from parley.functions import text as T
+from parley.functions.dictionary import rewriter
 
 
 def occurrences(fields: DataFrame, old: str, new: str) -> DataFrame:
@@ -68,10 +69,17 @@ def merge_node(nodes: DataFrame, edges: DataFrame, old: str, new_label: str, kin
     return kept.unionByName(fresh.join(kept.select("id"), "id", "left_anti").select(kept.columns)), moved
 
 
-def apply_dictionary(utterances: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+#: Up to so many rules are Column expressions; more go through one automaton.
+FEW_RULES = 8
+
+
+def apply_dictionary(utterances: DataFrame, rules: list[tuple[str, str, str]], few: int = FEW_RULES) -> DataFrame:
     """Remembered rules (from, to, scope), in order, the output of one feeding the next, on text and
     speaker; scope is global or meeting:<id> (DML-15). The rules are a user's own list."""
     text, speaker = F.col("text"), F.col("speaker")
+    if len(rules) > few:
+        rewritten = rewriter(utterances.sparkSession, rules)
+        return utterances.withColumns({"text": rewritten(text, "meeting_id"), "speaker": rewritten(speaker, "meeting_id")})
     for old, new, scope in rules:
         here = F.lit(True) if scope == "global" else F.col("meeting_id") == scope.partition(":")[2]
         text = F.when(here, T.replace_word(text, old, new)).otherwise(text)
