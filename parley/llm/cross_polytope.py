@@ -4,7 +4,7 @@ A table of the index rotates each unit vector pseudo-randomly, by three rounds o
 fast Hadamard transform over a power-of-two dimension, and assigns it to the nearest signed axis. A
 query is rotated the same way and probes the PROBES axes nearest to it in each of TABLES tables. Each
 bucket is cut into blocks of about BLOCK_ROWS rows, so that a bucket which holds a third of all rows
-is many task groups and none is capped. A block scores its queries exactly and passes on the best k.
+is many task groups and none is capped; queries of a bucket are cut into parts of about QUERY_ROWS likewise. A block scores its queries exactly and passes on the best k.
 The index needs no fitting: rotations follow from the seed, and every row is in every table.
 
 Queries that the probes leave with fewer than k neighbours probe every axis of one table, which is
@@ -24,6 +24,8 @@ from parley.llm.common import blocks_for, materialize
 from parley.llm.vectors import as_bytes, balanced, clean, from_bytes, stacked
 
 TABLES, PROBES, BLOCK_ROWS, QUERIES_AT_ONCE, SEED = 8, 14, 2048, 512, 20_231
+#: Queries of a bucket that meet a block of its rows in one task.
+QUERY_ROWS = 1 << 15
 #: Room for rounding when the matrix product picks whom to score exactly.
 SLACK = 1e-9
 
@@ -130,8 +132,13 @@ def _one_dimension(vectors: DataFrame, is_query: Column, k: int, tables: int, pr
     # Bounded: tables times signed axes.
     sizes = {(r["tab"], r["bucket"]): blocks_for(r["n"], BLOCK_ROWS) for r in index.groupBy("tab", "bucket").agg(F.count("*").alias("n")).collect()}
     shipped = spark.sparkContext.broadcast(sizes)
-    per_bucket = F.element_at(F.create_map(*(F.lit(x) for (t, b), m in sorted(sizes.items()) if m > 1 for x in (t * (1 << 20) + b, m))), F.col("tab") * (1 << 20) + F.col("bucket")) if any(m > 1 for m in sizes.values()) else F.lit(None).cast("int")
-    index = index.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce(per_bucket, F.lit(1))).cast("int"))
+
+    def of_bucket(numbers: dict[tuple[int, int], int]) -> Column:
+        """The number of a row's bucket, one where it isn't greater."""
+        more = [x for (t, b), m in sorted(numbers.items()) if m > 1 for x in (F.lit(t * (1 << 20) + b), F.lit(m))]
+        return F.coalesce(F.element_at(F.create_map(*more), F.col("tab") * (1 << 20) + F.col("bucket")), F.lit(1)) if more else F.lit(1)
+
+    index = index.withColumn("block", F.pmod(F.xxhash64("id"), of_bucket(sizes)).cast("int"))
 
     def asks(count: int, in_tables: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,11 +156,16 @@ def _one_dimension(vectors: DataFrame, is_query: Column, k: int, tables: int, pr
 
         return run
 
-    key = ["tab", "bucket", "block"]
+    key = ["tab", "bucket", "block", "part"]
 
     def scored(queries: DataFrame, count: int, in_tables: int) -> DataFrame:
         asked = queries.select("id", "vector").mapInPandas(asks(count, in_tables), "tab int, bucket int, block int, id long, vector binary")
         rows = index if in_tables == tables else index.where(F.col("tab") < in_tables)
+        # The queries of a bucket are cut into parts, too, and its rows go to each part. Bounded as above.
+        counts = asked.where("block = 0").groupBy("tab", "bucket").agg(F.count("*").alias("n")).collect()
+        parts = {(r["tab"], r["bucket"]): blocks_for(r["n"], QUERY_ROWS) for r in counts}
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), of_bucket(parts)).cast("int"))
+        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), (of_bucket(parts) - 1).cast("int"))))
         near = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(lambda a, b: score_block(a, b, k), "query_id long, vec_id long, score double")
         return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 

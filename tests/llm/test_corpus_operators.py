@@ -32,6 +32,16 @@ def test_nearest_ties_and_odd_vectors(spark):
     assert cross_polytope.nearest(t.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_nearest_with_queries_in_parts(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    t = spark.createDataFrame([(i, [float(x) for x in rnd.normal(size=8)]) for i in range(240)], "vec_id long, embedding array<double>")
+    found = []
+    for most in (1 << 15, 3):
+        monkeypatch.setattr(cross_polytope, "QUERY_ROWS", most)
+        found.append(rows(cross_polytope.nearest(t, F.col("id") % 5 == 0)))
+    assert found[0] == found[1] and len(found[0]) == 48 * 5
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(1500, 24)).astype(np.float32)
