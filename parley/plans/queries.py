@@ -614,8 +614,11 @@ _add("str_8_single_flight", lambda w: w.runs.dropDuplicates(["meeting_id", "kind
 _add("str_9_empty_cause", lambda w: w.runs.select("id", L.empty_cause(F.col("id") % 2, F.when(F.col("id") % 5 == 0, "x")).alias("v")), "select id, case when id%5=0 then 'recogniser-error' when id%2=0 then 'no-audio' else 'silence' end v from runs")
 _add("str_10_sessions", lambda w: L.sessions(w.raw("events"), "2 hours"), "with e as (select user_id, epoch_us(ts) t, case when epoch_us(ts)-lag(epoch_us(ts)) over (partition by user_id order by ts) < 7200000000 then 0 else 1 end n from events), s as (select *, sum(n) over (partition by user_id order by t rows unbounded preceding) g from e) select user_id, min(t)//1000 start_ms, max(t)//1000 end_ms, count(*) n from s group by user_id, g having max(t)//1000-min(t)//1000>=15000")
 _add("str_11_run_pairing", lambda w: M.ledger(w.runs.select("id", "kind", "started_at"), w.runs.where("outcome <> 'failed'").select("id", "outcome", F.col("started_at").alias("ended_at"))).groupBy("failure").agg(F.count("*").alias("n")), "select case when outcome='failed' then 'crash' end failure, count(*) n from runs group by 1")
-_ECHO_SQL = _FOUND["jn_23_echo"][1]
-_add("str_4_echo_gate", lambda w: ST.gate_echoes(_frames(w)).where("echo").select("meeting_id", "utterance_id"), _ECHO_SQL)
+_BARE = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text),'[^a-z0-9\\s]','','g'),'\\s+',' ','g')),' '), lambda x: length(x)>2)"
+#: Every fourth line says the one before it again.
+_again = lambda w: _frames(w).withColumn("text", F.when(F.col("seq") % 4 == 1, F.coalesce(F.lag("text").over(Window.partitionBy("meeting_id").orderBy("seq")), "text")).otherwise(F.col("text")))
+_add("str_4_echo_gate", lambda w: ST.gate_echoes(_again(w)),
+     f"with s as (select meeting_id, idx, speaker_role, offset_s, case when idx%4=1 then coalesce(lag(text) over (partition by meeting_id order by idx), text) else text end as text from utterances), u as (select *, {_BARE} ws from s), e as (select distinct a.meeting_id, a.idx from u a join u b on a.meeting_id=b.meeting_id and a.speaker_role='agent' and b.speaker_role='customer' and len(a.ws)>=4 and b.offset_s<=a.offset_s and a.offset_s-b.offset_s<=20 and len(list_filter(a.ws, lambda x: list_contains(b.ws, x)))>=0.6*len(a.ws)) select meeting_id, meeting_id||'-'||cast(idx as varchar) utterance_id, exists (select 1 from e where e.meeting_id=s.meeting_id and e.idx=s.idx) echo from s where speaker_role='agent'")
 _two = lambda w: _frames(w).withColumn("utterance_id", F.concat("meeting_id", F.lit("-"), F.floor(F.col("seq") / 2).cast("string"))).withColumn("final", F.col("seq") % 3 != 0)
 _add("str_2_persisted_finals", lambda w: ST.persist_finals(_two(w).withColumn("speaker", F.lit("S"))).select("meeting_id", "utterance_id", "seq", F.col("idx").cast("int").alias("idx")),
      "select meeting_id, utterance_id, seq, cast(row_number() over (partition by meeting_id order by seq)-1 as integer) idx from (select meeting_id, meeting_id||'-'||cast(idx//2 as varchar) utterance_id, max(idx) seq from utterances where idx%3<>0 group by 1, 2)")

@@ -153,7 +153,8 @@ def trimmed(texts: pd.Series, heard: pd.Series) -> pd.Series:
 
 class EchoGate(StatefulProcessor):
     """Per meeting: the last LINES lines of the other channel within the horizon are state; a microphone
-    line that overlaps one of them is an echo (STR-4). For transformWithStateInPandas.
+    line of ECHO_WORDS words of three letters or more, of which one of them has ECHO, is an echo (STR-4). For
+    transformWithStateInPandas.
 
     Input columns meeting_id, utterance_id, channel, offset_s, text, final, ts (the event time of offset_s); partial lines
     of the other channel feed the state, only final microphone lines come out. A timer clears a meeting's state once
@@ -165,7 +166,7 @@ class EchoGate(StatefulProcessor):
         self.until = handle.getValueState("until", "ms long")
 
     def handleInputRows(self, key, rows, timerValues):
-        words = lambda s: {w for w in _bare(s) if len(w) > 2}
+        words = lambda s: [w for w in _bare(s) if len(w) > 2]
         lines = [(r[0], r[1]) for r in self.heard.get()]
         out, newest = [], 0
         # Of lines at one time the other channel's come first.
@@ -176,8 +177,8 @@ class EchoGate(StatefulProcessor):
                 lines.append((float(r.offset_s), r.text))
             elif r.final:
                 mine = words(r.text)
-                near = [words(t) for o, t in lines[-LINES:] if 0 <= r.offset_s - o <= HORIZON_S]
-                echo = len(_bare(r.text)) >= ECHO_WORDS and any(mine and t and len(mine & t) / min(len(mine), len(t)) >= ECHO for t in near)
+                near = [{*words(t)} for o, t in lines[-LINES:] if 0 <= r.offset_s - o <= HORIZON_S]
+                echo = len(mine) >= ECHO_WORDS and any(sum(w in t for w in mine) / len(mine) >= ECHO for t in near)
                 out.append((key[0], r.utterance_id, bool(echo)))
         last = max((o for o, _ in lines), default=0.0)
         lines = [x for x in lines if last - x[0] <= HORIZON_S][-LINES:]
