@@ -1,7 +1,9 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
+import ast
 import datetime
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -55,3 +57,11 @@ def test_recaps_hold_all_passed_claims(spark):
 def test_notes_are_validated_for_all_claims(spark):
     w = Q.World(spark, DIR)
     assert Q._leaves(w).count() == Q._cites(w).count() > 0
+
+
+def test_every_helper_of_the_registry_is_named_once():
+    # Queries are lambdas that look their helpers up when they run: a name given twice changes the queries before it.
+    tree = ast.parse(open(Q.__file__).read())
+    assigned = Counter(t.id for n in tree.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name))
+    assigned.update(n.name for n in tree.body if isinstance(n, ast.FunctionDef))
+    assert [name for name, n in assigned.items() if n > 1] == []
