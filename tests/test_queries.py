@@ -65,3 +65,10 @@ def test_every_helper_of_the_registry_is_named_once():
     assigned = Counter(t.id for n in tree.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name))
     assigned.update(n.name for n in tree.body if isinstance(n, ast.FunctionDef))
     assert [name for name, n in assigned.items() if n > 1] == []
+
+
+def test_lists_of_all_rows_have_no_limit(spark):
+    # A frame with a LIMIT is cut at some size of its tables, whatever the number.
+    for name in ("flt_2_optional_predicates", "flt_9_edited_body", "flt_18_upcoming_window", "ag_2_counts_per_meeting", "ag_3_distinct_speakers"):
+        plan = Q.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+        assert "GlobalLimit" not in plan and "LocalLimit" not in plan, name
