@@ -71,3 +71,10 @@ def test_porter(word, stem):
 
 def test_fold():
     assert S.fold("Éléphant") == "elephant"
+
+
+def test_text_functions_compute_each_step_once(spark):
+    # Written out in full, a step that is named n times is computed n times, or once for each element of a lambda.
+    df = spark.createDataFrame([("Review the budget", "budget review")], "a string, b string")
+    for made, most in ((T.similarity(F.col("a"), F.col("b")), 8), (T.trigrams(F.col("a")), 2), (T.noun_phrase(F.col("a")), 7)):
+        assert df.select(made.alias("v"))._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= most

@@ -208,3 +208,15 @@ def test_echo_batch(spark):
 def test_trim_echo():
     assert live.trim_echo("so, we move the launch to Friday please", ["We move the launch to friday", "too short to cut"]) == "so, please"
     assert live.trim_echo("hello there", ["hello there"]) == "hello there"
+
+
+def test_texts_do_not_travel_with_the_grams_of_a_meeting(spark):
+    text = "red rod pricing was fine and red rod pricing is final"
+    rows = [("m1", 3, 1.0, text), ("m1", None, 2.0, "x red rod pricing"), (None, 1, 3.0, "big deal size then big deal size"), ("m2", 1, 4.0, "a-b cde. a-b cde"), ("m2", 1, 4.0, "other words here")]
+    found = entities.repeated_ngrams(spark.createDataFrame(rows, "meeting_id string, idx int, offset_s double, text string"))
+    got = {(r["meeting_id"], r["key"]): (r["surface"], r["n"], r["quote"], r["first"]["idx"], r["first"]["at"]) for r in found.collect()}
+    assert got["m1", "red rod pricing"] == ("red rod pricing", 3, "x red rod pricing", None, 4)
+    assert got[None, "big deal"] == ("big deal", 2, "big deal size then big deal size", 1, 0)
+    assert got["m2", "a b cde"] == ("a-b cde", 2, "a-b cde. a-b cde", 1, 0) and len(got) == 7
+    # A sum over grams that keeps a text would send it once for each gram.
+    assert "min_by" not in found._jdf.queryExecution().optimizedPlan().toString()
