@@ -72,3 +72,9 @@ def test_lists_of_all_rows_have_no_limit(spark):
     for name in ("flt_2_optional_predicates", "flt_9_edited_body", "flt_18_upcoming_window", "ag_2_counts_per_meeting", "ag_3_distinct_speakers"):
         plan = Q.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
         assert "GlobalLimit" not in plan and "LocalLimit" not in plan, name
+
+
+def test_owners_of_meetings_are_made_in_several_tasks(spark):
+    df = Q.queries()["cp_13_meeting_meta"](spark, DIR)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "array_union" not in df._jdf.queryExecution().optimizedPlan().toString()
