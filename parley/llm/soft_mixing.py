@@ -31,6 +31,8 @@ from parley.llm.common import materialize, packed, small_batches, trim
 #: Labelled rows that the classifier is fitted on at most, and their words (hashed cells) altogether; rows are
 #: taken in the order of a hash of the id, then of one of text and label.
 SAMPLE_ROWS, SAMPLE_CELLS = 8_000, 1 << 23
+#: Cells of a block of the sample, of which a pass holds a few numbers each at a time.
+BLOCK = 1 << 18
 #: Cells that words are hashed to.
 CELLS = 1 << 15
 #: Of the classifier: passes over the sample and weight of the ridge.
@@ -57,12 +59,31 @@ def _marks(text: str) -> np.ndarray:
     return np.array([1.0, 4 * upper, 4 * marks, float(upper > 0.5), float(marks > 0.1)])
 
 
-def _bitmap(cells: np.ndarray) -> bytes:
+def _stored(cells: np.ndarray) -> bytes:
+    """Cells as two bytes each, or, where that is no shorter, as one bit for each cell there is."""
+    if 2 * len(cells) < CELLS // 8:
+        return cells.astype(np.uint16).tobytes()
     bits = np.zeros(CELLS, np.uint8)
     bits[cells] = 1
     return np.packbits(bits).tobytes()
 
 
+def _read(stored: bytes) -> np.ndarray:
+    if len(stored) < CELLS // 8:
+        return np.frombuffer(stored, np.uint16)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(stored, np.uint8))).astype(np.uint16)
+
+
+def _blocks(starts: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows, whose cells begin at starts, of BLOCK cells at most, or one row."""
+    out, i = [], 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK, "right")) - 1)
+        out.append((i, j))
+        i = j
+    return out
+
+
 def on_grid(p: np.ndarray) -> np.ndarray:
     """Posteriors rounded to multiples of 1 / GRID; the largest entry takes what rounding leaves."""
     steps = np.rint(p * GRID)
@@ -75,15 +96,15 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
 
     Fitted on at most `rows` labelled rows, those with the smallest hash of order_col, of equal ones those
     with the smallest hash of text and label; rows equal in all count each. Rows with a null text or label
-    are left out; a null id has a hash like any other. The driver gets a bitmap of CELLS bits a row at most
-    and uses the rows until their cells exceed SAMPLE_CELLS. Without labelled rows there are no domains. A table
-    that brings a hash of the text (hash_col) spares the choice the texts: where it is a join, they need not be
+    are left out; a null id has a hash like any other. The driver gets two bytes for each distinct cell of a row,
+    CELLS bits a row at most, and uses the rows until their cells exceed SAMPLE_CELLS; what a pass needs beside them is
+    bounded by BLOCK. Without labelled rows there are no domains. A table that brings a hash of the text (hash_col) spares the choice the texts: where it is a join, they need not be
     shuffled for it."""
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             marks = [_marks(t).tobytes() for t in f["text"]]
-            yield pd.DataFrame({"h": f["h"], "g": f["g"], "label": f["label"], "cells": [_bitmap(_cells(t)[0]) for t in f["text"]], "marks": marks})
+            yield pd.DataFrame({"h": f["h"], "g": f["g"], "label": f["label"], "cells": [_stored(_cells(t)[0]) for t in f["text"]], "marks": marks})
 
     small_batches(labelled.sparkSession)
     content = F.col(hash_col) if hash_col in labelled.columns else F.xxhash64(F.col(text_col).cast("string"))
@@ -98,24 +119,32 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
     at = known.where((F.col("h") == last["h"]) & (F.col("g") == last["g"]))
     chosen = known.where(before).unionByName(at.limit(rows - known.where(before).count()))
     sample = chosen.mapInPandas(features, "h long, g long, label string, cells binary, marks binary").toPandas().sort_values(["h", "g"], kind="stable")
-    own = [np.flatnonzero(np.unpackbits(np.frombuffer(c, np.uint8))) for c in sample["cells"]]
-    fits = np.cumsum([len(c) for c in own]) <= SAMPLE_CELLS
+    sizes = sample["cells"].map(lambda c: len(_read(c))).to_numpy()
+    fits = np.cumsum(sizes) <= SAMPLE_CELLS
     fits[0] = True
-    sample, own = sample[fits], own[: int(fits.sum())]
+    sample, sizes = sample[fits], sizes[fits]
     domains = sorted(sample["label"].unique())
-    k = len(domains)
-    row, cell = np.repeat(np.arange(len(own)), [len(c) for c in own]), np.concatenate(own)
+    k, n = len(domains), len(sample)
+    # Cells lie row by row, two bytes each; a pass widens them block by block, blocks end where rows do.
+    flat, starts = np.concatenate([_read(c) for c in sample["cells"]]), np.concatenate([[0], np.cumsum(sizes)])
+    blocks = _blocks(starts)
     marks = np.array([np.frombuffer(m) for m in sample["marks"]])
-    y = np.zeros((len(own), k))
-    y[np.arange(len(own)), [domains.index(x) for x in sample["label"]]] = 1
+    y = np.zeros((n, k))
+    y[np.arange(n), [domains.index(x) for x in sample["label"]]] = 1
+    del sample
     # Full-batch Adam: deterministic, and few enough rows.
     w, v = np.zeros((CELLS, k)), np.zeros((marks.shape[1], k))
     state = [np.zeros_like(x) for x in (w, w, v, v)]
+    off = np.zeros((n, k))
     for step in range(1, PASSES + 1):
-        z = marks @ v + np.stack([np.bincount(row, w[cell, d], len(own)) for d in range(k)], axis=1)
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        off = (z / z.sum(axis=1, keepdims=True) - y) / len(own)
-        gw = np.stack([np.bincount(cell, off[row, d], CELLS) for d in range(k)], axis=1) + RIDGE * w
+        z = marks @ v
+        gw = RIDGE * w
+        for i, j in blocks:
+            cell, row = flat[starts[i] : starts[j]].astype(np.int64), np.repeat(np.arange(j - i), sizes[i:j])
+            zs = z[i:j] + np.stack([np.bincount(row, w[cell, d], j - i) for d in range(k)], axis=1)
+            zs = np.exp(zs - zs.max(axis=1, keepdims=True))
+            off[i:j] = (zs / zs.sum(axis=1, keepdims=True) - y[i:j]) / n
+            gw += np.stack([np.bincount(cell, off[i:j][row, d], CELLS) for d in range(k)], axis=1)
         gv = marks.T @ off + RIDGE * v
         for x, g, m1, m2 in ((w, gw, *state[:2]), (v, gv, *state[2:])):
             m1 += 0.1 * (g - m1)
