@@ -78,3 +78,7 @@ def test_owners_of_meetings_are_made_in_several_tasks(spark):
     df = Q.queries()["cp_13_meeting_meta"](spark, DIR)
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert "array_union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_backoff_is_told_for_the_runs_of_the_table(spark):
+    assert Q.queries()["sn_13_backoff"](spark, DIR).count() == spark.read.parquet(f"{DIR}/events.parquet").count()
