@@ -32,3 +32,15 @@ def test_facts_are_looked_up_without_one_corpus(spark):
     assert judged.count() == len(points) and judged.where("text = 'Zeta then Eta'").count() == 1
     # One string of all snippets would be copied for every point.
     assert "array_join" not in plan(judged)
+
+
+def test_terms_of_chunks_are_counted_in_small_slices(spark, monkeypatch):
+    rows = [(i, f"m{i % 7}", f"running runs {'word' * (i % 3)} {i % 5}", "Ann, Bob") for i in range(100)]
+    chunks = spark.createDataFrame(rows, "id long, meeting_id string, text string, speakers string").coalesce(1)
+    counted = lambda: sorted((r["chunk_id"], r["dl"], tuple(map(tuple, r["terms"]))) for r in SI._counted(chunks).collect())
+    whole = counted()
+    assert whole[0] == (0, 5, (("0", 10), ("ann", 2), ("bob", 2), ("run", 20)))
+    monkeypatch.setattr(SI, "COUNTED", 9)
+    assert counted() == whole
+    batches = SI._counted(chunks).select("chunk_id").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+    assert sum(r["n"] for r in batches.collect()) == 100
