@@ -44,3 +44,15 @@ def test_terms_of_chunks_are_counted_in_small_slices(spark, monkeypatch):
     assert counted() == whole
     batches = SI._counted(chunks).select("chunk_id").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
     assert sum(r["n"] for r in batches.collect()) == 100
+
+
+def test_a_document_is_read_once_for_its_sections(spark):
+    doc = '{"highlights":[{"text":" a ","source":["S1",null]},{"text":""},{"text":"b"}],"commitments":[{"task":"do","owner":"","due":"Fri","source":["S2"]}],"asks":null}'
+    docs = spark.createDataFrame([("d", "m", doc), ("e", "m", "no JSON"), ("f", "m", "{}")], "doc_id string, meeting_id string, json string")
+    rows = H.items(docs, H.BY_ID["investor_update"])
+    got = sorted((r["doc_id"], r["path"], r["kind"], r["pos"], r["text"], r["owner"], r["due"], tuple(r["source"])) for r in rows.collect())
+    assert got == [("d", "commitments[0]", "actions", 0, "do", "Unassigned", "Fri", ("S2",)), ("d", "highlights[0]", "items", 0, "a", None, None, ("S1",)), ("d", "highlights[1]", "items", 1, "b", None, None, ())]
+    # A union would make the documents anew for every section, and one task would read them all.
+    assert "Union" not in plan(rows)
+    mail = H.items(spark.createDataFrame([("d", "m", '{"subject":" ","body":"x [S001]\\n\\n y"}'), ("e", "m", "no JSON")], docs.schema), H.BY_ID["followup_email"])
+    assert sorted((r["doc_id"], r["path"], r["text"], tuple(r["source"])) for r in mail.collect()) == [("d", "body[0]", "x", ("S001",)), ("d", "body[2]", "y", ()), ("d", "subject", "Follow-up on our conversation", ()), ("e", "subject", "Follow-up on our conversation", ())]
