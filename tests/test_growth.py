@@ -46,6 +46,28 @@ def test_terms_of_chunks_are_counted_in_small_slices(spark, monkeypatch):
     assert sum(r["n"] for r in batches.collect()) == 100
 
 
+def test_failures_are_joined_by_path_alone(spark):
+    rows = [("d", "m", "s", i, f"s[{i}]", "items", "t", None, None, [], []) for i in range(6)] + [("d", "m", "t", 0, "t[0].examples[1]", "themes", "t", None, None, [], []), ("d", "m", "p", 0, "p", "prose", "t", None, None, [], [])]
+    r = spark.createDataFrame(rows, "doc_id string, meeting_id string, section string, pos int, path string, kind string, text string, owner string, due string, source array<string>, cells array<string>")
+    bad = spark.createDataFrame([("d", "s[1]"), ("d", "t[0]"), ("e", "s[2]"), ("d", "s[4]"), ("d", "p")], "doc_id string, path string")
+    out = H.prune(r, bad)
+    assert sorted((x["path"], x["text"]) for x in out.collect()) == [("p", ""), ("s[0]", "t"), ("s[2]", "t"), ("s[3]", "t"), ("s[5]", "t")]
+    assert " OR " not in plan(out)
+
+
+def test_equal_leaves_are_judged_once(spark):
+    segs = spark.createDataFrame([("m", "S001", "it was twelve dollars"), ("m", "S002", "nothing"), ("n", "S001", "a hundred")], "meeting_id string, id string, text string")
+    leaves = spark.createDataFrame([("m", str(i), "It cost $12 then", ["S001"] if i % 2 else ["S002", "S001"], "Action items") for i in range(40)] + [("m", "x", "It cost $13 then", ["S001"], "Notes"), ("n", "x", "It cost $12 then", ["S001"], "Action items"), ("n", "y", "z", ["S009"], "Notes"), ("n", "w", "z", [], "Notes")], "meeting_id string, path string, text string, source array<string>, section string")
+    owners = spark.createDataFrame([("m", ["Ann"])], "meeting_id string, names array<string>")
+    found = Q.validate_leaves(leaves, segs, owners)
+    got = sorted(tuple(r) for r in found.collect())
+    want = [("m", str(i), "owner-unnamed", "It cost $12 then") for i in range(40)] + [("m", "x", "verbatim-number", "$13"), ("n", "x", "owner-unnamed", "It cost $12 then"), ("n", "x", "verbatim-number", "$12"), ("n", "y", "source-exists", "S009"), ("n", "w", "leaf-sourced", "")]
+    assert got == sorted(want)
+    # The paths of leaves are no part of what is judged.
+    judged = [line for line in plan(found).splitlines() if "ArrowEvalPython" in line]
+    assert judged and not any("path#" in line and "_extract" not in line for line in judged)
+
+
 def test_a_document_is_read_once_for_its_sections(spark):
     doc = '{"highlights":[{"text":" a ","source":["S1",null]},{"text":""},{"text":"b"}],"commitments":[{"task":"do","owner":"","due":"Fri","source":["S2"]}],"asks":null}'
     docs = spark.createDataFrame([("d", "m", doc), ("e", "m", "no JSON"), ("f", "m", "{}")], "doc_id string, meeting_id string, json string")
