@@ -78,3 +78,21 @@ def test_a_document_is_read_once_for_its_sections(spark):
     assert "Union" not in plan(rows)
     mail = H.items(spark.createDataFrame([("d", "m", '{"subject":" ","body":"x [S001]\\n\\n y"}'), ("e", "m", "no JSON")], docs.schema), H.BY_ID["followup_email"])
     assert sorted((r["doc_id"], r["path"], r["text"], tuple(r["source"])) for r in mail.collect()) == [("d", "body[0]", "x", ("S001",)), ("d", "body[2]", "y", ()), ("d", "subject", "Follow-up on our conversation", ()), ("e", "subject", "Follow-up on our conversation", ())]
+
+
+def test_an_import_writes_no_folder_for_each_meeting(spark, tmp_path):
+    from parley.sources.bundle_store import BundleStore
+    from test_bundle_store import bundle, put, state
+
+    store = BundleStore(spark, str(tmp_path / "store"))
+    store.import_files(put(tmp_path / "one", **{f"f{i}": bundle(f"m{i}") for i in range(30)}))
+    store.import_files(put(tmp_path / "two", f1=bundle("m1", "new", 3), f2="{", g=bundle("n")))
+    assert len(list((tmp_path / "store/bundles").iterdir())) == 2
+    titles = {m: t for m, t, *_ in state(store) if t == "new"}
+    assert titles == {"m1": "new"} and store.meetings().count() == 31
+    before = sorted(map(tuple, store.utterances().select("meeting_id", "idx", "text").collect()))
+    store.merge()
+    assert sorted(map(tuple, store.utterances().select("meeting_id", "idx", "text").collect())) == before and len(before) == 63
+    # Written, but not in the list of imports: as if the import had broken off.
+    store._bundles().limit(1).withColumn("meeting_id", F.lit("x")).write.parquet(str(tmp_path / "store/bundles/import=9"))
+    assert store.meetings().count() == 31
