@@ -96,3 +96,17 @@ def test_an_import_writes_no_folder_for_each_meeting(spark, tmp_path):
     # Written, but not in the list of imports: as if the import had broken off.
     store._bundles().limit(1).withColumn("meeting_id", F.lit("x")).write.parquet(str(tmp_path / "store/bundles/import=9"))
     assert store.meetings().count() == 31
+
+
+def test_meetings_share_partitions_of_final_lines(spark, tmp_path):
+    from parley.streaming import ingest
+    from test_ingest import LINE, lines
+
+    every = [(f"m{i % 20}", f"u{i // 2}", i, float(100 - i), f"t{i}", i % 4 != 0) for i in range(120)]
+    out = []
+    for sink in (ingest.FinalLines(str(tmp_path / "own")), ingest.FinalLines(str(tmp_path / "shared"), 4)):
+        for n, some in enumerate((every[:50], every[50:90], every[90:91], every[50:90], every[91:])):
+            sink(spark.createDataFrame(lines(*some), LINE), n)
+        out.append(sorted(tuple(r) for r in sink.read(spark).select("meeting_id", "idx", "utterance_id", "seq", "text").collect()))
+    assert out[0] == out[1] and len(out[0]) > 20
+    assert len([p for p in (tmp_path / "shared/lines").iterdir() if p.is_dir()]) == 4
