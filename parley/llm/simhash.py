@@ -35,6 +35,22 @@ BROADCAST_ROWS = 100_000
 SHINGLES_AT_ONCE = 1 << 16
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> np.ndarray:
+    """The bits that over half of n hashes have, as one number."""
+    return np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The signed SimHash of hashes that are there already; of none it is 0."""
+    ones = sum((_ones(h[at : at + SHINGLES_AT_ONCE]) for at in range(0, len(h), SHINGLES_AT_ONCE)), np.zeros(64, np.int64))
+    return int(_majority(ones, len(h)).view(np.int64)[0])
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The unsigned SimHash of a whole text: XXH64 (seed 42) of the word shingles, majority per bit."""
     from xxhash import xxh64_intdigest
@@ -47,10 +63,8 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     for at in range(0, ends, SHINGLES_AT_ONCE):
         part = w[at : at + SHINGLES_AT_ONCE + words - 1]
         shingles = zip(*(part[i:] for i in range(words))) if len(part) >= words else [part]
-        h = np.fromiter([xxh64_intdigest(b" ".join(s), 42) for s in shingles], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > ends).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        ones += _ones(np.fromiter([xxh64_intdigest(b" ".join(s), 42) for s in shingles], np.uint64))
+    return int(_majority(ones, ends)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
