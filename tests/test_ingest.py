@@ -83,3 +83,70 @@ def test_finals_survive_a_kill_between_batches(spark, tmp_path):
         if f:
             best[m, u] = max(best.get((m, u), -1), s)
     assert got == sorted((m, u, s) for (m, u), s in best.items())
+
+
+def test_batches_of_several_files_stay_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "ROWS_OF_FILE", 100)
+    monkeypatch.setattr(ingest, "LEAST_OF_FILE", 50)
+    rows = spark.range(0, 900, 1, 3).selectExpr("id", "cast(id as double) offset_s")
+    stream, at, files = ingest.replayed(rows, "offset_s")
+    seen = {}
+    ingest.run(stream, "", f"{at}/checkpoint", lambda batch, number: seen.update({number: sorted(r["id"] for r in batch.collect())}))
+    assert files > 1 and len(seen) == 3 and sum((seen[k] for k in sorted(seen)), []) == list(range(900))
+    few = rows.where("id < 30")
+    assert ingest.replayed(few, "offset_s")[2] == 1
+
+
+def test_meetings_share_a_gate(spark, monkeypatch):
+    monkeypatch.setattr(live, "GATES", 2)
+    monkeypatch.setattr(ingest, "ROWS_OF_FILE", 10)
+    monkeypatch.setattr(ingest, "LEAST_OF_FILE", 4)
+    frames = spark.createDataFrame([(f"m{k}", *r[1:]) for k in range(12) for r in FRAMES], FRAME)
+    want = sorted(tuple(r) for r in live.echoes(frames).select("meeting_id", "utterance_id").collect())
+    out = ingest.gate_echoes(frames)
+    assert sorted((r["meeting_id"], r["utterance_id"]) for r in out.where("echo").collect()) == want and want
+    assert out.count() == frames.where("channel = 0 and final").count()
+
+
+class State:
+    """One state variable, or the handle of all of them."""
+
+    def __init__(self):
+        self.rows, self.timers, self.made = [], set(), {}
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def getListState(self, name, schema):
+        return self.made.setdefault(name, State())
+
+    getValueState = getListState
+
+    def get(self):
+        return self.rows if not self.rows or isinstance(self.rows[0], tuple) else tuple(self.rows)
+
+    def exists(self):
+        return bool(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    update = put
+
+    def clear(self):
+        self.rows = []
+
+
+def test_a_gate_forgets_only_meetings_that_the_watermark_passed():
+    import pandas as pd
+
+    handle, gate = State(), live.EchoGate()
+    gate.init(handle)
+    clock = lambda ms: type("Clock", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    rows = pd.DataFrame([(m, "u", 1, o, "some words of the other side", True, stamp(o)) for m, o in (("a", 5.0), ("b", 300.0))], columns=["meeting_id", "utterance_id", "channel", "offset_s", "text", "final", "ts"])
+    list(gate.handleInputRows((0,), iter([rows]), clock(0)))
+    assert [r[0] for r in handle.made["heard"].rows] == ["a", "b"] and len(handle.timers) == 1
+    first = handle.timers.pop()
+    list(gate.handleExpiredTimer((0,), clock(first), None))
+    assert [r[0] for r in handle.made["heard"].rows] == ["b"] and handle.timers == {first + 295_000}
+    second = handle.timers.pop()
+    list(gate.handleExpiredTimer((0,), clock(second), None))
+    assert not handle.made["heard"].rows and not handle.made["timer"].rows and not handle.timers
