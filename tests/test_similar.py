@@ -69,3 +69,21 @@ def test_containment_and_best_match_equal_all_pairs(spark, monkeypatch, hot):
         scores = sorted(((-round(P.alike(s, label), 9), i) for i, k, label, *_ in live if k == kind))
         if scores and scores[0][0] < 0:
             assert got[s] == (scores[0][1], -scores[0][0], -scores[1][0] + 0.0), s
+
+
+def test_names_that_differ_in_a_number_do_not_meet_pair_by_pair(spark, monkeypatch):
+    made = []
+    met = S._met
+    monkeypatch.setattr(S, "_met", lambda *a: made.append(met(*a)) or made[-1])
+    names = [(i, f"Fact m{i}", "person", (i * 37) % 400) for i in range(400)]
+    rows = spark.createDataFrame(names, "id int, label string, kind string, at int")
+    one, two = S.featured(rows, "id", "label", "kind", "at"), S.featured(rows.where("id % 2 = 0"), "id", "label", "kind", "at")
+    got = {}
+    for r in S.two_best(one, two, ["kind"], hot=20, entered="at", now="at").collect():
+        got.setdefault(r["id"], {})[r["place"]] = round(r["score"], 9)
+    for i, label, _, at in names:
+        scores = sorted((round(P.alike(label, other), 9) for j, other, _, t in names if j % 2 == 0 and t < at), reverse=True)[:2]
+        assert got.get(i, {}) == dict(enumerate(scores, 1)), label
+    # 400 x 200 pairs of rows; shapes are few, and a bar that shared words cannot reach makes no pairs at all.
+    assert len(made) == 1 and made[0].count() < 4000
+    assert S.candidate_pairs(rows.withColumn("id", rows["id"].cast("string")), 0.67, hot=20).count() < 400
