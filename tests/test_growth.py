@@ -110,3 +110,23 @@ def test_meetings_share_partitions_of_final_lines(spark, tmp_path):
         out.append(sorted(tuple(r) for r in sink.read(spark).select("meeting_id", "idx", "utterance_id", "seq", "text").collect()))
     assert out[0] == out[1] and len(out[0]) > 20
     assert len([p for p in (tmp_path / "shared/lines").iterdir() if p.is_dir()]) == 4
+
+
+def test_rows_of_documents_are_not_broadcast(spark, monkeypatch):
+    from parley.plans import handoff as Y
+
+    stored = []
+    made = Y.made
+    monkeypatch.setattr(Y, "made", lambda df: stored.append(df) or made(df))
+    u = spark.createDataFrame([("m", i, "Ann", "customer", f"we pay {i}0 dollars", 6.0 * i, 5.0, None) for i in range(3)], "meeting_id string, idx int, speaker string, speaker_role string, text string, offset_s double, duration_s double, confidence double")
+    doc = '{"highlights":[{"text":"They pay 10 dollars","source":["S002"]},{"text":"They pay 70 dollars","source":["S002"]},{"text":"x","source":["S009"]}],"commitments":[{"task":"do","owner":"Ann","source":["S001"]}]}'
+    docs = spark.createDataFrame([("d", "m", doc)], "doc_id string, meeting_id string, json string")
+    meetings = spark.createDataFrame([("m", "Call", 1704067200000)], "id string, title string, started_at long")
+    owners = spark.createDataFrame([("m", ["Ann"])], "meeting_id string, names array<string>")
+    out = Y.run_handoff(docs, H.BY_ID["investor_update"], meetings, u, docs.select("meeting_id"), owners)
+    (row,) = out.collect()
+    assert row["code"] is None and row["dropped"] == 2 and "They pay 10 dollars" in row["markdown"] and "70" not in row["markdown"]
+    # Packed files look small however many rows they hold: no join may pick one of them for that.
+    assert len(stored) == 3
+    for df in stored[1:]:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
