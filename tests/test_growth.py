@@ -130,3 +130,21 @@ def test_rows_of_documents_are_not_broadcast(spark, monkeypatch):
     assert len(stored) == 3
     for df in stored[1:]:
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_meetings_that_lack_the_same_speakers_share_a_list(spark, monkeypatch):
+    from parley.plans import ask as A
+
+    meetings = spark.createDataFrame([(f"m{i}",) for i in range(30)], "id string")
+    said = [(f"m{i}", s) for i in range(29) for s in (["Ann", "Guest"] if i % 3 else ["Bob", None, "Zed", "Guest"])]
+    u = spark.createDataFrame(said, "meeting_id string, speaker string")
+    people = spark.createDataFrame([("Cy",), ("Bob",), (None,), ("Bob",), ("Ann",)], "name string")
+    want = {f"m{i}": ("Ann,Guest", "Ann,Bob,Cy,Guest") if i % 3 else ("Bob,Guest,Zed", "Ann,Bob,Cy,Guest,Zed") for i in range(29)} | {"m29": ("", "Ann,Bob,Cy")}
+    for chars in (1 << 26, 20, 0):
+        monkeypatch.setattr(A, "LISTS_CHARS", chars)
+        df = A.meeting_meta(meetings, u, people, lambda names: F.array_join(names, ","))
+        assert {r["meeting_id"]: (r["participants"], r["owners"]) for r in df.collect()} == want
+        # A list is sorted and joined where it is made: beside the distinct speakers that meetings lack, not in their own rows.
+        assert plan(df).splitlines()[0].count("sort_array") == (0 if chars > 99 else 1)
+    lists = A.meeting_meta(meetings, u, people)
+    assert {r["meeting_id"]: r["owners"] for r in lists.collect()}["m29"] == ["Ann", "Bob", "Cy"]
